@@ -134,7 +134,7 @@ def in_row(first: np.ndarray, k: int, n: int) -> np.ndarray:
 def least_in_window(h: np.ndarray, w: int) -> np.ndarray:
     """For each window of w places: the place of its least hash, the first if several are equal in their leading bits."""
     n = len(h)
-    bits = U(max(int(n - 1).bit_length(), 1))
+    bits = U(24 if n <= 1 << 24 else int(n).bit_length())  # one number of compared bits for all but giant texts
     key = ((h >> bits) << bits) | np.arange(n, dtype=np.uint64)
     span = 1
     while span * 2 <= w:
