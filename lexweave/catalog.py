@@ -1,15 +1,457 @@
-"""Every query of the library by name, and the same in DuckDB's SQL."""
+"""Every query of the library by name, over the driver's tables, and the same in DuckDB's SQL.
+
+Stand-ins: region, nation and customer for sources, books and entries; documents for free-form entries with a source;
+conversations for entries keyed by chapter (conv_id) and verse (turn); events for notes. Small literal rows stand for what the
+tables don't hold (braces, names of books, markup).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexweave.functions import names, text
+from lexweave.operators import annotate, concordance, reader, search
+from lexweave.sources import texts
+from lexweave.streaming import notes as stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+_ALL: dict[str, tuple[Query, str | None]] = {}
+
+
+def _query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _ALL[f.__name__] = (f, sql)
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _ALL.items() if sql}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word tags from documents: a slot per token; number: the token, and its first three letters."""
+    docs = _table(spark, sf_dir, "documents")
+    slots = docs.select("doc_id", "source", "lang", F.posexplode(text.tokens(F.col("text"))).alias("word_index", "surface_text"))
+    return slots.select(F.col("doc_id").alias("entry_id"), "source", "lang", "word_index", "surface_text", F.explode(F.array("surface_text", F.substring("surface_text", 1, 3))).alias("number"))
+
+
+# The tokens of a text in DuckDB, and the tags made of them.
+_TOKENS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
+_PADDED = rf"' ' || array_to_string({_TOKENS}, ' ') || ' '"
+_TAGS = rf"""t AS (SELECT doc_id, source, lang, unnest({_TOKENS}) AS w, generate_subscripts({_TOKENS}, 1) - 1 AS i FROM documents),
+tags AS (SELECT doc_id AS entry_id, source, lang, i AS word_index, w AS surface_text, unnest([w, substr(w, 1, 3)]) AS number FROM t)"""
+_START = "(surface_text LIKE 'tha%' OR surface_text LIKE '% tha%')"
+
+
+def _hits(spark: SparkSession, sf_dir: str, query: str, mode: str = "tokens") -> tuple[DataFrame, DataFrame]:
+    return search.search(_table(spark, sf_dir, "documents"), query, "text", ["source"], ["doc_id"], mode)
+
+
+def _capped_sql(where: str) -> str:
+    return f"SELECT source, doc_id, rn FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS rn FROM documents WHERE {where}) WHERE rn <= 200"
+
+
+_THE_OF = f"{_PADDED} LIKE '% the %' AND {_PADDED} LIKE '% of %'"
+
+
+@_query(_capped_sql(_THE_OF))
+def search_and_capped(spark, sf_dir):
+    return _hits(spark, sf_dir, "the of")[0].select("source", "doc_id", "rn")
+
+
+@_query(f"SELECT source, count(*) AS total FROM documents WHERE {_THE_OF} GROUP BY source")
+def search_totals(spark, sf_dir):
+    return _hits(spark, sf_dir, "the of")[1]
+
+
+@_query(_capped_sql(f"{_PADDED} LIKE '% of the %'"))
+def search_phrase(spark, sf_dir):
+    return _hits(spark, sf_dir, "of-the")[0].select("source", "doc_id", "rn")
+
+
+@_query(_capped_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%of th_%'"))
+def search_substring(spark, sf_dir):
+    return _hits(spark, sf_dir, "Of th_", "substring")[0].select("source", "doc_id", "rn")
+
+
+@_query(None)
+def search_snippets(spark, sf_dir):
+    return _hits(spark, sf_dir, "the of")[0].select("source", "doc_id", "rn", "snippet")
+
+
+@_query(
+    "SELECT r_name, n_name, c_custkey, rn FROM (SELECT r_name, n_name, c_custkey, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey, c_custkey)::BIGINT AS rn "
+    "FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE lower(c_name) LIKE '%customer%1%') WHERE rn <= 200"
+)
+def star_search_capped(spark, sf_dir):
+    c, n, r = (_table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    rows = c.where(search.contains("Customer%1", F.col("c_name"))).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return search.capped(rows, ["r_regionkey"], ["n_nationkey", "c_custkey"]).select("r_name", "n_name", "c_custkey", "rn")
+
+
+@_query("SELECT r_name AS title, n_name AS name, (row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey))::BIGINT AS place FROM nation JOIN region ON n_regionkey = r_regionkey")
+def list_books(spark, sf_dir):
+    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    rows = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)  # region: 5 rows
+    return search.capped(rows, ["r_regionkey"], ["n_nationkey"], 1_000_000).select(F.col("r_name").alias("title"), F.col("n_name").alias("name"), F.col("rn").alias("place"))
+
+
+@_query("SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL")
+def chapter_list(spark, sf_dir):
+    return reader.chapters(_table(spark, sf_dir, "conversations"), "conv_id")
+
+
+@_query("SELECT conv_id, turn, text FROM conversations WHERE conv_id = 3")
+def chapter_entries(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").where("conv_id = 3").orderBy("turn").select("conv_id", "turn", "text")
+
+
+@_query("SELECT role, coalesce(max(CASE WHEN conv_id = 3 THEN conv_id END), min(conv_id)) AS chapter FROM conversations GROUP BY role")
+def chapter_fallback(spark, sf_dir):
+    return reader.chapter_or_first(_table(spark, sf_dir, "conversations"), ["role"], "conv_id", 3)
+
+
+@_query(
+    "SELECT n_regionkey, n_nationkey, lag(n_nationkey) OVER w AS previous_n_nationkey, lead(n_nationkey) OVER w AS next_n_nationkey "
+    "FROM (SELECT DISTINCT n_regionkey, n_nationkey FROM nation) WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)"
+)
+def chapter_neighbors(spark, sf_dir):
+    return reader.neighbours(_table(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"])
+
+
+@_query(
+    "SELECT conv_id, turn, min(CASE WHEN role = 'user' THEN text END) AS \"user\", min(CASE WHEN role = 'assistant' THEN text END) AS assistant, "
+    "min(CASE WHEN role = 'system' THEN text END) AS system FROM conversations GROUP BY conv_id, turn"
+)
+def parallel_view(spark, sf_dir):
+    return reader.parallel(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "role", ["user", "assistant", "system"], "text")
+
+
+@_query(f"WITH {_TAGS} SELECT number, source, count(*) AS n, min(entry_id) AS place FROM tags WHERE {_START} GROUP BY number, source")
+def concordance_groups(spark, sf_dir):
+    found = _tags(spark, sf_dir).where(search.word_start("Tha", F.col("surface_text")))
+    return concordance.counts(found, ["source"], "entry_id")
+
+
+@_query(
+    f"WITH {_TAGS}, g AS (SELECT number, source, count(*) AS n, min(entry_id) AS place FROM tags WHERE {_START} GROUP BY number, source) "
+    "SELECT number, sum(n)::BIGINT AS total, string_agg(source || ':' || n, ',' ORDER BY place, source, n) AS books FROM g GROUP BY number"
+)
+def concordance_rollup(spark, sf_dir):
+    return concordance.rolled_up(concordance_groups(spark, sf_dir), "source")
+
+
+@_query(f"WITH {_TAGS} SELECT count(DISTINCT (entry_id, word_index)) AS n_slots FROM tags WHERE {_START}")
+def concordance_total_slots(spark, sf_dir):
+    return concordance.slots(_tags(spark, sf_dir).where(search.word_start("tha", F.col("surface_text"))))
+
+
+@_query(f"WITH {_TAGS} SELECT entry_id, word_index::BIGINT AS word_index, surface_text FROM tags WHERE number = 'tha' AND source = 'src1' AND {_START} ORDER BY entry_id, word_index LIMIT 800")
+def concordance_drilldown(spark, sf_dir):
+    rows = concordance.drilled(_tags(spark, sf_dir), "tha", "tha", F.col("source") == "src1")
+    return rows.select("entry_id", F.col("word_index").cast("long").alias("word_index"), "surface_text")
+
+
+@_query(f"WITH {_TAGS} SELECT surface_text, count(*) AS n FROM tags WHERE {_START} GROUP BY surface_text")
+def prefix_boundary_match(spark, sf_dir):
+    return _tags(spark, sf_dir).where(search.word_start("THA", F.col("surface_text"))).groupBy("surface_text").agg(F.count("*").alias("n"))
+
+
+def _values(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
+    return spark.createDataFrame(list(rows), schema)
+
+
+@_query("SELECT * FROM (VALUES ('h02', 'H2'), (' G0430 ', 'G430'), ('H0', NULL), ('love', NULL), ('H12a', NULL)) t(term, number)")
+def number_query_normalize(spark, sf_dir):
+    rows = _values(spark, "term string", ("h02",), (" G0430 ",), ("H0",), ("love",), ("H12a",))
+    return rows.select("term", text.number_query(F.col("term")).alias("number"))
+
+
+@_query("SELECT source, count(*) AS total, count(quality) AS in_dictionary, count(*) FILTER (quality = 1) AS good FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def dictionary_left_join(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "source").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.groupBy("source").agg(F.count("*").alias("total"), F.count("quality").alias("in_dictionary"), F.count_if(F.col("quality") == 1).alias("good"))
+
+
+@_query("SELECT * FROM (VALUES ('H1', 'H25'), ('H1', 'G3'), ('H2', 'H1')) t(number, refers_to)")
+def xref_extract(spark, sf_dir):
+    rows = _values(spark, "number string, full_def string", ("H1", "from H25; compare G3 and H25"), ("H2", "see H1 (not H123456)"), ("H3", "none"))
+    return concordance.cross_references(rows, "full_def")
+
+
+@_query(None)
+def dictionary_zero_hits(spark, sf_dir):
+    groups = _values(spark, "number string, total long", ("H1", 2), ("H2", 1))
+    lexicon = _values(spark, "number string, lemma string", ("H1", "a"), ("H9", "i"))
+    return concordance.with_dictionary(groups, lexicon, "H9")
+
+
+_LINKS = (
+    "links AS (SELECT o_orderkey AS id, o_custkey % 50 AS chapter_a, o_orderkey % 7 AS verse_a, o_orderkey % 50 AS chapter_b, o_custkey % 7 AS verse_b, "
+    "CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 5 END AS highlighter_id FROM orders)"
+)
+_A, _B = ["chapter_a", "verse_a"], ["chapter_b", "verse_b"]
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = F.col("o_orderkey")
+    return _table(spark, sf_dir, "orders").select(
+        o.alias("id"), (F.col("o_custkey") % 50).alias("chapter_a"), (o % 7).alias("verse_a"), (o % 50).alias("chapter_b"), (F.col("o_custkey") % 7).alias("verse_b"),
+        F.when(o % 3 > 0, o % 5).alias("highlighter_id"),
+    )
+
+
+@_query(
+    f"WITH {_LINKS} SELECT id, chapter_a, verse_a, chapter_b, verse_b FROM (SELECT *, row_number() OVER (PARTITION BY least((chapter_a, verse_a), (chapter_b, verse_b)), "
+    "greatest((chapter_a, verse_a), (chapter_b, verse_b)) ORDER BY id) AS n FROM links) WHERE n = 1"
+)
+def symmetric_link_dedupe(spark, sf_dir):
+    return annotate.undirected(_links(spark, sf_dir), _A, _B, "id").drop("highlighter_id")
+
+
+_ENDS = f"{_LINKS}, ends AS (SELECT id, highlighter_id, chapter_a, verse_a FROM links UNION ALL SELECT id, highlighter_id, chapter_b, verse_b FROM links)"
+
+
+@_query(f"WITH {_ENDS} SELECT id, chapter_a AS chapter, verse_a AS verse FROM ends")
+def endpoint_union(spark, sf_dir):
+    ends = annotate.end_points(_links(spark, sf_dir), _A, _B, ["id"])
+    return ends.select("id", F.col("chapter_a").alias("chapter"), F.col("verse_a").alias("verse"))
+
+
+@_query(f"WITH {_ENDS} SELECT chapter_a, verse_a, arg_min(highlighter_id, id) FILTER (highlighter_id IS NOT NULL) AS highlighter_id FROM ends GROUP BY chapter_a, verse_a")
+def first_color_per_key(spark, sf_dir):
+    ends = annotate.end_points(_links(spark, sf_dir), _A, _B, ["id", "highlighter_id"])
+    return annotate.first_color(ends, _A, "highlighter_id", "id")
+
+
+_FIRST = "one AS (SELECT source, arg_min(text, doc_id) AS t FROM documents WHERE lang = 'en' GROUP BY source)"
+
+
+@_query(f"WITH {_FIRST} SELECT doc_id, length(coalesce(t, ''))::BIGINT AS n FROM documents LEFT JOIN one USING (source)")
+def first_source_text(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    got = annotate.first_text(docs.where("lang = 'en'"), docs.select("doc_id", "source"), ["source"], "text", ["doc_id"])
+    return got.select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+_OLD = "old AS (SELECT c_custkey AS id, c_nationkey AS chapter, c_custkey AS verse, c_custkey % 4 AS color FROM customer WHERE c_custkey % 2 = 0)"
+_NEW = "new AS (SELECT c_custkey AS id, c_nationkey AS chapter, c_custkey AS verse, 9::BIGINT AS color FROM customer WHERE c_custkey % 3 = 0)"
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("chapter"), F.col("c_custkey").alias("verse"), (F.col("c_custkey") % 4).alias("color"))
+    return c.where("id % 2 = 0"), c.where("id % 3 = 0").withColumn("color", F.lit(9).cast("long"))
+
+
+@_query(f"WITH {_OLD}, {_NEW} SELECT coalesce(old.id, new.id) AS id, coalesce(old.chapter, new.chapter) AS chapter, coalesce(old.verse, new.verse) AS verse, coalesce(new.color, old.color) AS color FROM old FULL JOIN new ON old.chapter = new.chapter AND old.verse = new.verse")
+def highlight_upsert(spark, sf_dir):
+    old, new = _marks(spark, sf_dir)
+    return annotate.upserted(old, new, ["chapter", "verse"], ["color"])
+
+
+@_query(f"WITH {_OLD}, {_NEW}, d AS (SELECT color, max(id) AS id FROM (SELECT id, id % 6 AS color FROM new) GROUP BY color) SELECT color, id FROM d UNION ALL SELECT color, max(id) FROM old WHERE color NOT IN (SELECT color FROM d) GROUP BY color")
+def dict_replace(spark, sf_dir):
+    old, new = _marks(spark, sf_dir)
+    return annotate.replaced(old.groupBy("color").agg(F.max("id").alias("id")), new.select((F.col("id") % 6).alias("color"), "id"), ["color"], "id")
+
+
+@_query(f"WITH {_LINKS} SELECT id, CASE WHEN highlighter_id = 2 THEN NULL ELSE highlighter_id END AS highlighter_id FROM links")
+def cascade_delete(spark, sf_dir):
+    links = _links(spark, sf_dir)
+    gone = _values(spark, "id long", (2,))
+    return annotate.without_highlighter(links.select("id", "highlighter_id"), links, gone)[1].select("id", "highlighter_id")
+
+
+@_query("SELECT o_orderkey AS id, o_custkey AS book_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def clear_by_source(spark, sf_dir):
+    books = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("source_id"))
+    entries = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("book_id"))
+    return annotate.without_source(_values(spark, "id long", (3,)), books, entries)[1]
+
+
+@_query("SELECT conv_id, turn, trim(text) || '!' AS new_text FROM conversations WHERE text IS NOT NULL AND turn % 2 = 0")
+def diff_update(spark, sf_dir):
+    stored = _table(spark, sf_dir, "conversations")
+    new = stored.withColumn("text", F.when(F.col("turn") % 2 == 0, F.concat(F.trim("text"), F.lit("!"))).otherwise(F.col("text")))
+    return annotate.changed(stored, new, ["conv_id", "turn"]).select("conv_id", "turn", "new_text")
+
+
+@_query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 100")
+def recent_notes_limit(spark, sf_dir):
+    return search.recent(_table(spark, sf_dir, "events"), "ts", "event_id").select("event_id", "event_type")
+
+
+@_query(
+    "SELECT event_id, (row_number() OVER (ORDER BY event_type = 'click' DESC, v NULLS LAST, ts DESC, event_id))::BIGINT AS place "
+    "FROM (SELECT *, CASE WHEN event_id % 4 > 0 THEN event_id % 9 END AS v FROM events WHERE user_id % 10 = 1)"
+)
+def note_order_nulls_last(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").where("user_id % 10 = 1").select(
+        F.col("event_id").alias("id"), (F.col("event_type") == "click").alias("pinned"), F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 9).alias("anchor_verse"), F.col("ts").alias("updated_at")
+    )
+    w = Window.orderBy(F.desc("pinned"), F.asc_nulls_last("anchor_verse"), F.desc("updated_at"), "id")
+    return e.select(F.col("id").alias("event_id"), F.row_number().over(w).cast("long").alias("place"))
+
+
+@_query(
+    "SELECT term FROM (SELECT arg_max(term, (ts, event_id)) AS term, max((ts, event_id)) AS w FROM (SELECT CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END || user_id % 30 AS term, * FROM events) "
+    "GROUP BY lower(term) ORDER BY w DESC LIMIT 20)"
+)
+def history_mru(spark, sf_dir):
+    kind = F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    e = _table(spark, sf_dir, "events").withColumn("term", F.concat(kind, (F.col("user_id") % 30).cast("string")))
+    return search.history(e, "term", "ts", "event_id").select("term")
+
+
+@_query(
+    "WITH r AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations WHERE role <> 'assistant'), "
+    "i AS (SELECT conv_id, min(turn) AS a, max(turn) AS b FROM r GROUP BY conv_id, g) "
+    "SELECT conv_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS label FROM i GROUP BY conv_id"
+)
+def verse_ranges(spark, sf_dir):
+    return reader.range_label(_table(spark, sf_dir, "conversations").where("role <> 'assistant'"), ["conv_id"], "turn")
+
+
+@_query("SELECT 1 AS id, '1,18,0,30' AS starts UNION ALL SELECT 2, '1,0,5'")
+def align_greedy(spark, sf_dir):
+    rows = _values(spark, "id int, text string, slots array<string>", (1, "In the beginning God created the heaven", ["In the beginning", "God", "zzz", "the"]), (2, "And and", ["and", "", "AND"]))
+    return rows.select("id", F.array_join(F.transform(text.aligned(F.col("text"), F.col("slots")), lambda x: x.cast("string")), ",").alias("starts"))
+
+
+@_query(f"WITH {_TAGS} SELECT entry_id, word_index::BIGINT AS word_index, surface_text, surface_text || ' ' || substr(surface_text, 1, 3) AS numbers FROM tags WHERE lang = 'es' GROUP BY ALL")
+def slot_group(spark, sf_dir):
+    rows = _tags(spark, sf_dir).where("lang = 'es'").withColumn("id", F.when(F.col("number") == F.col("surface_text"), 0).otherwise(1))
+    return concordance.grouped_slots(rows.dropDuplicates(["entry_id", "word_index", "number"]).unionByName(rows.where(F.length("surface_text") <= 3).withColumn("id", F.lit(2)).dropDuplicates(["entry_id", "word_index"]))).select("entry_id", F.col("word_index").cast("long").alias("word_index"), "surface_text", "numbers")
+
+
+@_query(f"WITH {_TAGS}, c AS (SELECT entry_id, number FROM tags WHERE word_index = 0) SELECT DISTINCT entry_id, word_index::BIGINT AS word_index FROM tags SEMI JOIN c USING (entry_id, number)")
+def same_tag_slots(spark, sf_dir):
+    tags = _tags(spark, sf_dir)
+    clicked = tags.where("word_index = 0").select("entry_id", "word_index").distinct()
+    return concordance.same_tag_slots(tags, clicked).select("entry_id", F.col("word_index").cast("long").alias("word_index"))
+
+
+@_query(
+    "SELECT * FROM (VALUES ('gen', 'Genesis'), (' II  Kings', '2 Kings'), ('1st John', '1 John'), ('1 Cor', '1 Corinthians'), ('Exod', 'Exodus'), ('Ps', 'Psalms'), ('John', 'John'), "
+    "('Canticles', 'Song of Solomon'), ('Jo', NULL), ('Phil', NULL), ('1Sam', NULL), ('', NULL), ('Nope', NULL)) t(raw, book)"
+)
+def canonical_name(spark, sf_dir):
+    raw = ["gen", " II  Kings", "1st John", "1 Cor", "Exod", "Ps", "John", "Canticles", "Jo", "Phil", "1Sam", "", "Nope"]
+    return names.canonical_names(_values(spark, "raw string", *[(x,) for x in raw]), "raw")
+
+
+@_query("SELECT * FROM (VALUES ('Genesis', 1::BIGINT), ('Psalms', 2), ('John', 3), ('Nope', 4), ('Apocrypha', 5)) t(book, place)")
+def canonical_sort(spark, sf_dir):
+    rows = _values(spark, "book string, seen int", ("Nope", 0), ("John", 1), ("Apocrypha", 2), ("Genesis", 3), ("Psalms", 4))
+    got = rows.join(F.broadcast(names.canon(spark)), "book", "left")  # 66 rows
+    w = Window.orderBy(F.coalesce("number", F.lit(1000)), "seen")
+    return got.select("book", F.row_number().over(w).cast("long").alias("place"))
+
+
+@_query("SELECT * FROM (VALUES ('7', 7), ('0', NULL), ('', NULL), ('x', NULL), (' 12 ', 12), (NULL, NULL)) t(raw, n)")
+def number_or_null(spark, sf_dir):
+    return _values(spark, "raw string", ("7",), ("0",), ("",), ("x",), (" 12 ",), (None,)).select("raw", text.number_or_null(F.col("raw")).alias("n"))
+
+
+@_query(
+    "SELECT * FROM (VALUES ('And it {was} good', 'And it was good'), ('the firmament {firmament: Heb. expansion} stood', 'the firmament stood'), ('a {outer {note: x} tail} b', 'a outer b'), "
+    "('{only: note}', ''), ('stray } brace', 'stray brace')) t(raw, clean)"
+)
+def brace_cleanup(spark, sf_dir):
+    raw = ["And it {was} good", "the firmament {firmament: Heb. expansion} stood", "a {outer {note: x} tail} b", "{only: note}", "stray } brace"]
+    return _values(spark, "raw string", *[(x,) for x in raw]).select("raw", text.without_braces(F.col("raw")).alias("clean"))
+
+
+@_query(
+    r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), "
+    r"s AS (SELECT *, sum(regexp_matches(line, '^#{1,6}\s+.*\S\s*$')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM l), "
+    r"g AS (SELECT doc_id, section, max(CASE WHEN regexp_matches(line, '^#{1,6}\s+.*\S\s*$') THEN regexp_extract(line, '^#{1,6}\s+(.*\S)\s*$', 1) END) AS heading, "
+    r"regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT regexp_matches(line, '^#{1,6}\s+.*\S\s*$')), ''), '^\s+|\s+$', '', 'g') AS text FROM s GROUP BY doc_id, section) "
+    r"SELECT doc_id, section::BIGINT AS section, coalesce(heading, 'Preface') AS heading, length(text)::BIGINT AS n FROM g WHERE section > 0 OR text <> ''"
+)
+def parse_sections(spark, sf_dir):
+    return texts.markdown(_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "section", "heading", F.length("text").cast("long").alias("n"))
+
+
+@_query(
+    r"WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r?\n\s*\r?\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM documents), "
+    "q AS (SELECT doc_id, CASE WHEN len(p) > 0 THEN p ELSE ['(empty file)'] END AS p FROM p) SELECT doc_id, generate_subscripts(p, 1)::BIGINT AS n, length(unnest(p))::BIGINT AS len FROM q"
+)
+def parse_paragraphs(spark, sf_dir):
+    return texts.paragraphs(_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "n", F.length("text").cast("long").alias("len"))
+
+
+@_query(
+    """SELECT * FROM (VALUES (1, 2::BIGINT, 'gen', 1, NULL::INT, NULL, 'a "q", b'), (2, 1, '1', 1, 1, NULL, 'x,y'), (3, 1, NULL, NULL, NULL, 'Row 1', 'a — b')) t(id, "row", book, chapter, verse, position_ref, text)"""
+)
+def parse_csv_rows(spark, sf_dir):
+    rows = _values(spark, "id int, text string", (1, 'Book,Ch,V,Text\ngen,1,0,"a ""q"", b"'), (2, "1,1,1,x,y"), (3, "a,b"))
+    return texts.csv_rows(rows, "id")
+
+
+@_query("SELECT * FROM (VALUES (1, 'A', 1, 1, 'x y'), (1, 'A', 1, 2, 'z'), (1, 'A', 2, 1, 'w'), (2, 'B', 3, 4, 'flat'), (3, 'C', 5, 6, 'numbered')) t(id, book, chapter, verse, text)")
+def parse_json_shapes(spark, sf_dir):
+    doc = lambda i, x: _values(spark, "id int, text string", (i, x))
+    nested = texts.json_nested(doc(1, '[{"name": "A", "chapters": [["x {y}", "z"], ["w {n: o}"]]}]'), "id", braces=True)
+    flat = texts.json_flat(doc(2, '[{"Book": "B", "CH": "3", "v": "4", "Content": "flat"}]'), "id").drop("i")
+    numbered = texts.json_numbered(doc(3, '{"books": [{"name": "C", "chapters": [{"chapter": 5, "verses": [{"verse": 6, "text": "numbered"}, {"verse": 7, "text": " "}]}]}]}'), "id")
+    return nested.unionByName(flat).unionByName(numbered)
+
+
+_OSIS = """<osis><verse sID="Gen.1.1" osisID="Gen.1.1"/><note type="x">n0</note><w lemma="strong:H07225">In the beginning</w><w lemma="strong:H0853"></w>
+<w lemma="strong:H0430 lemma.TR:x">God</w><w lemma="strong:H01254 strong:H0853">created</w><note>n1</note><verse eID="Gen.1.1"/><w lemma="strong:H1">stray</w>
+<verse sID="Xyz.1.1"/><w lemma="strong:H2">unknown</w><verse eID="Xyz.1.1"/></osis>"""
+
+
+def _nodes(spark: SparkSession) -> DataFrame:
+    return texts.per_file(_values(spark, "path string, text string", ("a.xml", _OSIS)), "text", texts.osis_nodes, "ord int, kind string, osis_id string, text string, lemma string, in_note boolean")
+
+
+@_query("SELECT * FROM (VALUES ('Gen.1.1', 0::BIGINT, 'In the beginning', 'H7225'), ('Gen.1.1', 1, 'God', 'H430'), ('Gen.1.1', 2, 'created', 'H1254'), ('Gen.1.1', 2, 'created', 'H853')) t(osis_ref, word_index, surface_text, number)")
+def osis_word_index(spark, sf_dir):
+    return texts.word_tags(_nodes(spark), "path")
+
+
+@_query("SELECT * FROM (VALUES ('Gen.1.1', NULL::BIGINT, 'n0'), ('Gen.1.1', 2, 'n1')) t(osis_ref, word_index, note_text)")
+def note_anchor(spark, sf_dir):
+    return texts.anchored_notes(_nodes(spark), "path")
+
+
+@_query(None)
+def html_to_markdown(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", text.html_to_markdown("html").alias("markdown"))
+
+
+@_query("SELECT * FROM (VALUES (1, 'Hello' || chr(10) || 'World é—x'), (2, '{kept} braces')) t(id, text)")
+def strip_rtf(spark, sf_dir):
+    rows = _values(spark, "id int, raw string", (1, "{\\rtf1\\ansi Hello\\par World \\'e9\\u8212?x}"), (2, " {kept} braces "))
+    return rows.select("id", text.strip_rtf("raw").alias("text"))
+
+
+@_query(
+    "SELECT string_agg('## ' || CASE WHEN event_id % 3 = 0 THEN 'Free note' ELSE event_type || ' ' || event_id % 5 END || chr(10) || chr(10) || props, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY event_type, event_id) AS document "
+    "FROM events WHERE user_id = 1"
+)
+def notes_export(spark, sf_dir):
+    free = F.col("event_id") % 3 == 0
+    label = text.anchor_label(F.when(~free, F.col("event_type")), F.col("event_id") % 5, F.lit(None))
+    block = F.concat(F.lit("## "), label, F.lit("\n\n"), F.col("props"))
+    return annotate.exported(_table(spark, sf_dir, "events").where("user_id = 1"), block, ["event_type", "event_id"])
+
+
+@_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def note_activity(spark, sf_dir):
+    return stream.activity(_table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))

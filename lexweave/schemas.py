@@ -1,0 +1,22 @@
+"""Schemas of the stored tables, as DDL."""
+
+SOURCES = "id BIGINT, title STRING, type STRING, language STRING, license_note STRING, created_at TIMESTAMP"
+BOOKS = "id BIGINT, source_id BIGINT, name STRING, sort_order INT"
+ENTRIES = "id BIGINT, book_id BIGINT, chapter INT, verse INT, position_ref STRING, text STRING, sort_order INT"
+NOTES = (
+    "id BIGINT, entry_id BIGINT, anchor_book STRING, anchor_chapter INT, anchor_verse INT, title STRING, content STRING, "
+    "pinned BOOLEAN, created_at TIMESTAMP, updated_at TIMESTAMP"
+)
+TAGS = "entry_id BIGINT, word_index INT, surface_text STRING, number STRING"
+DICTIONARY = "number STRING, lemma STRING, transliteration STRING, pronunciation STRING, short_def STRING, full_def STRING"
+ENTRY_NOTES = "entry_id BIGINT, word_index INT, note_text STRING, note_type STRING"
+META = "key STRING, value STRING"
+HIGHLIGHTERS = "id BIGINT, label STRING, color STRING, sort_order INT"
+HIGHLIGHTS = "id BIGINT, highlighter_id BIGINT, book STRING, chapter INT, verse INT, created_at TIMESTAMP"
+LINKS = (
+    "id BIGINT, book_a STRING, chapter_a INT, verse_a INT, book_b STRING, chapter_b INT, verse_b INT, highlighter_id BIGINT, "
+    "created_at TIMESTAMP"
+)
+#: What every parser gives: entries in reading order.
+PARSED = "book STRING, book_order INT, chapter INT, verse INT, position_ref STRING, text STRING, sort_order INT"
+SOURCE_TYPES = ("bible", "commentary", "extra-biblical", "reference")
