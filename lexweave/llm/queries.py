@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, jaccard, mixing, quality, sharding, topk
+from . import bpe, chat, html, jaccard, mixing, phrases, quality, sharding, suffixes, topk
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,8 @@ def _encoding(docs: DataFrame) -> DataFrame:
 @functools.cache
 def queries() -> dict[str, Query]:
     return {
+        "op1_suffix_dedup": _on("documents", suffixes.suffix_digest),
+        "op2_substring_dedup": _on("documents", phrases.passage_digest),
         "op3_exact_top_k": _on("embeddings", topk.top_k_digest),
         "op4_source_mixing": _on("documents", mixing.mixing_digest),
         "op5_sharding": _on("documents", sharding.sharding_digest),
