@@ -125,9 +125,10 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 def in_row(first: np.ndarray, k: int, n: int) -> np.ndarray:
     """Which of the ``n`` places can start k words of the same row."""
     ok = np.zeros(n + 1, np.int32)
-    counts = np.maximum(np.diff(first) - k + 1, 0)
-    np.add.at(ok, first[:-1], counts > 0)
-    np.add.at(ok, first[:-1] + counts, -(counts > 0).astype(np.int32))
+    counts = np.diff(first) - k + 1
+    start, counts = first[:-1][counts > 0], counts[counts > 0]
+    np.add.at(ok, start, 1)
+    np.add.at(ok, start + counts, -1)
     return np.cumsum(ok[:-1]) > 0
 
 
