@@ -29,7 +29,7 @@ from .suffixes import merged
 
 ANCHOR = 7
 #: Windows of an automaton, about, and stretches that one copy of an owner's automaton reads, about.
-SHARD, READS = 40_000, 200
+SHARD, READS = 15_000, 200
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
