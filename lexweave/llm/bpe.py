@@ -6,8 +6,8 @@ its left half may not be followed by its right half. What paths remain spell eve
 how the merges encode it. Since nearly all pairs of tokens may follow each other, arcs are kept as what the gadgets
 forbid, and an arc that has been looked at once is in the transition table.
 
-Encoding reads a word from left to right; for each prefix there is one token that can end it, which is found by trying the
-tokens that end here, longest first, against the state before them. Decoding emits the labels of the arcs.
+Encoding follows arcs from left to right, longest first, and goes back where none is allowed; just one path spells the
+whole word. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words kept encoded in a task, at most.
-MEMORY = 200_000
+MEMORY = 600_000
 # Fixed value: how the tokenizer file's pre-tokenizer splits, over text without white space.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+")
 #: White space of the tokenizer file's normalizer; str.split() would also split at U+001C to U+001F.
@@ -52,15 +52,7 @@ class Automaton:
         self.arcs: dict[tuple[int, int], bool] = {}
         for rank, (left, right) in enumerate(merges):
             self._gadget(rank, vocab[left], vocab[right], vocab[left + right])
-        self.longest = max((len(self._symbols(t)) for t in vocab), default=1)
-
-    def _symbols(self, token: str) -> list[str]:
-        """The token's single symbols; the mark of a word's end is part of the last."""
-        body = token.removesuffix(self.end) if self.end and token != self.end else token
-        out = list(body)
-        if out and len(body) < len(token):
-            out[-1] += self.end
-        return out or [token]
+        self.beginnings = {t[:i] for t in vocab for i in range(1, len(t))}
 
     def _gadget(self, rank: int, left: int, right: int, merged: int) -> None:
         self.rank.setdefault((left, right), rank)
@@ -97,27 +89,47 @@ class Automaton:
                 limit = born_b + 1
                 b = self.halves[b][0]
 
-    def encode(self, word: str) -> list[int]:
-        """Ids of a word in the letters of :func:`byte_letters`."""
-        n = len(word)
-        last, size = [-1] * (n + 1), [0] * (n + 1)
-        ids, follows = self.ids, self.follows
-        for i in range(1, n + 1):
-            at_end = i == n
-            for j in range(max(0, i - self.longest), i):
-                part = word[j:i]
-                token = ids.get(part + self.end if at_end else part)
-                if token is None or j and (last[j] < 0 or not follows(last[j], token)):
-                    continue
-                last[i], size[i] = token, i - j
+    def _arcs(self, word: str, at: int) -> list[tuple[int, int]]:
+        """Where arcs from place ``at`` of the word lead and what they emit, shortest first. Only one that emits the mark of
+        the word's end reaches the end."""
+        out, ids, n = [], self.ids, len(word)
+        for to in range(at + 1, n):
+            part = word[at:to]
+            token = ids.get(part)
+            if token is not None:
+                out.append((to, token))
+            elif part not in self.beginnings:
                 break
-        if last[n] < 0:
-            raise ValueError(f"no token ends {word!r}")
-        out = []
-        while n:
-            out.append(last[n])
-            n -= size[n]
-        return out[::-1]
+        token = ids.get(word[at:] + self.end)
+        if token is not None:
+            out.append((n, token))
+        return out
+
+    def encode(self, word: str) -> list[int]:
+        """Ids of a word in the letters of :func:`byte_letters`: the one path through it, longest arcs tried first. A place that
+        no allowed arc leaves is closed, so no place is tried twice in vain."""
+        n, at, follows = len(word), 0, self.follows
+        path: list[tuple[int, int]] = []  # where each arc began and what it emitted
+        closed: set[int] = set()
+        left = [self._arcs(word, 0)]
+        while at < n:
+            arcs = left[-1]
+            before = path[-1][1] if path else None
+            while arcs:
+                to, token = arcs.pop()
+                if to not in closed and (before is None or follows(before, token)):
+                    path.append((at, token))
+                    at = to
+                    if at < n:
+                        left.append(self._arcs(word, at))
+                    break
+            else:
+                if not path:
+                    raise ValueError(f"no token begins {word!r}")
+                closed.add(at)
+                at, _ = path.pop()
+                left.pop()
+        return [token for _, token in path]
 
     def decode(self, ids: list[int]) -> list[str]:
         return [self.label[i] for i in ids]
@@ -137,12 +149,19 @@ class Codec:
         self.letters = byte_letters()
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.known: dict[str, tuple[bytes, int, str]] = {}
+        self.pieces: dict[str, list[int]] = {}
 
     def _word(self, word: str) -> tuple[bytes, int, str]:
         """A word without white space: its ids, their number and what they decode to."""
         ids = []
-        for piece in PIECES.findall(word):
-            ids += self.automaton.encode("".join(map(self.letters.__getitem__, piece.encode())))
+        for piece in [word] if word.isascii() and word.isalpha() else PIECES.findall(word):
+            known = self.pieces.get(piece)
+            if known is None:
+                plain = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
+                if len(self.pieces) >= MEMORY // 3:
+                    self.pieces.clear()
+                known = self.pieces[piece] = self.automaton.encode(plain)
+            ids += known
         out = np.array(ids, "<u4").tobytes(), len(ids), " ".join(self.automaton.decode(ids))
         if len(self.known) >= MEMORY:
             self.known.clear()
