@@ -76,24 +76,26 @@ def repeated_words(words: Column) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the measures that rules may name. Null text counts as empty: every measure is 0."""
+    """Adds the measures that rules may name. Null text counts as empty: every measure is 0.
+
+    The measures come out of one generated row: a filter on them stays above it. Through a projection Catalyst would push
+    the filter down and put the splitting of the text in every place that names a measure, once for each word.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
-    return (
-        docs.withColumn("_words", words_of(F.col(text)))
-        .withColumn("_lines", lines)
-        .withColumns(
-            {
-                "n_words": F.size("_words").cast("long"),
-                "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
-                "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", ""))).cast("long"),
-                "n_lines": F.size("_lines").cast("long"),
-                "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-                "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
-                "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
-            }
-        )
-        .drop("_words", "_lines")
+    split = F.filter(F.split(t, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
+    words, lines = ("_" * (1 + max(map(len, docs.columns))) + x for x in ("words", "lines"))  # names that docs hasn't
+    measures = {
+        "n_words": F.size(words),
+        "word_chars": F.length(F.regexp_replace(t, SPACE, "")),
+        "n_symbols": F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", "")),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": repeated_words(F.col(words)),
+        "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))),
+    }
+    row = F.struct(*[v.cast("long").alias(k) for k, v in measures.items()])
+    return docs.withColumns({words: words_of(F.col(text)), lines: split}).select(
+        *[c for c in docs.columns if c not in measures], F.inline(F.array(row))
     )
 
 
