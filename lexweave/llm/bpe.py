@@ -24,8 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept encoded in a task, at most.
-MEMORY = 600_000
+from . import kernels as K
+
+#: What a Python worker keeps at most: encoded words, encoded pieces of words, arcs looked at.
+WORDS, PARTS, ARCS = 500_000, 100_000, 1_000_000
 # Fixed value: how the tokenizer file's pre-tokenizer splits, over text without white space.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+")
 #: White space of the tokenizer file's normalizer; str.split() would also split at U+001C to U+001F.
@@ -49,7 +51,7 @@ class Automaton:
         self.rank: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
         for rank, (left, right) in enumerate(merges):
             self._gadget(rank, vocab[left], vocab[right], vocab[left + right])
         self.beginnings = {t[:i] for t in vocab for i in range(1, len(t))}
@@ -65,12 +67,12 @@ class Automaton:
         Going back in time from the finished tokens: the gadget that made one of them later than the other is undone, and
         at each step the two tokens that then touch must not have been merged by an earlier gadget than was undone last.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self.arcs.get(key)
         if known is None:
+            if len(self.arcs) >= ARCS:
+                self.arcs.clear()
             known = self.arcs[key] = self._follows(left, right)
-            if len(self.arcs) > 4_000_000:
-                self.arcs = {}
         return known
 
     def _follows(self, a: int, b: int) -> bool:
@@ -132,7 +134,7 @@ class Automaton:
         return [token for _, token in path]
 
     def decode(self, ids: list[int]) -> list[str]:
-        return [self.label[i] for i in ids]
+        return list(map(self.label.__getitem__, ids))
 
 
 class Codec:
@@ -148,44 +150,49 @@ class Codec:
         self.automaton = Automaton(vocab, merges, model["end_of_word_suffix"] or "")
         self.letters = byte_letters()
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.known: dict[str, tuple[bytes, int, str]] = {}
+        self.automaton.label |= {i: t for t, i in self.special.items()}
+        self.known: dict[str, bytes] = {}
         self.pieces: dict[str, list[int]] = {}
 
-    def _word(self, word: str) -> tuple[bytes, int, str]:
-        """A word without white space: its ids, their number and what they decode to."""
+    def _word(self, word: str) -> bytes:
+        """The ids of a word without white space."""
         ids = []
         for piece in [word] if word.isascii() and word.isalpha() else PIECES.findall(word):
             known = self.pieces.get(piece)
             if known is None:
                 plain = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
-                if len(self.pieces) >= MEMORY // 3:
-                    self.pieces.clear()
-                known = self.pieces[piece] = self.automaton.encode(plain)
+                known = self.automaton.encode(plain)
+                if piece is not word:  # a word of one piece is kept once
+                    if len(self.pieces) >= PARTS:
+                        self.pieces.clear()
+                    self.pieces[piece] = known
             ids += known
-        out = np.array(ids, "<u4").tobytes(), len(ids), " ".join(self.automaton.decode(ids))
-        if len(self.known) >= MEMORY:
+        out = np.array(ids, "<u4").tobytes()
+        if len(self.known) >= WORDS:
             self.known.clear()
         self.known[word] = out
         return out
 
-    def _plain(self, text: str) -> list[tuple[bytes, int, str]]:
+    def _plain(self, text: str) -> list[bytes]:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
         words = [w for w in _SPACES.split(text) if w] if _ODD.search(text) else text.split()
         get = self.known.get
-        return [get(w) or self._word(w) for w in words]
+        return [known if (known := get(w)) is not None else self._word(w) for w in words]
 
-    def encode(self, text: str) -> tuple[bytes, int, str]:
-        """Ids as little-endian 32-bit numbers, their number, and the text they decode to."""
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit numbers."""
         parts = []
         for k, piece in enumerate(self.specials.split(text) if "<|" in text else [text]):
             if k % 2:
-                parts.append((np.array([self.special[piece]], "<u4").tobytes(), 1, piece))
+                parts.append(np.array([self.special[piece]], "<u4").tobytes())
             elif piece:
                 parts += self._plain(piece)
-        parts = [p for p in parts if p[1]]
-        return b"".join([p[0] for p in parts]), sum([p[1] for p in parts]), " ".join([p[2] for p in parts])
+        return b"".join(parts)
+
+    def decode(self, ids: np.ndarray) -> str:
+        return " ".join(self.automaton.decode(ids.tolist()))
 
 
 _codecs: dict[str, Codec] = {}
@@ -201,19 +208,19 @@ def codec(path: str) -> Codec:
 def _run(path: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
+        kinds = (pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.string())
         for batch in batches:
-            ns, ids, texts = [], [], []
-            for x in batch.column("text"):
-                b, n, t = c.encode(x.as_py() or "")
-                ns.append(n)
-                if digest:
-                    ids.append(hashlib.sha256(b).hexdigest())
-                    texts.append(hashlib.sha256(t.encode()).hexdigest())
-                else:
-                    ids.append(np.frombuffer(b, "<u4").astype(np.int32))
-                    texts.append(t)
-            kinds = (pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(ids, kinds[0]), pa.array(texts, kinds[1])], names=["doc_id", "n_tokens", "ids", "decoded"])
+            _, off = K.buffers(batch.column("text"))
+            for lo, hi in K.pieces(off):  # what is held follows from a piece's size, not from a batch's
+                ns, ids, texts = [], [], []
+                for x in batch.column("text").slice(lo, hi - lo):
+                    b = c.encode(x.as_py() or "")
+                    row = np.frombuffer(b, "<u4")
+                    t = c.decode(row)
+                    ns.append(len(row))
+                    ids.append(hashlib.sha256(b).hexdigest() if digest else row.astype(np.int32))
+                    texts.append(hashlib.sha256(t.encode()).hexdigest() if digest else t)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(ns, pa.int64()), pa.array(ids, kinds[0]), pa.array(texts, kinds[1])], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return run
 
