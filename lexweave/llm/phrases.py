@@ -28,8 +28,8 @@ from .common import n_partitions, written
 from .suffixes import merged
 
 ANCHOR = 7
-#: Windows of an automaton, about, and stretches that one copy of an owner's automaton reads, about.
-SHARD, READS = 15_000, 200
+#: Windows of an automaton, about; stretches that one copy of an owner's automaton reads, about; bytes read by a shard, about.
+SHARD, READS, HELD = 15_000, 200, 1 << 24
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -110,8 +110,8 @@ def _stretches(size: int):
         for batch in batches:
             data, off = K.buffers(batch.column("text"))
             hits = batch.column("hits")
-            ids, firsts, texts = [], [], []
             for a, b in K.pieces(off):
+                ids, firsts, texts = [], [], []
                 w, row, at, anchor, _ = _hashed(data, off[a : b + 1], size)
                 rs, re_ = K.runs(row)
                 for lo, hi in zip(rs.tolist(), re_.tolist()):
@@ -121,7 +121,7 @@ def _stretches(size: int):
                         ids.append(batch.column("doc_id")[a + r].as_py())
                         firsts.append(x - int(w.first[r]))
                         texts.append(w.data[w.start[x] : w.end[y - 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(firsts, pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "first", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(firsts, pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "first", "text"])
 
     return run
 
@@ -157,8 +157,8 @@ def _by_owner(size: int):
         for batch in batches:
             data, off = K.buffers(batch.column("text"))
             doc, first, hits = batch.column("doc_id").to_pylist(), batch.column("first").to_pylist(), batch.column("hits")
-            out: list[tuple] = []
             for a, b in K.pieces(off):
+                out: list[tuple] = []
                 w, row, at, _, h = _hashed(data, off[a : b + 1], size)
                 rs, re_ = K.runs(row)
                 for lo, hi in zip(rs.tolist(), re_.tolist()):
@@ -175,8 +175,8 @@ def _by_owner(size: int):
                         for i, j in _joined(where[x:y], size):
                             k = a + r
                             out.append((int(owner[x]), doc[k], first[k] + i - int(w.first[r]), w.data[w.start[i] : w.end[j - 1]].tobytes()))
-            cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["owner", "doc_id", "first", "text"])
+                cols = list(zip(*out)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["owner", "doc_id", "first", "text"])
 
     return run
 
@@ -220,7 +220,7 @@ def _located(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages: list[bytes] = []
         reads: list[tuple[int, int, bytes]] = []
-        held, last = 0, None
+        held, size_held, last = 0, 0, None
 
         def flush() -> pa.RecordBatch:
             shard, out = Shard(passages, size), []
@@ -231,11 +231,12 @@ def _located(size: int):
 
         for batch in batches:
             for owner, part, is_owner, doc, first, text in zip(*[batch.column(c).to_pylist() for c in ("owner", "part", "is_owner", "doc_id", "first", "text")]):
-                if held >= SHARD and (owner, part) != last:
+                if (held >= SHARD or size_held >= HELD) and (owner, part) != last:
                     yield flush()
-                    passages, reads, held = [], [], 0
+                    passages, reads, held, size_held = [], [], 0, 0
                 last = owner, part
                 held += text.count(b" ") + 1 if is_owner else 0
+                size_held += len(text)
                 if is_owner:
                     passages.append(text)
                 else:
