@@ -6,8 +6,9 @@ of the running sum crosses. Documents are ordered by size within the source, so
 one document of the target.
 
 The running sum of equal steps is a rank. Ranks are counted without bringing a source together: rows are grouped by
-(source, size, chunk), chunks hold about ``CHUNK`` rows each however many copies of one size there are, and the ranks
-before each chunk come from the counts of chunks.
+(source, size, chunk), chunks hold about ``CHUNK`` rows each however many copies of one size there are. The ranks before a
+chunk are a sum of three: the rows of the source's smaller sizes, of the size's former bands of ``BAND`` chunks, and of the
+band's former chunks. So no task sorts more than the sizes of a source, the bands of a size or the chunks of a band.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .common import n_words_of, written
 
 #: Rows of one chunk, about.
 CHUNK = 400
+#: Chunks of one band.
+BAND = 4096
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT, MOST = 150, 2
 
@@ -71,11 +74,20 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "") -
         .join(cut.alias("b"), same("a", "b", "source", "size"))
         .select("a.*", F.coalesce(F.pmod(F.col("doc_id"), F.col("n_chunks")), F.lit(0).cast("long")).alias("chunk"))
     )
-    before = Window.partitionBy("source").orderBy("size", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    def former(*keys: str, by: str) -> Column:
+        rows = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("count").over(rows), F.lit(0))
+
+    counts = placed.groupBy("source", "size", "chunk").count().withColumn("band", F.floor(F.col("chunk") / BAND))
+    of_sizes = sizes.withColumn("before_size", former("source", by="size"))
+    of_bands = counts.groupBy("source", "size", "band").agg(F.sum("count").alias("count")).withColumn("before_band", former("source", "size", by="band"))
+    before = F.col("a.before_chunk") + F.col("b.before_band") + F.col("c.before_size")
     chunks = (
-        placed.groupBy("source", "size", "chunk")
-        .count()
-        .withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+        counts.withColumn("before_chunk", former("source", "size", "band", by="chunk"))
+        .alias("a")
+        .join(of_bands.alias("b"), same("a", "b", "source", "size", "band"))
+        .join(of_sizes.alias("c"), same("a", "c", "source", "size"))
+        .select("a.source", "a.size", "a.chunk", before.alias("before"))
     )
     at = (
         chunks.alias("a")
