@@ -10,6 +10,7 @@ Pages are extracted one by one (``mapInArrow`` over the scan's own partitions):
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -76,8 +77,19 @@ def parsed(html: str) -> Node:
     """The tree of a page: children are nodes and strings with their character references decoded."""
     root = at = Node("#root", None, False)
     pos = 0
+    opened: Counter[str] = Counter()  # open elements by tag: without one, there is no way up to go
+
+    def left(node: Node) -> Node:
+        """Closes ``node`` and what is open in it."""
+        inner = at
+        while inner is not node.parent:
+            opened[inner.tag] -= 1
+            inner = inner.parent
+        return inner
 
     def within(node: Node, tags: set[str], until: set[str] = frozenset()) -> Node | None:
+        if not any(map(opened.__getitem__, tags)):
+            return None
         while node.parent is not None:
             if node.tag in tags:
                 return node
@@ -97,20 +109,21 @@ def parsed(html: str) -> Node:
         tag = m[2].lower()
         if m[1]:
             if (node := within(at, {tag})) is not None:
-                at = node.parent
+                at = left(node)
             continue
         if tag in CLOSES_P and (node := within(at, {"p"}, BOUNDS - {"p"} | {"td", "li", "button"})) is not None:
-            at = node.parent
+            at = left(node)
         for old, by in ENDED_BY.items():
             if tag in by and (node := within(at, {old}, BOUNDS)) is not None:
-                at = node.parent
-        node = Node(tag, at, at.out or left_out(tag, m[3], within(at, {"article", "main"}) is not None))
+                at = left(node)
+        node = Node(tag, at, at.out or left_out(tag, m[3], opened["article"] > 0 or opened["main"] > 0))
         at.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
             pos = end.end() if end else len(html)
         elif tag not in VOID:
             at = node
+            opened[tag] += 1
     if pos < len(html):
         at.children.append(unescape(html[pos:]))
     return root
