@@ -72,7 +72,7 @@ def _first_pass(n_buckets: int):
     """Rows for the documents' sizes and classes (in ``owner``, with the ids in ``h``) and for prefixes in hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.slices(batches):
             sets = list(shingle_sets(batch))
             n = np.array([len(s) for s in sets], np.int64)
             own = np.array([class_of(s) for s in sets], np.int64)
@@ -109,7 +109,7 @@ def _first_match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _whole_sets(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.slices(batches):
             want = batch.column("class").to_numpy()
             sets = list(shingle_sets(batch))
             ok = np.array([class_of(s) == c for s, c in zip(sets, want)], bool)  # a doc_id may have several texts

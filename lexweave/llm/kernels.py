@@ -22,6 +22,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes hashed at once, about; a single longer text is hashed whole.
 PIECE = 1 << 20
+#: Bytes of text whose hashes are packed together, about.
+SLICE = 1 << 24
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -77,15 +79,24 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data if data is not None else b"", np.uint8), off
 
 
-def pieces(off: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of about PIECE bytes."""
+def pieces(off: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes."""
     n, a = len(off) - 1, 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + PIECE, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``size`` bytes of text: a batch's rows are counted, its bytes are not, so what a task
+    holds must not follow from a batch."""
+    for batch in batches:
+        _, off = buffers(batch.column("text"))
+        for a, b in pieces(off, size):
+            yield batch.slice(a, b - a)
+
+
 @dataclass
 class Words:
     """The words of a range of rows: where they start and end in ``data``, and the row that each is in."""

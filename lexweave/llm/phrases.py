@@ -49,7 +49,7 @@ def _hashed(data: np.ndarray, off: np.ndarray, size: int) -> tuple[K.Words, np.n
 
 def _anchors(size: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.slices(batches):
             data, off = K.buffers(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -136,7 +136,7 @@ def _joined(at: np.ndarray, size: int) -> list[tuple[int, int]]:
 
 def _window_hashes(size: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.slices(batches):
             data, off = K.buffers(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -269,7 +269,7 @@ def repeated_ranges(docs: DataFrame, size: int = 13) -> DataFrame:
 
 
 def _kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[int], list[bytes]]]:
-    for batch in batches:
+    for batch in K.slices(batches, K.PIECE):
         total, removed, kept = [], [], []
         for text, a, b in zip(batch.column("text"), batch.column("a").to_pylist(), batch.column("b").to_pylist()):
             words = _WORD.findall(text.as_buffer().to_pybytes()) if text.is_valid else []
