@@ -7,9 +7,10 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lexweave.llm import bpe, chat, html, jaccard, mixing, phrases, quality, queries, sharding, suffixes, topk
+from lexweave.llm import bpe, chat, html, jaccard, kernels, mixing, phrases, quality, queries, sharding, suffixes, topk
 from oracle import SF, compare
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -200,6 +201,31 @@ def test_html(spark):
     assert got == {i: t for i, (_, t) in enumerate(PAGES)}
 
 
+def test_html_of_very_deep_nesting():
+    page = "<article>" + "<div>" * 20_000 + "<b>" * 20_000 + "x, y" + "<p>z" * 500 + "</article><p>after"
+    assert html.main_text(page).split() == ["x,", "y", *["z"] * 500]
+
+
+def test_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * 9, None, "", "é" * 9, "b", "c", "d" * 40])], names=["doc_id", "text"])
+    parts = list(kernels.slices(iter([batch.slice(1), batch.slice(0, 1)]), 20))
+    assert [i for x in parts for i in x.column("doc_id").to_pylist()] == [1, 2, 3, 4, 5, 6, 0] and len(parts) == 3
+
+
+@pytest.mark.parametrize("chunk,band", [(1, 2), (2, 1), (400, 4096)])
+def test_mixing_ranks(spark, docs, monkeypatch, chunk, band):
+    """Every row of a source has a rank of its own, however ranks are split: doubling a source takes each row twice."""
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    monkeypatch.setattr(mixing, "BAND", band)
+    rows = [(i, "w " * (1 + i % 3), "ab"[i % 5 == 0]) for i in range(60)]
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == 60
+    for s in "ab":
+        part = [r for r in out if r["source"] == s]
+        ranks = len(part) * part[0]["target"] / part[0]["source_size"]
+        assert abs(sum(r["copies"] for r in part) - ranks) <= 1
+
+
 def test_bpe(docs, real):
     from tokenizers import Tokenizer
 
