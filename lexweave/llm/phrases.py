@@ -55,7 +55,8 @@ def _anchors(size: int, n_buckets: int):
             rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for a, b in K.pieces(off):
                 _, row, _, anchor, _ = _hashed(data, off[a : b + 1], size)
-                s, _ = K.runs(anchor)
+                # A run also ends with its row: the next row needs an entry of its own for an equal anchor.
+                s = np.union1d(K.runs(row)[0], K.runs(anchor)[0])
                 rows.append(row[s] + a)
                 hashes.append(anchor[s])
             row, h = np.concatenate(rows), np.concatenate(hashes)

@@ -91,6 +91,16 @@ def test_phrases(docs, real, monkeypatch, reads):
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, kept_words(rows)))
 
 
+def test_phrases_of_adjacent_rows(spark):
+    """Equal anchors at the end of one row and the start of the next."""
+    words = lambda a, n: " ".join(f"q{a}x{i}" for i in range(n))
+    texts = [words(n, n) for n in range(13, 20) for _ in range(3)] + ["again " * 30] * 2
+    texts += [words("h", 40) + " " + words("p", 13), words("p", 13) + " " + words("t", 40)]
+    rows = list(enumerate(texts))
+    got = phrases.passage_digest(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, kept_words(rows)))
+
+
 def brute_components(rows):
     sets = []
     for _, t in rows:
