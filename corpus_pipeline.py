@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import bpe, jaccard, mixing, phrases, quality
-from lexweave.llm.common import read, written
+from lexweave.llm.common import numbered, read, written
 from lexweave.llm.queries import tokenizer_path
 
 #: No SQL expresses the encoding; the stages are tested one by one.
@@ -33,9 +33,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it. Rows that share a doc_id are taken as often as the one taken most."""
-    copies = mixing.mixed(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    """Each row as often as the mix takes it, also where doc_ids are null or repeated."""
+    rows = numbered(docs)
+    copies = mixing.mixed(rows, key="_row").where("copies > 0").select("_row", F.col("copies").cast("int").alias("_copies"))
+    taken = rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return taken.select(*docs.columns)
 
 

@@ -44,5 +44,10 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a number of its own for each row as ``_row``, written so that the number stays."""
+    return written(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

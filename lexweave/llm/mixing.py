@@ -56,13 +56,14 @@ def offset_of(source: Column, seed: str = "") -> Column:
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "") -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "", key: str | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): size, source_size, target, copies, taken.
 
     Null text has size 0, a null source is a source of its own, rows of size 0 take nothing. Repeated rows are sampled
-    each. No document is taken more than twice.
+    each. No document is taken more than twice. ``key``: a column that tells rows apart; it comes along.
     """
-    base = written(docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size")))
+    keys = [key] if key else []
+    base = written(docs.select("doc_id", *keys, "source", n_words_of(F.col("text")).alias("size")))
     sizes = base.groupBy("source", "size").count()
     target = targets(
         sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("source_size")), weights
@@ -94,14 +95,14 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "") -
         .join(target.alias("b"), same("a", "b", "source"))
         .select("a.source", "a.size", "a.chunk", "a.before", "b.source_size", "b.target", "b.rate")
     )
-    within = Window.partitionBy("source", "size", "chunk").orderBy("doc_id")
+    within = Window.partitionBy("source", "size", "chunk").orderBy("doc_id", *keys)
     u = offset_of(F.col("source"), seed)
     upto = lambda k: F.floor(k * F.col("rate") + u)
     return (
         placed.withColumn("nth", F.row_number().over(within))
         .alias("a")
         .join(at.alias("b"), same("a", "b", "source", "size", "chunk"))
-        .select("a.doc_id", "a.source", "a.size", "b.source_size", "b.target", "b.rate", (F.col("a.nth") + F.col("b.before")).alias("k"))
+        .select("a.doc_id", *[f"a.{k}" for k in keys], "a.source", "a.size", "b.source_size", "b.target", "b.rate", (F.col("a.nth") + F.col("b.before")).alias("k"))
         .withColumn("copies", (upto(F.col("k")) - upto(F.col("k") - 1)).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
         .drop("rate", "k")

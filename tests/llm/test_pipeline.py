@@ -3,6 +3,7 @@
 import collections
 
 import corpus_pipeline as p
+from lexweave.llm import mixing
 from oracle import SF
 from test_queries import brute_components, kept_words
 
@@ -21,3 +22,20 @@ def test_stages(spark):
     assert mix.columns == docs.columns
     assert max(collections.Counter(r["doc_id"] for r in mix.collect()).values()) <= 2
     assert p.encode(spark, mix, SF).count() == mix.count()
+
+
+def test_mix_of_null_and_repeated_ids(spark):
+    """Each row is taken by its own copies."""
+    rows = [(None if i % 3 else i // 6, f"t{i} " + "w " * (i % 4), "ab"[i % 5 == 0]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = collections.Counter(tuple(r) for r in p.mix_sources(spark, docs, SF).collect())
+    assert set(out) <= set(rows) and max(out.values()) <= 2
+    words, copies, per_row = collections.Counter(), collections.Counter(), mixing.mixed(docs).collect()
+    for (i, text, source), n in out.items():
+        words[source] += n * len(text.split())
+        copies[i, source] += n
+    want = collections.Counter()
+    for r in per_row:
+        want[r["doc_id"], r["source"]] += r["copies"]
+    assert copies == +want
+    assert all(abs(words[r["source"]] - r["target"]) <= 8 for r in per_row)
