@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import packed
-from .common import n_partitions, written
+from .common import n_partitions, numbered, written
 from .graph import components
 
 SHINGLE = 5
@@ -289,6 +289,12 @@ def joined(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: its least doc_id. All columns stay; rows with a null doc_id stay."""
-    kept = joined(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    """``docs`` with one row of each component: of its least doc_id, null last. All columns stay; rows without words stay.
+
+    Rows are told apart by numbers of their own, so rows with null or repeated doc_ids are compared as all others are.
+    """
+    rows = numbered(docs)
+    found = joined(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").drop("_row")

@@ -105,14 +105,14 @@ def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _stretches(size: int):
-    """The stretches of each text whose windows have an anchor that another document has: first word's place and text."""
+    """The stretches of each text whose windows have an anchor that another document has: row key, first word's place, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = K.buffers(batch.column("text"))
-            hits = batch.column("hits")
+            hits, key = batch.column("hits"), batch.column("k").to_pylist()
             for a, b in K.pieces(off):
-                ids, firsts, texts = [], [], []
+                ids, keys, firsts, texts = [], [], [], []
                 w, row, at, anchor, _ = _hashed(data, off[a : b + 1], size)
                 rs, re_ = K.runs(row)
                 for lo, hi in zip(rs.tolist(), re_.tolist()):
@@ -120,9 +120,10 @@ def _stretches(size: int):
                     keep = at[lo:hi][np.isin(anchor[lo:hi], np.frombuffer(hits[a + r].as_buffer(), np.uint64))]
                     for x, y in _joined(keep, size):
                         ids.append(batch.column("doc_id")[a + r].as_py())
+                        keys.append(key[a + r])
                         firsts.append(x - int(w.first[r]))
                         texts.append(w.data[w.start[x] : w.end[y - 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(firsts, pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "first", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(firsts, pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "k", "first", "text"])
 
     return run
 
@@ -152,12 +153,12 @@ def _window_hashes(size: int, n_buckets: int):
 
 
 def _by_owner(size: int):
-    """Each stretch in parts whose windows have one owner: owner, doc_id, first word's place, text."""
+    """Each stretch in parts whose windows have one owner: owner, doc_id, row key, first word's place, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = K.buffers(batch.column("text"))
-            doc, first, hits = batch.column("doc_id").to_pylist(), batch.column("first").to_pylist(), batch.column("hits")
+            doc, key, first, hits = batch.column("doc_id").to_pylist(), batch.column("k").to_pylist(), batch.column("first").to_pylist(), batch.column("hits")
             for a, b in K.pieces(off):
                 out: list[tuple] = []
                 w, row, at, _, h = _hashed(data, off[a : b + 1], size)
@@ -175,9 +176,9 @@ def _by_owner(size: int):
                     for x, y in zip(s.tolist(), e.tolist()):
                         for i, j in _joined(where[x:y], size):
                             k = a + r
-                            out.append((int(owner[x]), doc[k], first[k] + i - int(w.first[r]), w.data[w.start[i] : w.end[j - 1]].tobytes()))
-                cols = list(zip(*out)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["owner", "doc_id", "first", "text"])
+                            out.append((int(owner[x]), doc[k], key[k], first[k] + i - int(w.first[r]), w.data[w.start[i] : w.end[j - 1]].tobytes()))
+                cols = list(zip(*out)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["owner", "doc_id", "k", "first", "text"])
 
     return run
 
@@ -216,22 +217,22 @@ class Shard:
 
 
 def _located(size: int):
-    """Over rows (owner, part, is_owner, doc_id, first, text), an owner's passages first: word ranges to remove."""
+    """Over rows (owner, part, is_owner, doc_id, k, first, text), an owner's passages first: word ranges to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages: list[bytes] = []
-        reads: list[tuple[int, int, bytes]] = []
+        reads: list[tuple[int, int, int, bytes]] = []
         held, size_held, last = 0, 0, None
 
         def flush() -> pa.RecordBatch:
             shard, out = Shard(passages, size), []
-            for doc, first, text in reads:
-                out += [(doc, first + a, first + b) for a, b in _joined(np.unique(shard.starts(text)), size)]
-            cols = list(zip(*out)) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "a", "b"])
+            for doc, key, first, text in reads:
+                out += [(doc, key, first + a, first + b) for a, b in _joined(np.unique(shard.starts(text)), size)]
+            cols = list(zip(*out)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "k", "a", "b"])
 
         for batch in batches:
-            for owner, part, is_owner, doc, first, text in zip(*[batch.column(c).to_pylist() for c in ("owner", "part", "is_owner", "doc_id", "first", "text")]):
+            for owner, part, is_owner, doc, key, first, text in zip(*[batch.column(c).to_pylist() for c in ("owner", "part", "is_owner", "doc_id", "k", "first", "text")]):
                 if (held >= SHARD or size_held >= HELD) and (owner, part) != last:
                     yield flush()
                     passages, reads, held, size_held = [], [], 0, 0
@@ -241,7 +242,7 @@ def _located(size: int):
                 if is_owner:
                     passages.append(text)
                 else:
-                    reads.append((doc, first, text))
+                    reads.append((doc, key, first, text))
         if passages:
             yield flush()
 
@@ -249,24 +250,24 @@ def _located(size: int):
 
 
 def repeated_ranges(docs: DataFrame, size: int = 13) -> DataFrame:
-    """``docs`` (doc_id, text) to (doc_id, a, b): ranges of words that a document with a smaller doc_id has."""
+    """``docs`` (doc_id, k, text; k tells unlike rows of a doc_id apart) to (doc_id, k, a, b): ranges of a row's words that a document with a smaller doc_id has."""
     p = n_partitions(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     hits = packed.by_bucket(rows.mapInArrow(_anchors(size, p), packed.SCHEMA)).mapInArrow(_shared(p), packed.SCHEMA)
     hits = packed.by_bucket(hits).mapInArrow(_per_document, "doc_id long, hits binary")
-    stretches = written(rows.join(hits, "doc_id").mapInArrow(_stretches(size), "doc_id long, first long, text binary"))
+    stretches = written(rows.join(hits, "doc_id").mapInArrow(_stretches(size), "doc_id long, k long, first long, text binary"))
 
     windows = packed.by_bucket(stretches.mapInArrow(_window_hashes(size, p), packed.SCHEMA)).mapInArrow(_owned(p), packed.SCHEMA)
     windows = packed.by_bucket(windows).mapInArrow(_per_document, "doc_id long, hits binary")
-    parts = written(stretches.join(windows, "doc_id").mapInArrow(_by_owner(size), "owner long, doc_id long, first long, text binary"))
+    parts = written(stretches.join(windows, "doc_id").mapInArrow(_by_owner(size), "owner long, doc_id long, k long, first long, text binary"))
 
     is_owner = F.col("owner") == F.col("doc_id")
     copies = parts.where(~is_owner).groupBy("owner").agg(F.ceil(F.count("*") / READS).cast("int").alias("n"))
     mine = parts.where(is_owner).join(copies, "owner").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    theirs = parts.where(~is_owner).join(copies, "owner").withColumn("part", F.pmod(F.xxhash64("doc_id", "first"), F.col("n")).cast("int"))
-    both = mine.unionByName(theirs).select("owner", "part", (F.col("owner") == F.col("doc_id")).alias("is_owner"), "doc_id", "first", "text")
+    theirs = parts.where(~is_owner).join(copies, "owner").withColumn("part", F.pmod(F.xxhash64("doc_id", "k", "first"), F.col("n")).cast("int"))
+    both = mine.unionByName(theirs).select("owner", "part", (F.col("owner") == F.col("doc_id")).alias("is_owner"), "doc_id", "k", "first", "text")
     dealt = both.repartition(p, "owner", "part").sortWithinPartitions("owner", "part", F.desc("is_owner"))
-    return dealt.mapInArrow(_located(size), "doc_id long, a long, b long")
+    return dealt.mapInArrow(_located(size), "doc_id long, k long, a long, b long")
 
 
 def _kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[int], list[bytes]]]:
@@ -302,14 +303,15 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_ranges(docs: DataFrame, size: int) -> DataFrame:
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lists = repeated_ranges(ids, size).groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    return docs.join(lists, "doc_id", "left")
+    rows = docs.withColumn("k", F.xxhash64(F.col("text").cast("string")))
+    ids = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "k", F.col("text").cast("string").alias("text"))
+    lists = repeated_ranges(ids, size).groupBy("doc_id", "k").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    return rows.join(lists, ["doc_id", "k"], "left").drop("k")
 
 
 def passage_digest(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256. Null or empty text has no words; a row with a null doc_id loses
-    nothing and takes nothing from others; rows that share a doc_id are one document and take nothing from each other."""
+    nothing and takes nothing from others; rows that share a doc_id are one document and take nothing from each other, and each loses its own ranges."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _with_ranges(docs.select("doc_id", F.col("text").cast("string").alias("text")), 13)
     return rows.mapInArrow(_digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
@@ -317,7 +319,7 @@ def passage_digest(docs: DataFrame) -> DataFrame:
 
 def without_passages(docs: DataFrame, size: int = 13) -> DataFrame:
     """``docs`` with repeated passages cut out of their texts; the words that stay are joined by one space."""
-    plain = docs.withColumn("text", F.col("text").cast("string")).drop("a", "b")
+    plain = docs.withColumn("text", F.col("text").cast("string")).drop("a", "b", "k")
     out = _with_ranges(plain, size)
     fields = [f for f in out.schema.fields if f.name not in ("a", "b")]
     return out.mapInArrow(_texts, type(out.schema)(fields)).select(*plain.columns)

@@ -101,6 +101,23 @@ def test_phrases_of_adjacent_rows(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, kept_words(rows)))
 
 
+def test_phrases_of_unlike_rows_with_one_id(spark):
+    """Each row loses its own ranges, and none of another row with its doc_id."""
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, words("s", 20) + " " + words("t", 30)), (2, words("x", 60)), (2, words("y", 9) + " " + words("s", 20) + " " + words("z", 9)), (2, words("t", 30) + " end"), (2, None)]
+    got = phrases.passage_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, kept_words(rows)))
+
+
+def test_one_of_each_by_rows(spark):
+    """One row of each component, whatever doc_ids rows share or lack."""
+    words = lambda a: " ".join(f"{a}{i}" for i in range(40))
+    rows = [(1, words("a")), (1, words("a")), (1, words("b")), (2, words("b")), (3, words("c")), (1, words("c")), (None, words("d")), (None, words("d")), (None, words("a")), (4, words("e")), (None, ""), (None, "")]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, words("a")), (1, words("b")), (1, words("c")), (None, words("d")), (4, words("e")), (None, ""), (None, "")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def brute_components(rows):
     sets = []
     for _, t in rows:
