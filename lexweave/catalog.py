@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import names, text
@@ -247,6 +247,13 @@ def first_source_text(spark, sf_dir):
     return got.select("doc_id", F.length("text").cast("long").alias("n"))
 
 
+@_query("WITH one AS (SELECT source, arg_min(text, doc_id) AS t FROM documents GROUP BY source) SELECT doc_id, length(coalesce(t, ''))::BIGINT AS n FROM documents LEFT JOIN one USING (source)")
+def first_source_text_of_all(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    got = annotate.first_text(docs, docs.select("doc_id", "source"), ["source"], "text", ["doc_id"])
+    return got.select("doc_id", F.length("text").cast("long").alias("n"))
+
+
 _OLD = "old AS (SELECT c_custkey AS id, c_nationkey AS chapter, c_custkey AS verse, c_custkey % 4 AS color FROM customer WHERE c_custkey % 2 = 0)"
 _NEW = "new AS (SELECT c_custkey AS id, c_nationkey AS chapter, c_custkey AS verse, 9::BIGINT AS color FROM customer WHERE c_custkey % 3 = 0)"
 
@@ -302,8 +309,18 @@ def note_order_nulls_last(spark, sf_dir):
     e = _table(spark, sf_dir, "events").where("user_id % 10 = 1").select(
         F.col("event_id").alias("id"), (F.col("event_type") == "click").alias("pinned"), F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 9).alias("anchor_verse"), F.col("ts").alias("updated_at")
     )
-    w = Window.orderBy(F.desc("pinned"), F.asc_nulls_last("anchor_verse"), F.desc("updated_at"), "id")
-    return e.select(F.col("id").alias("event_id"), F.row_number().over(w).cast("long").alias("place"))
+    return annotate.note_places(e).select(F.col("id").alias("event_id"), "place")
+
+
+@_query(
+    "SELECT event_id, (row_number() OVER (ORDER BY event_type = 'click' DESC, v NULLS LAST, ts DESC, event_id))::BIGINT AS place "
+    "FROM (SELECT *, CASE WHEN event_id % 4 > 0 THEN event_id % 9 END AS v FROM events)"
+)
+def note_order_of_all(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), (F.col("event_type") == "click").alias("pinned"), F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 9).alias("anchor_verse"), F.col("ts").alias("updated_at")
+    )
+    return annotate.note_places(e).select(F.col("id").alias("event_id"), "place")
 
 
 @_query(
@@ -331,10 +348,19 @@ def align_greedy(spark, sf_dir):
     return rows.select("id", F.array_join(F.transform(text.aligned(F.col("text"), F.col("slots")), lambda x: x.cast("string")), ",").alias("starts"))
 
 
+def _slot_groups(tags: DataFrame) -> DataFrame:
+    rows = tags.withColumn("id", F.when(F.col("number") == F.col("surface_text"), 0).otherwise(1))
+    return concordance.grouped_slots(rows.dropDuplicates(["entry_id", "word_index", "number"]).unionByName(rows.where(F.length("surface_text") <= 3).withColumn("id", F.lit(2)).dropDuplicates(["entry_id", "word_index"]))).select("entry_id", F.col("word_index").cast("long").alias("word_index"), "surface_text", "numbers")
+
+
 @_query(f"WITH {_TAGS} SELECT entry_id, word_index::BIGINT AS word_index, surface_text, surface_text || ' ' || substr(surface_text, 1, 3) AS numbers FROM tags WHERE lang = 'es' GROUP BY ALL")
 def slot_group(spark, sf_dir):
-    rows = _tags(spark, sf_dir).where("lang = 'es'").withColumn("id", F.when(F.col("number") == F.col("surface_text"), 0).otherwise(1))
-    return concordance.grouped_slots(rows.dropDuplicates(["entry_id", "word_index", "number"]).unionByName(rows.where(F.length("surface_text") <= 3).withColumn("id", F.lit(2)).dropDuplicates(["entry_id", "word_index"]))).select("entry_id", F.col("word_index").cast("long").alias("word_index"), "surface_text", "numbers")
+    return _slot_groups(_tags(spark, sf_dir).where("lang = 'es'"))
+
+
+@_query(f"WITH {_TAGS} SELECT entry_id, word_index::BIGINT AS word_index, surface_text, surface_text || ' ' || substr(surface_text, 1, 3) AS numbers FROM tags GROUP BY ALL")
+def slot_group_of_all(spark, sf_dir):
+    return _slot_groups(_tags(spark, sf_dir))
 
 
 @_query(f"WITH {_TAGS}, c AS (SELECT entry_id, number FROM tags WHERE word_index = 0) SELECT DISTINCT entry_id, word_index::BIGINT AS word_index FROM tags SEMI JOIN c USING (entry_id, number)")
@@ -446,10 +472,21 @@ def strip_rtf(spark, sf_dir):
     "FROM events WHERE user_id = 1"
 )
 def notes_export(spark, sf_dir):
+    return annotate.exported(_table(spark, sf_dir, "events").where("user_id = 1"), _note_block(), ["event_type", "event_id"])
+
+
+def _note_block() -> Column:
     free = F.col("event_id") % 3 == 0
     label = text.anchor_label(F.when(~free, F.col("event_type")), F.col("event_id") % 5, F.lit(None))
-    block = F.concat(F.lit("## "), label, F.lit("\n\n"), F.col("props"))
-    return annotate.exported(_table(spark, sf_dir, "events").where("user_id = 1"), block, ["event_type", "event_id"])
+    return F.concat(F.lit("## "), label, F.lit("\n\n"), F.col("props"))
+
+
+@_query(
+    "SELECT (row_number() OVER (ORDER BY event_type, event_id))::BIGINT AS place, '## ' || CASE WHEN event_id % 3 = 0 THEN 'Free note' ELSE event_type || ' ' || event_id % 5 END || chr(10) || chr(10) || props AS block FROM events"
+)
+def notes_export_of_all(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").withColumn("thousand", F.floor(F.col("event_id") / 1000))
+    return annotate.export_blocks(rows, _note_block(), ["event_type", "thousand"], ["event_id"])
 
 
 @_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

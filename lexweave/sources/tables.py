@@ -21,5 +21,11 @@ def save(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def save_document(blocks: DataFrame, path: str) -> None:
+    """Writes (place, block) as text files whose names are in the order of places; they make one document with a rule between blocks."""
+    text = F.when(F.col("place") > 1, F.concat(F.lit("\n---\n\n"), "block")).otherwise(F.col("block"))
+    blocks.repartitionByRange("place").sortWithinPartitions("place").select(text.alias("value")).write.mode("overwrite").text(path)
+
+
 def not_installed(manifest: DataFrame, sources: DataFrame) -> DataFrame:
     return manifest.join(sources.select("title"), "title", "left_anti")
