@@ -1,13 +1,18 @@
 """BPE encoding and decoding by a tokenization automaton.
 
-The states are the tokens (which of them was emitted last), an arc emits the next token. The automaton starts with the
-single symbols; each merge, in order of rank, puts in a gadget: a state and arc for the merged token, and from then on
-its left half may not be followed by its right half. What paths remain spell every word in exactly one way, and that is
-how the merges encode it. Since nearly all pairs of tokens may follow each other, arcs are kept as what the gadgets
-forbid, and an arc that has been looked at once is in the transition table.
-
-Encoding follows arcs from left to right, longest first, and goes back where none is allowed; just one path spells the
-whole word. Decoding emits the labels of the arcs.
+The states are the tokens (which of them was emitted last) and a start; an arc emits the next token. The automaton starts with one
+state per symbol and all arcs between them. Each merge, in order of rank, puts in a gadget: where a path left, right is still there,
+the merged token gets a state, with the arcs that the state of its right half has at that moment, and arcs into it from wherever
+an arc of its left half comes; then the state of the left half loses the arc of the right half. States and arcs that are copied
+later no longer have what was cut before.
+
+The finished table holds, for each state, the arcs that it lacks; all others are there by default. Arcs are numbered in the order
+of the tree in which a token hangs below its left half, older ones first, so that what one gadget cuts is one range of numbers:
+for every token that still showed that half on its left side when the gadget came.
+
+A word is read once, symbol by symbol. At each place the tokens that end there are those that the symbol automaton (Aho-Corasick
+over the tokens' spellings) reports, and exactly one of them has an arc from the state of the place where it begins: what was
+read so far has just one path. So no place is left again, and the path is read off at the end. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -16,8 +21,11 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -26,13 +34,15 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-#: What a Python worker keeps at most: encoded words, encoded pieces of words, arcs looked at.
-WORDS, PARTS, ARCS = 500_000, 100_000, 1_000_000
+#: What a Python worker keeps at most: encoded words, encoded pieces of words.
+WORDS, PARTS = 500_000, 100_000
 # Fixed value: how the tokenizer file's pre-tokenizer splits, over text without white space.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+")
 #: White space of the tokenizer file's normalizer; str.split() would also split at U+001C to U+001F.
-_SPACES = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+_SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
+#: Added to the letter that ends a word.
+_END = 0x1000
 
 
 def byte_letters() -> list[str]:
@@ -42,105 +52,184 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+class Tree:
+    """Tokens below one of their halves. Numbers are dealt below first, older children first, so that a token and its children from
+    some age on, with all below them, have a range of numbers."""
+
+    def __init__(self, half: dict[int, int], born: dict[int, int], tokens: list[int]):
+        self.children: dict[int, list[int]] = {}
+        tops = []
+        for t in sorted(tokens, key=lambda t: born.get(t, -1)):
+            self.children.setdefault(half[t], []).append(t) if t in half else tops.append(t)
+        self.number: dict[int, int] = {}
+        self.first: dict[int, int] = {}
+        for top in tops:
+            stack = [(top, False)]
+            while stack:
+                t, done = stack.pop()
+                if done:
+                    self.number[t] = len(self.number)
+                else:
+                    self.first[t] = len(self.number)
+                    stack.append((t, True))
+                    stack += [(c, False) for c in reversed(self.children.get(t, []))]
+        self.ages = {t: [born[c] for c in cs] for t, cs in self.children.items()}
+
+    def since(self, token: int, rank: int) -> int:
+        """The least number of the range of ``token`` and its children of ``rank`` and younger."""
+        cs = self.children.get(token, [])
+        i = bisect_right(self.ages.get(token, []), rank - 1)
+        return self.first[cs[i]] if i < len(cs) else self.number[token]
+
+
 class Automaton:
-    """Compiled from a vocabulary (token -> id) and merges in order of rank."""
+    """Compiled from a vocabulary (token -> id) and merges in order of rank; ``end`` marks tokens that end a word."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
-        self.ids, self.end = vocab, end
+        self.end = end
         self.label = {i: t for t, i in vocab.items()}
-        self.rank: dict[tuple[int, int], int] = {}
-        self.halves: dict[int, tuple[int, int]] = {}
+        self.cut: dict[tuple[int, int], int] = {}
+        self.left: dict[int, int] = {}
+        self.right: dict[int, int] = {}
         self.born: dict[int, int] = {}
-        self.arcs: dict[int, bool] = {}
         for rank, (left, right) in enumerate(merges):
             self._gadget(rank, vocab[left], vocab[right], vocab[left + right])
-        self.beginnings = {t[:i] for t in vocab for i in range(1, len(t))}
+        symbols = {i for t, i in vocab.items() if len(self._spelled(t)) == 1}
+        self._tabulate([i for i in vocab.values() if i in self.born or i in symbols])
+
+    def _spelled(self, token: str) -> str:
+        """A token as symbols: one letter each, the last one marked where the token ends a word."""
+        if self.end and token.endswith(self.end) and len(token) > len(self.end):
+            token = token[: -len(self.end)]
+            return token[:-1] + chr(ord(token[-1]) + _END)
+        return token
+
+    def _path(self, a: int, b: int) -> bool:
+        """Whether the gadgets so far left an arc ``b`` at the state ``a``: copies are followed back to what they were made of,
+        the younger one first, and must not meet a cut that is older than the copy."""
+        before = len(self.cut) + len(self.born) + 1
+        while True:
+            rank = self.cut.get((a, b))
+            if rank is not None and rank < before:
+                return False
+            age_a, age_b = self.born.get(a, -1), self.born.get(b, -1)
+            if age_a < 0 and age_b < 0:
+                return True
+            if age_a > age_b:
+                before, a = age_a, self.right[a]
+            else:  # of a rank's own places, the one further left was merged
+                before, b = age_b + 1, self.left[b]
 
     def _gadget(self, rank: int, left: int, right: int, merged: int) -> None:
-        self.rank.setdefault((left, right), rank)
-        if merged not in self.halves:
-            self.halves[merged], self.born[merged] = (left, right), rank
+        if merged in self.born:
+            raise ValueError(f"two merges make {self.label[merged]!r}")
+        if self._path(left, right):
+            self.left[merged], self.right[merged], self.born[merged] = left, right, rank
+            self.cut[left, right] = rank
+
+    def _tabulate(self, tokens: list[int]) -> None:
+        """The table: of each state the ranges of arc numbers that it lacks."""
+        inner = [t for t in tokens if not self._ends(t)]
+        arcs, states = Tree(self.left, self.born, tokens), Tree(self.right, self.born, inner)
+        rows = np.array([(states.since(u, r + 1), states.number[u], arcs.since(v, r), arcs.number[v] + 1) for (u, v), r in self.cut.items()], np.int64).reshape(-1, 4)
+        n = rows[:, 1] - rows[:, 0] + 1
+        state = K.ranges(rows[:, 0], rows[:, 1] + 1)
+        low, high = np.repeat(rows[:, 2], n), np.repeat(rows[:, 3], n)
+        order = np.argsort(state * (1 << 32) + low, kind="stable")
+        state, low, high = state[order], low[order], high[order]
+        reach = np.maximum.accumulate(high + state * (1 << 32)) - state * (1 << 32)
+        new = np.ones(len(state), bool)
+        new[1:] = (state[1:] != state[:-1]) | (low[1:] > reach[:-1])
+        starts = np.flatnonzero(new)
+        ends = np.concatenate((starts[1:], [len(state)])) - 1
+        bounds = np.stack((low[starts], reach[ends]), 1).ravel().astype(np.int32) if len(starts) else np.zeros(0, np.int32)
+        self.bounds = array("i", bounds.tobytes())
+        of_state = 2 * np.searchsorted(state[starts], np.arange(len(inner) + 1))
+        self.row = {t: (int(of_state[k]), int(of_state[k + 1])) for t, k in states.number.items()}
+        self.arc = arcs.number
+        self.symbols = ahocorasick.Automaton()
+        for t in tokens:
+            word = self._spelled(self.label[t])
+            self.symbols.add_word(word, (len(word), t, self.arc[t]))
+        self.symbols.make_automaton()
+
+    def _ends(self, token: int) -> bool:
+        return bool(self.end) and self.label[token].endswith(self.end) and len(self.label[token]) > len(self.end)
 
     def follows(self, left: int, right: int) -> bool:
-        """Whether the arc from state ``left`` that emits ``right`` is left after all gadgets.
-
-        Going back in time from the finished tokens: the gadget that made one of them later than the other is undone, and
-        at each step the two tokens that then touch must not have been merged by an earlier gadget than was undone last.
-        """
-        key = left << 32 | right
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) >= ARCS:
-                self.arcs.clear()
-            known = self.arcs[key] = self._follows(left, right)
-        return known
-
-    def _follows(self, a: int, b: int) -> bool:
-        limit = len(self.rank) + 1
-        while True:
-            rank = self.rank.get((a, b))
-            if rank is not None and rank < limit:
-                return False
-            born_a, born_b = self.born.get(a, -1), self.born.get(b, -1)
-            if born_a < 0 and born_b < 0:
-                return True
-            if born_a > born_b:  # a was made later: before that, its right half touched b
-                limit = born_a
-                a = self.halves[a][1]
-            else:  # b was; a merge of the same rank further left would have come first
-                limit = born_b + 1
-                b = self.halves[b][0]
-
-    def _arcs(self, word: str, at: int) -> list[tuple[int, int]]:
-        """Where arcs from place ``at`` of the word lead and what they emit, shortest first. Only one that emits the mark of
-        the word's end reaches the end."""
-        out, ids, n = [], self.ids, len(word)
-        for to in range(at + 1, n):
-            part = word[at:to]
-            token = ids.get(part)
-            if token is not None:
-                out.append((to, token))
-            elif part not in self.beginnings:
-                break
-        token = ids.get(word[at:] + self.end)
-        if token is not None:
-            out.append((n, token))
-        return out
+        """Whether the state of ``left`` has the arc of ``right``."""
+        lo, hi = self.row[left]
+        return not (bisect_right(self.bounds, self.arc[right], lo, hi) - lo) & 1
 
     def encode(self, word: str) -> list[int]:
-        """Ids of a word in the letters of :func:`byte_letters`: the one path through it, longest arcs tried first. A place that
-        no allowed arc leaves is closed, so no place is tried twice in vain."""
-        n, at, follows = len(word), 0, self.follows
-        path: list[tuple[int, int]] = []  # where each arc began and what it emitted
-        closed: set[int] = set()
-        left = [self._arcs(word, 0)]
-        while at < n:
-            arcs = left[-1]
-            before = path[-1][1] if path else None
-            while arcs:
-                to, token = arcs.pop()
-                if to not in closed and (before is None or follows(before, token)):
-                    path.append((at, token))
-                    at = to
-                    if at < n:
-                        left.append(self._arcs(word, at))
-                    break
-            else:
-                if not path:
-                    raise ValueError(f"no token begins {word!r}")
-                closed.add(at)
-                at, _ = path.pop()
-                left.pop()
-        return [token for _, token in path]
+        """Ids of a word in the letters of :func:`byte_letters`."""
+        n, row, bounds = len(word), self.row, self.bounds
+        if self.end:
+            word = word[:-1] + chr(ord(word[-1]) + _END)
+        came: list[tuple[int, int] | None] = [None] * n  # of each place: length and token of the arc that leads there
+        for last, (size, token, arc) in self.symbols.iter(word):
+            if came[last] is None:
+                if size <= last:
+                    before = came[last - size]
+                    if before is None:
+                        continue
+                    lo, hi = row[before[1]]
+                    if (bisect_right(bounds, arc, lo, hi) - lo) & 1:
+                        continue
+                came[last] = size, token
+        out, at = [], n - 1
+        while at >= 0:
+            if came[at] is None:
+                raise ValueError(f"no path spells {word!r}")
+            size, token = came[at]
+            out.append(token)
+            at -= size
+        return out[::-1]
 
     def decode(self, ids: list[int]) -> list[str]:
         return list(map(self.label.__getitem__, ids))
 
 
+def unsettled(normal, split) -> regex.Pattern:
+    """A class of the code points on which other tables of Unicode could differ from Python's: all that Unicode 3.2 lacks, and those
+    on which ``normal`` and ``split``, functions of texts, do differ."""
+    old = unicodedata.ucd_3_2_0
+    same = [chr(c) for c in range(0x80, 0x30000) if old.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    check = [c for c in same if not ("㐀" <= c <= "鿿" or "가" <= c <= "힣" or c >= "\U00020000")]
+    mine = [normalised(c) for c in check]
+    theirs = normal("\x01".join(check)).split("\x01")
+    bad = {c for c, a, b in zip(check, mine, theirs) if a != b}
+    if len(theirs) != len(check):
+        bad = set(check)
+    for head in "a!":
+        joined = " ".join([head + c for c in check])
+        ours = {m.span() for word in re.finditer(r"[^ ]+", joined) for m in PIECES.finditer(joined, *word.span())}
+        for lo, _ in ours.symmetric_difference(split(joined)):
+            if not check[lo // 3].isspace():
+                bad.add(check[lo // 3])
+    good = np.zeros(0x110000, bool)
+    good[:0x80] = True
+    good[[ord(c) for c in same if c not in bad]] = True
+    edges = np.flatnonzero(np.diff((~good).astype(np.int8), prepend=0, append=0))
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())) + "]")
+
+
+def normalised(text: str) -> str:
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    return text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
+
+
 class Codec:
-    """Encodes and decodes texts as the tokenizer of a file of the ``tokenizers`` library."""
+    """Encodes and decodes texts as the tokenizer of a file of the ``tokenizers`` library.
+
+    Normalizing and splitting follow Python's tables of Unicode. A text with a code point on which the library's tables could
+    differ is normalized and split by the library; words are encoded by the automaton all the same.
+    """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -153,20 +242,28 @@ class Codec:
         self.automaton.label |= {i: t for t, i in self.special.items()}
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, list[int]] = {}
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
+        self.unsettled = unsettled(self.normalizer.normalize_str, lambda t: {at for _, at in self.splitter.pre_tokenize_str(t)})
+
+    def _piece(self, plain: str) -> list[int]:
+        """The ids of a piece in byte letters."""
+        known = self.pieces.get(plain)
+        if known is None:
+            known = self.automaton.encode(plain)
+            if len(self.pieces) >= PARTS:
+                self.pieces.clear()
+            self.pieces[plain] = known
+        return known
 
     def _word(self, word: str) -> bytes:
         """The ids of a word without white space."""
         ids = []
-        for piece in [word] if word.isascii() and word.isalpha() else PIECES.findall(word):
-            known = self.pieces.get(piece)
-            if known is None:
-                plain = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
-                known = self.automaton.encode(plain)
-                if piece is not word:  # a word of one piece is kept once
-                    if len(self.pieces) >= PARTS:
-                        self.pieces.clear()
-                    self.pieces[piece] = known
-            ids += known
+        if word.isascii() and word.isalpha():  # a word of one piece is kept once
+            ids = self.automaton.encode(word)
+        else:
+            for piece in PIECES.findall(word):
+                ids += self._piece(piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode())))
         out = np.array(ids, "<u4").tobytes()
         if len(self.known) >= WORDS:
             self.known.clear()
@@ -174,9 +271,10 @@ class Codec:
         return out
 
     def _plain(self, text: str) -> list[bytes]:
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        if not text.isascii() and self.unsettled.search(text):
+            pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
+            return [np.array(self._piece(p), "<u4").tobytes() for p, _ in pieces]
+        text = normalised(text)
         words = [w for w in _SPACES.split(text) if w] if _ODD.search(text) else text.split()
         get = self.known.get
         return [known if (known := get(w)) is not None else self._word(w) for w in words]

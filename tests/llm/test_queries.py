@@ -279,3 +279,44 @@ def test_empty_tables(spark, docs):
     assert topk.top_k_digest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert chat.preference_digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     assert bpe.encoding_digest(none, queries.tokenizer_path()).count() == 0
+
+
+def test_bpe_against_the_library():
+    """Every token is its own encoding; single code points and random strings; arcs against merges replayed over two tokens."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t, codec, r = Tokenizer.from_file(path), bpe.codec(path), random.Random(5)
+    auto = codec.automaton
+    for i, word in r.sample(sorted(auto.label.items()), 5000):
+        if word.endswith("</w>") and len(word) > 4:
+            assert auto.encode(word[:-4]) == [i]
+    texts = [f"a{chr(c)}b{chr(c)}" for c in [*range(1, 0x3200), *range(0xA640, 0xABFF), *range(0x10400, 0x10DFF), 0x1F600] if not 0xD800 <= c < 0xE000]
+    texts += ["".join(chr(r.randint(1, hi)) for _ in range(r.randint(1, 30))) for hi in (0x80, 0x250, 0x3100) for _ in range(2000)]
+    for x, e in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(codec.encode(x), "<u4").tolist() == e.ids, ascii(x)
+
+
+def test_small_automaton():
+    """All words over three letters against merging by rank."""
+    import itertools
+
+    merges = [("a", "b"), ("a", "a"), ("ab", "c"), ("b", "ab"), ("aa", "ab"), ("c", "c"), ("ab", "ab")]
+    vocab = {x: i for i, x in enumerate(["a", "b", "c", *("".join(m) for m in merges)])}
+    auto = bpe.Automaton(vocab, merges, "")
+    for n in range(1, 8):
+        for word in map("".join, itertools.product("abc", repeat=n)):
+            parts = list(word)
+            while True:
+                pairs = [(merges.index(p), k) for k, p in enumerate(zip(parts, parts[1:])) if p in merges]
+                if not pairs:
+                    break
+                best = min(pairs)[0]
+                k = 0
+                while k < len(parts) - 1:
+                    if (parts[k], parts[k + 1]) == merges[best]:
+                        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                    k += 1
+            assert [auto.label[i] for i in auto.encode(word)] == parts
