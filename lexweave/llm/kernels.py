@@ -52,16 +52,32 @@ class _Powers:
 
 
 class Spans:
-    """Hashes of spans [start, end) of a buffer, equal for equal bytes wherever they stand."""
+    """Hashes of spans [start, end) of a buffer, equal for equal bytes wherever they stand.
+
+    A polynomial over single bytes, modulo 2^64, is the same for some regular strings of a thousand bytes and more (Thue-Morse).
+    From ``LONG`` bytes on, a second one over mixed strings of eight bytes is put in, which has no such pairs.
+    """
+
+    LONG = 64
 
     def __init__(self, data: np.ndarray):
         up, self.down = _Powers.get(len(data) + 1)
+        self.data, self.deep = data, None
         self.sums = np.empty(len(data) + 1, np.uint64)
         self.sums[0] = 0
         np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:])
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        h = mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        long = end - start >= self.LONG
+        if long.any():
+            if self.deep is None:
+                eights = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.data, 8)).view("<u8").ravel()
+                up, _ = _Powers.get(len(eights))
+                self.deep = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(eights) * up[: len(eights)])))
+            s, e = start[long], end[long] - 7
+            h[long] = mixed(h[long] ^ ((self.deep[e] - self.deep[s]) * self.down[s]))
+        return h
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

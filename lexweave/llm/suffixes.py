@@ -1,14 +1,16 @@
 """Exact removal of long repeated byte strings.
 
-Every window of 200 bytes belongs to one anchor: the least hash among its substrings of K bytes. Equal windows have equal anchors
-at equal places, so windows can be judged anchor by anchor, and an anchor that occurs once settles its windows at once. Of
-anchors that recur, stretches that are equal byte for byte are one class; where all of an anchor's stretches are of one class, or
-a class has two members, its windows repeat.
-
-What is left are unlike stretches about one anchor. They are put in blocks of bounded size, and a block's Burrows-Wheeler
-transform is walked backward breadth first: the boundaries between suffixes with a common prefix of 0, 1, 2, ... bytes are derived
-each level from the one before, until the common prefix reaches 200; suffixes that no boundary has parted by then start
-the same window. Anchors with very many classes are split further, by window.
+Every window of 200 bytes belongs to one anchor: the least hash among its substrings of some length. Equal windows have equal anchors
+at equal places, so an anchor that occurs once settles its windows at once, and those of other anchors can be judged anchor by
+anchor. A stretch is a run of windows of one text with the same anchor. Stretches that are equal are sent on as two, however many there are.
+
+The stretches of an anchor are put in one block of bounded size, and the block's Burrows-Wheeler transform is walked backward
+breadth first: the boundaries between suffixes with a common prefix of 0, 1, 2, ... bytes are derived each level from the one
+before, until the common prefix reaches 200; suffixes that no boundary has parted by then start the same window. An anchor with
+more unlike stretches than a block holds is split: its stretches are cut anew by anchors of greater length, in the end by whole windows.
+
+Hashes deal out the work and fold equal stretches (two hashes of 64 bits, of the anchor and of all bytes); what repeats is found
+in the bytes.
 """
 
 from __future__ import annotations
@@ -22,35 +24,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from . import packed
 from .common import n_partitions, written
 
-#: Bytes of the substrings that anchors are chosen from.
-ANCHOR = 24
+#: Parts of a window that anchors are chosen from: of an anchor that overflows a block, the next. The last is the window.
+PARTS = (0.12, 0.5, 0.8, 1.0)
 #: Bytes of a block, about.
 BLOCK = 1 << 20
-#: Classes of an anchor, from which on its windows are dealt out one by one.
-MANY = 128
 
 
-def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    n = len(data) - k + 1
-    at = np.arange(n)
-    return K.Spans(data).hashes(at, at + k)
+def most_stretches(size: int) -> int:
+    """Unlike stretches of an anchor that a block holds: each has less than two windows' bytes and stands there twice at most."""
+    return max(2, BLOCK // (4 * size))
 
 
-def anchors(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, off: np.ndarray, size: int, part: int) -> tuple[np.ndarray, ...]:
     """For consecutive texts in ``data``: row, anchor hash, first and last window of each stretch, and the hash of its bytes.
-
-    A stretch is a run of windows of one text that have the same anchor.
-    """
+    ``part``: bytes of the substrings that anchors are chosen from."""
     n = len(data)
     if n < size:
         return (np.zeros(0, np.int64),) * 5
     spans = K.Spans(data)
-    at = np.arange(n - ANCHOR + 1)
-    h = spans.hashes(at, at + ANCHOR)
-    best = K.least_in_window(h, size - ANCHOR + 1)  # best[i]: the anchor of the window that starts at i
+    at = np.arange(n - part + 1)
+    h = spans.hashes(at, at + part)
+    best = K.least_in_window(h, size - part + 1)  # best[i]: the anchor of the window that starts at i
     counts = np.maximum(np.diff(off) - size + 1, 0)
     row = np.repeat(np.arange(len(counts)), counts)
     start = K.ranges(off[:-1], off[:-1] + counts)
@@ -62,40 +58,56 @@ def anchors(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, .
     return row, h[anchor[s]], first - off[row], last - off[row], spans.hashes(first, last + size)
 
 
-def _anchor_rows(size: int):
-    names = ["h", "c", "k", "first", "last"]
+def _windows_of(off: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
+    """Rows [a, b) and the bytes [x, y) of them that are hashed at once. A long text comes in parts, which share the bytes that
+    windows over a cut need; that also cuts a stretch, which changes nothing for its windows."""
+    for a, b in K.pieces(off):
+        x, end = int(off[a]), int(off[b])
+        if b == a + 1:
+            while end - x > 2 * K.PIECE:
+                yield a, b, x, x + K.PIECE + size - 1
+                x += K.PIECE
+        yield a, b, x, end
+
+
+def _anchor_rows(size: int, part: int, names: list[str]):
+    """Over rows (keys, twice, text) the stretches of each: h, c, keys, twice, first, last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = K.buffers(batch.column("text"))
-            keys = batch.column("k").to_numpy()
-            for a, b in K.pieces(off):
-                row, h, first, last, c = anchors(data[off[a] : off[b]], off[a : b + 1] - off[a], size)
-                cols = (h.view(np.int64), c.view(np.int64), keys[a:b][row], first.astype(np.int32), last.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
+            for a, b, x, y in _windows_of(off, size):
+                row, h, first, last, c = anchors(data[x:y], np.clip(off[a : b + 1], x, y) - x, size, part)
+                skipped = x - int(off[a])  # of a long text
+                cols = {"h": pa.array(h.view(np.int64)), "c": pa.array(c.view(np.int64)), "first": pa.array((first + skipped).astype(np.int32)), "last": pa.array((last + skipped).astype(np.int32))}
+                taken = pa.array(row + a)
+                yield pa.RecordBatch.from_arrays([cols[n] if n in cols else batch.column(n).take(taken) for n in names], names=names)
 
     return run
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of all suffixes in the order of their first ``depth`` symbols at least. Symbols are below 512."""
+    """Places of all suffixes in the order of their first ``depth`` symbols at least. Symbols are below 512, places below 2^21.
+
+    A key holds the rank, the rank of what follows and the place, so that plain sorting of numbers orders the places."""
     n = len(text)
-    padded = np.concatenate((text.astype(np.int64), np.zeros(7, np.int64)))
+    padded = np.concatenate((text.astype(np.int64), np.zeros(3, np.int64)))
     key = np.zeros(n, np.int64)
-    for i in range(7):
+    for i in range(4):
         key = key << 9 | padded[i : n + i]
-    known = 7
+    place, known = np.arange(n), 4
+    key = key << 21 | place
+    rank = np.empty(n, np.int64)
     while True:
-        order = np.argsort(key)
-        key = key[order]
+        key = np.sort(key)
+        order = key & (1 << 21) - 1
+        key >>= 21
         new = np.concatenate(([False], key[1:] != key[:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
         if known >= depth or new.sum() == n - 1:
             return order
-        after = np.zeros(n, np.int64)
-        after[: n - known] = rank[known:] + 1
-        key = rank << 32 | after
+        rank[order] = np.cumsum(new)
+        key = rank << 42 | place
+        key[: n - known] |= rank[known:] + 1 << 21
         known *= 2
 
 
@@ -108,6 +120,8 @@ def repeated_prefixes(text: np.ndarray, size: int) -> np.ndarray:
     only about the boundary between them, so most levels touch no more than the boundaries found last.
     """
     n = len(text)
+    if n > 1 << 21:
+        raise ValueError("block too large")
     order = suffix_order(text, size)
     before = text[order - 1]
     by_symbol = np.argsort(before, kind="stable")
@@ -153,14 +167,17 @@ def _spans(flags: np.ndarray, size: int) -> np.ndarray:
     return np.stack((at[np.concatenate(([0], gap))], at[np.concatenate((gap - 1, [len(at) - 1]))] + size), 1).ravel().astype(np.int32)
 
 
-def _block_spans(segs: list[bytes], size: int) -> list[np.ndarray]:
+def _block_spans(segs: list[bytes], twice: list[bool], size: int) -> list[np.ndarray]:
+    """Of each stretch the byte ranges that repeat in the block; a stretch that several texts have stands there twice."""
     lens = np.array([len(s) for s in segs])
-    ends = np.cumsum(lens + 1)
+    all_segs = segs + [s for s, t in zip(segs, twice) if t]
+    ends = np.cumsum(np.array([len(s) for s in all_segs]) + 1)
     text = np.zeros(int(ends[-1]), np.uint16)
-    place = K.ranges(ends - lens - 1, ends - 1)
-    text[place] = np.frombuffer(b"".join(segs), np.uint8).astype(np.uint16) + 1
+    sizes = np.diff(ends, prepend=0) - 1
+    text[K.ranges(ends - sizes - 1, ends - 1)] = np.frombuffer(b"".join(all_segs), np.uint8).astype(np.uint16) + 1
     again = repeated_prefixes(text, size)
-    return [_spans(again[a : a + k - size + 1], size) for a, k in zip((ends - lens - 1).tolist(), lens.tolist())]
+    starts = (ends - sizes - 1)[: len(segs)]
+    return [_spans(again[a : a + k - size + 1], size) for a, k in zip(starts.tolist(), lens.tolist())]
 
 
 _FOUND = "h long, c long, spans array<int>"
@@ -171,132 +188,77 @@ def _found(h: list, c: list, spans: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _walk_blocks(size: int):
-    """Over rows (h, c, seg) in the order of h: blocks end between anchors."""
+    """Over rows (h, c, twice, seg) in the order of h: blocks end between anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h: list[int] = []
         c: list[int] = []
+        twice: list[bool] = []
         segs: list[bytes] = []
         held = 0
         for batch in batches:
-            for hh, cc, seg in zip(batch.column("h").to_pylist(), batch.column("c").to_pylist(), batch.column("seg").to_pylist()):
-                if held >= BLOCK and hh != h[-1]:
-                    yield _found(h, c, _block_spans(segs, size))
-                    h, c, segs, held = [], [], [], 0
+            for hh, cc, tt, seg in zip(*[batch.column(n).to_pylist() for n in ("h", "c", "twice", "seg")]):
+                if held >= BLOCK // 2 and hh != h[-1]:
+                    yield _found(h, c, _block_spans(segs, twice, size))
+                    h, c, twice, segs, held = [], [], [], [], 0
                 h.append(hh)
                 c.append(cc)
+                twice.append(tt)
                 segs.append(seg)
-                held += len(seg)
+                held += len(seg) * (1 + tt)
         if h:
-            yield _found(h, c, _block_spans(segs, size))
-
-    return run
-
-
-def _windows(size: int, n_buckets: int):
-    """The windows of rows (h, c, seg) by their hashes; owner: the row's class, x: unused."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            segs = batch.column("seg").to_pylist()
-            lens = np.array([len(s) for s in segs], np.int64)
-            off = np.concatenate(([0], np.cumsum(lens)))
-            start = K.ranges(off[:-1], off[1:] - size + 1)
-            row = np.repeat(np.arange(len(segs)), lens - size + 1)
-            w = K.Spans(np.frombuffer(b"".join(segs), np.uint8)).hashes(start, start + size)
-            owner = K.mixed(batch.column("h").to_numpy().view(np.uint64)) + batch.column("c").to_numpy().view(np.uint64)
-            yield packed.pack((w % np.uint64(n_buckets)).astype(np.int64), row, owner.view(np.int64), lens, w)
-
-    return run
-
-
-def _repeated_windows(n_buckets: int):
-    """Per class the hashes of its windows that occur twice or more, dealt by class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n, w, _ = packed.unpack(batches)
-        order = np.argsort(w, kind="stable")
-        s, e = K.runs(w[order])
-        at = order[K.ranges(s[e - s > 1], e[e - s > 1])]
-        ids, row = np.unique(own[at], return_inverse=True)
-        bucket = (K.mixed(ids.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-        yield packed.pack(bucket[row], row, ids, np.zeros(len(ids)), w[at])
-
-    return run
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own, _, w, _ = packed.unpack(batches)
-    order = np.argsort(own, kind="stable")
-    own, w = own[order], w[order]
-    s, e = K.runs(own)
-    yield pa.RecordBatch.from_arrays([pa.array(own[s]), pa.array([w[a:b].tobytes() for a, b in zip(s, e)], pa.binary())], names=["owner", "hit"])
-
-
-def _hot_spans(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for seg, hit in zip(batch.column("seg").to_pylist(), batch.column("hit").to_pylist()):
-                data = np.frombuffer(seg, np.uint8)
-                start = np.arange(len(data) - size + 1)
-                out.append(_spans(np.isin(K.Spans(data).hashes(start, start + size), np.frombuffer(hit, np.uint64)), size))
-            yield _found(batch.column("h").to_pylist(), batch.column("c").to_pylist(), out)
+            yield _found(h, c, _block_spans(segs, twice, size))
 
     return run
 
 
 def _cut(size: int):
-    """The stretches ``want`` (h, c, first, last) of each text."""
+    """The stretches ``want`` (h, c, first, last, twice, many) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, c, segs, many = [], [], [], []
+            h, c, twice, many, segs = [], [], [], [], []
             for text, want in zip(batch.column("text"), batch.column("want").to_pylist()):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 for w in want:
-                    if w["last"] + size <= len(data):
-                        h.append(w["h"])
-                        c.append(w["c"])
-                        many.append(w["many"])
-                        segs.append(data[w["first"] : w["last"] + size])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(many, pa.bool_()), pa.array(segs, pa.binary())], names=["h", "c", "many", "seg"])
+                    h.append(w["h"])
+                    c.append(w["c"])
+                    twice.append(w["twice"])
+                    many.append(w["many"])
+                    segs.append(data[w["first"] : w["last"] + size])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(twice, pa.bool_()), pa.array(many, pa.bool_()), pa.array(segs, pa.binary())], names=["h", "c", "twice", "many", "seg"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, size: int = 200) -> DataFrame:
-    """``docs`` (k, text; k tells rows apart) to rows (k, a, b): byte ranges that repeated windows cover."""
-    p = n_partitions(docs.sparkSession)
-    rows = written(docs.where(F.octet_length("text") >= size).mapInArrow(_anchor_rows(size), "h long, c long, k long, first int, last int"))
-    again = rows.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("unlike")).where("n > 1").drop("n")
-    again = written(rows.join(again, "h"))
-
-    classes = again.where("unlike").groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "first", "last")).alias("one"))
-    classes = written(classes.select("h", "c", "n", "one.*"))
-    wide = classes.groupBy("h").agg(F.count("*").alias("m")).select("h", (F.col("m") > MANY).alias("many"))
-    want = classes.join(wide, "h").groupBy("k").agg(F.collect_list(F.struct("h", "c", "first", "last", "many")).alias("want"))
-    segs = written(docs.join(want, "k").select("text", "want").mapInArrow(_cut(size), "h long, c long, many boolean, seg binary"))
-
-    walked = segs.where("NOT many").select("h", "c", "seg").repartition(p, "h").sortWithinPartitions("h").mapInArrow(_walk_blocks(size), _FOUND)
-    hot = segs.where("many")
-    hits = packed.by_bucket(hot.mapInArrow(_windows(size, p), packed.SCHEMA)).mapInArrow(_repeated_windows(p), packed.SCHEMA)
-    hits = packed.by_bucket(hits).mapInArrow(_gathered, "owner long, hit binary")
-    owned = hot.mapInArrow(_with_owner, "h long, c long, seg binary, owner long")
-    counted = owned.join(hits, "owner").select("h", "c", "seg", "hit").mapInArrow(_hot_spans(size), _FOUND)
-
-    found = walked.unionByName(counted).join(classes.where("n = 1").select("h", "c"), ["h", "c"], "left_semi")
-    sole = again.where("unlike").join(found, ["h", "c"]).select("k", "first", F.posexplode("spans").alias("i", "at"), "spans").where("i % 2 = 0")
-    sole = sole.select("k", (F.col("first") + F.col("at")).alias("a"), (F.col("first") + F.get("spans", F.col("i") + 1)).alias("b"))
-    shared = classes.where("n > 1").select("h", "c")
-    whole = again.where("NOT unlike").unionByName(again.where("unlike").join(shared, ["h", "c"], "left_semi"))
-    return whole.select("k", F.col("first").alias("a"), (F.col("last") + size).alias("b")).unionByName(sole)
-
-
-def _with_owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        owner = K.mixed(batch.column("h").to_numpy().view(np.uint64)) + batch.column("c").to_numpy().view(np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), batch.column("seg"), pa.array(owner.view(np.int64))], names=["h", "c", "seg", "owner"])
+def repeated_spans(units: DataFrame, keys: list[str], size: int = 200, level: int = 0) -> DataFrame:
+    """``units`` (keys that tell rows apart, twice, text) to rows (keys, a, b): byte ranges that repeated windows cover. ``twice``: the
+    row stands for several with this text."""
+    p, part = n_partitions(units.sparkSession), max(1, int(PARTS[level] * size))
+    kinds = {f.name: f.dataType.simpleString() for f in units.schema}
+    schema = {"h": "long", "c": "long"} | {k: kinds[k] for k in keys} | {"twice": "boolean", "first": "int", "last": "int"}
+    rows = units.where(F.octet_length("text") >= size).select(*keys, "twice", "text")
+    rows = written(rows.mapInArrow(_anchor_rows(size, part, list(schema)), ", ".join(f"`{k}` {v}" for k, v in schema.items())))
+    # The counts are a table of their own, so that the join reads two shuffles and a hot anchor can be split over tasks.
+    recurring = written(rows.groupBy("h").agg((F.count("*") + F.count_if("twice")).alias("n")).where("n > 1").select("h"))
+    again = written(rows.join(recurring, "h"))
+
+    one = F.min(F.struct("first", "last", *keys)).alias("one")
+    classes = written(again.groupBy("h", "c").agg(((F.count("*") > 1) | F.bool_or("twice")).alias("twice"), one))
+    wide = written(classes.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > most_stretches(size)).select("h", F.lit(True).alias("many")))
+    want = classes.join(wide, "h", "left").select(F.struct("h", "c", "one.first", "one.last", "twice", F.coalesce("many", F.lit(False)).alias("many")).alias("w"), *[F.col(f"one.{k}").alias(k) for k in keys])
+    want = want.groupBy(*keys).agg(F.collect_list("w").alias("want"))
+    texts = units.select(*keys, "text").join(want, keys).dropDuplicates(keys)
+    segs = written(texts.select("text", "want").mapInArrow(_cut(size), "h long, c long, twice boolean, many boolean, seg binary").withColumn("id", F.monotonically_increasing_id()))
+
+    found = segs.where("NOT many").select("h", "c", "twice", "seg").repartition(p, "h").sortWithinPartitions("h").mapInArrow(_walk_blocks(size), _FOUND)
+    if level + 1 < len(PARTS) and not wide.isEmpty():
+        hot = segs.where("many")
+        deeper = repeated_spans(hot.select("id", "twice", F.col("seg").alias("text")), ["id"], size, level + 1)
+        ranges = deeper.groupBy("id").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("spans"))
+        found = found.unionByName(ranges.join(hot.select("id", "h", "c"), "id").select("h", "c", "spans"))
+    out = again.join(found, ["h", "c"]).select(*keys, "first", F.posexplode("spans").alias("i", "at"), "spans").where("i % 2 = 0")
+    return out.select(*keys, (F.col("first") + F.col("at")).alias("a"), (F.col("first") + F.get("spans", F.col("i") + 1)).alias("b"))
 
 
 def merged(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -334,10 +296,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_spans(docs: DataFrame, size: int) -> DataFrame:
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(rows.select("k", "text"), size)
-    lists = spans.groupBy("k").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    return rows.join(lists, "k", "left").select("doc_id", "text", "a", "b")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id").alias("d"), F.xxhash64(text).alias("t"))
+    spans = repeated_spans(rows.select("d", "t", F.lit(False).alias("twice"), "text"), ["d", "t"], size)
+    lists = spans.groupBy("d", "t").agg(F.collect_set(F.struct("a", "b")).alias("at"))
+    return rows.join(lists, ["d", "t"], "left").select("doc_id", "text", F.col("at.a").alias("a"), F.col("at.b").alias("b"))
 
 
 def without_repeats(docs: DataFrame, size: int = 200) -> DataFrame:

@@ -48,15 +48,33 @@ def removed_bytes(texts, size=200):
         yield len(b), len(b) - len(kept), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("many", [128, 1])
-def test_suffixes(docs, real, monkeypatch, many):
-    monkeypatch.setattr(suffixes, "MANY", many)
-    for df in (docs, real.where("length(text) < 3000")):
+@pytest.mark.parametrize("most", [None, 2])
+def test_suffixes(docs, real, monkeypatch, most):
+    """Also with anchors that overflow a block on every level."""
+    if most:
+        monkeypatch.setattr(suffixes, "most_stretches", lambda size: most)
+    for df in (docs, real):
         got = suffixes.suffix_digest(df).collect()
         texts = [r["text"] for r in df.select("text").collect()]
         assert sorted(map(str, [tuple(r)[1:] for r in got])) == sorted(map(str, removed_bytes(texts)))
 
 
+def test_suffixes_of_long_texts(spark, monkeypatch):
+    """Texts that are hashed in parts, and regular strings that a plain polynomial can't tell apart."""
+    monkeypatch.setattr(kernels, "PIECE", 300)
+    r = np.random.default_rng(3)
+    one = bytes(r.integers(97, 101, 1500, dtype=np.uint8)).decode()
+    morse = "0"
+    while len(morse) < 2048:
+        morse += morse.translate({48: "1", 49: "0"})
+    texts = [one + "x" + one[200:900], one[100:700], morse, morse.translate({48: "1", 49: "0"}), "aé" * 700]
+    got = suffixes.suffix_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(map(str, [tuple(r)[1:] for r in got])) == sorted(map(str, removed_bytes(texts)))
+    a, b = (np.frombuffer(t.encode(), np.uint8) for t in texts[2:4])
+    at = np.array([0]), np.array([2048])
+    assert kernels.Spans(a).hashes(*at) != kernels.Spans(b).hashes(*at)
+
+
 def test_repeated_prefixes():
     text = np.frombuffer(b"abcabcabxabcab", np.uint8).astype(np.uint16) + 1
     for size in (1, 2, 3, 4, 5):
