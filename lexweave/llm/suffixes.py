@@ -2,7 +2,7 @@
 
 Every window of 200 bytes belongs to one anchor: the least hash among its substrings of some length. Equal windows have equal anchors
 at equal places, so an anchor that occurs once settles its windows at once, and those of other anchors can be judged anchor by
-anchor. A stretch is a run of windows of one text with the same anchor. Stretches that are equal are sent on as two, however many there are.
+anchor. A stretch is a run of windows of one text with the same anchor. Stretches that are equal are sent on as one that counts as two.
 
 The stretches of an anchor are put in one block of bounded size, and the block's Burrows-Wheeler transform is walked backward
 breadth first: the boundaries between suffixes with a common prefix of 0, 1, 2, ... bytes are derived each level from the one
@@ -33,8 +33,8 @@ BLOCK = 1 << 20
 
 
 def most_stretches(size: int) -> int:
-    """Unlike stretches of an anchor that a block holds: each has less than two windows' bytes and stands there twice at most."""
-    return max(2, BLOCK // (4 * size))
+    """Unlike stretches of an anchor that a block holds: each has less than two windows' bytes."""
+    return max(2, BLOCK // (2 * size))
 
 
 def anchors(data: np.ndarray, off: np.ndarray, size: int, part: int) -> tuple[np.ndarray, ...]:
@@ -111,8 +111,8 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         known *= 2
 
 
-def repeated_prefixes(text: np.ndarray, size: int) -> np.ndarray:
-    """Which places start ``size`` symbols that also start elsewhere.
+def repeated_prefixes(text: np.ndarray, size: int, twice: np.ndarray | None = None) -> np.ndarray:
+    """Which places start ``size`` symbols that also start elsewhere. ``twice``: places that count as two.
 
     ``parted[i]``: the suffixes i - 1 and i in order have a common prefix shorter than the level. An interval of suffixes with a
     common prefix w is extended backward to c + w by the occurrences of c before it. Two neighbours among those
@@ -155,7 +155,7 @@ def repeated_prefixes(text: np.ndarray, size: int) -> np.ndarray:
     alone = parted & np.concatenate((parted[1:], [True]))
     out = np.empty(n, bool)
     out[order] = ~alone
-    return out
+    return out if twice is None else out | twice
 
 
 def _spans(flags: np.ndarray, size: int) -> np.ndarray:
@@ -168,15 +168,13 @@ def _spans(flags: np.ndarray, size: int) -> np.ndarray:
 
 
 def _block_spans(segs: list[bytes], twice: list[bool], size: int) -> list[np.ndarray]:
-    """Of each stretch the byte ranges that repeat in the block; a stretch that several texts have stands there twice."""
+    """Of each stretch the byte ranges that repeat in the block; one that several texts have counts as two."""
     lens = np.array([len(s) for s in segs])
-    all_segs = segs + [s for s, t in zip(segs, twice) if t]
-    ends = np.cumsum(np.array([len(s) for s in all_segs]) + 1)
+    ends = np.cumsum(lens + 1)
+    starts = ends - lens - 1
     text = np.zeros(int(ends[-1]), np.uint16)
-    sizes = np.diff(ends, prepend=0) - 1
-    text[K.ranges(ends - sizes - 1, ends - 1)] = np.frombuffer(b"".join(all_segs), np.uint8).astype(np.uint16) + 1
-    again = repeated_prefixes(text, size)
-    starts = (ends - sizes - 1)[: len(segs)]
+    text[K.ranges(starts, ends - 1)] = np.frombuffer(b"".join(segs), np.uint8).astype(np.uint16) + 1
+    again = repeated_prefixes(text, size, np.repeat(np.array(twice, bool), lens + 1))
     return [_spans(again[a : a + k - size + 1], size) for a, k in zip(starts.tolist(), lens.tolist())]
 
 
@@ -205,7 +203,7 @@ def _walk_blocks(size: int):
                 c.append(cc)
                 twice.append(tt)
                 segs.append(seg)
-                held += len(seg) * (1 + tt)
+                held += len(seg)
         if h:
             yield _found(h, c, _block_spans(segs, twice, size))
 
