@@ -51,3 +51,14 @@ def numbered(df: DataFrame) -> DataFrame:
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes of text whose hashes meet in one bucket, about.
+BUCKET = 1 << 25
+
+
+def n_buckets(docs: DataFrame) -> int:
+    """Into how many buckets the hashes of ``docs`` (text) are dealt: as many as the session shuffles into, more where that would
+    leave buckets above ``BUCKET``. So what a task holds does not grow with the input."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(n_partitions(docs.sparkSession), -(-size // BUCKET))

@@ -9,9 +9,10 @@ shingles, two linked documents share at least m shingles among the first (n - t
    as the estimated cost of its candidates falls; partners then have to share the lesser m of the two before their sets are
    compared.
 
-Documents whose prefixes meet in a shingle meet at that shingle's hub, its least document; the members of a hub are compared
-in tiles of bounded size, and a tile gives no more links than connect what is linked in it. Everything is exact: shingles
-are compared by hashes of 64 bits, and no list or group is capped.
+Documents are compared as classes of equal sets. Classes whose prefixes meet in a shingle meet at that shingle's hub, the least
+class that has it. The members of a hub are dealt into blocks, and each block is compared within itself and with the hub: that links
+a group of near copies, however large. Only members that this leaves unconnected are compared across blocks, tile by tile, and
+a tile gives no more links than connect what is linked in it. Shingles are compared by hashes of 64 bits; no list or group is capped.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import packed
-from .common import n_partitions, numbered, written
+from .common import n_buckets, numbered, written
 from .graph import components
 
 SHINGLE = 5
@@ -116,8 +117,7 @@ def _whole_sets(n_buckets: int):
             sets = [s if k else s[:0] for s, k in zip(sets, ok)]
             n = np.array([len(s) for s in sets], np.int64)
             h = np.concatenate([np.zeros(0, np.uint64), *sets])
-            ids = batch.column("doc_id").to_numpy()
-            yield packed.pack((h % np.uint64(n_buckets)).astype(np.int64), np.repeat(np.arange(len(n)), n), ids, n, h)
+            yield packed.pack((h % np.uint64(n_buckets)).astype(np.int64), np.repeat(np.arange(len(n)), n), want, n, h)
 
     return run
 
@@ -181,7 +181,7 @@ def _common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def tile_links(left: pd.DataFrame, right: pd.DataFrame | None) -> list[tuple[int, int]]:
-    """Links between two blocks (or within one) that connect all that is linked."""
+    """Links between two blocks (or within one) that connect all that is linked. Rows with one ``component`` are connected already."""
     same = right is None
     right = left if same else right
     as_hashes = lambda col: [np.array(x, np.int64).view(np.uint64) for x in col]
@@ -195,7 +195,7 @@ def tile_links(left: pd.DataFrame, right: pd.DataFrame | None) -> list[tuple[int
     i, j = np.nonzero(may)
     order = np.argsort(-count[i, j], kind="stable")
     ids_l, ids_r = left["id"].tolist(), right["id"].tolist()
-    root: dict[int, int] = {}
+    root: dict[int, int] = dict(zip(ids_l, left["component"].tolist())) | dict(zip(ids_r, right["component"].tolist()))
 
     def find(x: int) -> int:
         while (up := root.setdefault(x, x)) != x:
@@ -219,27 +219,71 @@ def tile_links(left: pd.DataFrame, right: pd.DataFrame | None) -> list[tuple[int
     return out
 
 
+def _block(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame(tile_links(rows.drop_duplicates(["id"]), None), columns=["a", "b"], dtype="int64")
+
+
 def _tile(rows: pd.DataFrame) -> pd.DataFrame:
     low, high = int(rows["b1"].iloc[0]), int(rows["b2"].iloc[0])
-    rows = rows.drop_duplicates(["id"])
-    own = rows[rows["block"] == low]
-    found = tile_links(own, None if low == high else rows[rows["block"] == high]) if low == high or len(own) < len(rows) and len(own) else []
+    own, other = rows[rows["block"] == low], rows[rows["block"] == high]
+    found = tile_links(own, None if low == high else other) if len(own) and len(other) else []
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): per row of ``docs`` (doc_id, text) its doc_id, n (set size), class and rep, the least doc_id with
-    an equal set; and links between reps that connect all linked documents.
+def _across(members: DataFrame, hubs: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the members of ``hubs`` that are not in one component yet.
 
-    Null text, or text without words, has the empty set and no links. Rows with a null doc_id link with nothing.
+    Components of a block's size or more have blocks of their own, which don't meet; the others share blocks.
+    """
+    rows = members.join(hubs.select("hub"), "hub").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = rows.groupBy("hub", "component").agg(F.count("*").alias("c"))
+    open_hubs = parts.groupBy("hub").agg(F.count("*").alias("k")).where("k > 1").select("hub")
+    parts = written(parts.join(open_hubs, "hub").withColumn("large", F.when(F.col("c") >= BLOCK, F.col("component"))))
+    groups = parts.groupBy("hub", "large").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("n"))
+    before = Window.partitionBy("hub").orderBy("large").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumns({"base": F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int"), "all": F.sum("n").over(Window.partitionBy("hub")).cast("int")})
+    of_part = parts.alias("p").join(groups.alias("g"), (F.col("p.hub") == F.col("g.hub")) & F.col("p.large").eqNullSafe(F.col("g.large")))
+    of_part = written(of_part.select("p.hub", "p.component", "p.large", "g.n", "g.base", "g.all"))
+    dealt = rows.join(of_part, ["hub", "component"]).withColumn("block", F.col("base") + F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda o: F.col("large").isNull() | (o < F.col("base")) | (o >= F.col("base") + F.col("n")))
+    tiles = dealt.select("hub", "id", "component", "block", F.explode(others).alias("other"))
+    tiles = tiles.select("hub", "id", "component", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+    return tiles.join(sets, "id").groupBy("hub", "b1", "b2").applyInPandas(_tile, "a long, b long")
+
+
+def _labels(sets: DataFrame) -> DataFrame:
+    """``sets`` with their prefixes to rows (id, component) for all that are linked."""
+    postings = sets.select("id", F.explode("prefix").alias("h"))
+    hubs = written(postings.groupBy("h").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    members = written(postings.join(hubs, "h").select("hub", "id").distinct())
+    sizes = written(members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")).where("n_blocks > 1"))
+    n = F.coalesce("n_blocks", F.lit(1))
+    blocks = members.join(sizes, "hub", "left").select("hub", "id", F.pmod(F.xxhash64("id"), n).cast("int").alias("block"))
+    leaders = sizes.select("hub", F.col("hub").alias("id"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
+    near = blocks.unionByName(leaders).join(sets, "id").withColumn("component", F.col("id"))
+    found = written(near.groupBy("hub", "block").applyInPandas(_block, "a long, b long"))
+    label = components(found)
+    if not sizes.isEmpty():
+        label = written(label)
+        more = written(_across(members, sizes, label, sets))
+        if not more.isEmpty():
+            label = components(label.toDF("a", "b").unionByName(more))
+    return label
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the least doc_id reachable by links).
+
+    Null text, or text without words, has the empty set and no links: such a row is its own component. Rows with equal sets share a
+    component. Repeated rows each get a row, and unlike texts with one doc_id are compared each. A null doc_id with a set that
+    others have gets their component, else null; it links with nothing else. A text's set is held by one task, whatever its length.
     """
-    spark = docs.sparkSession
-    p = n_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = packed.by_bucket(rows.mapInArrow(_first_pass(p), packed.SCHEMA))
+    p = n_buckets(rows)
+    first = packed.by_bucket(rows.mapInArrow(_first_pass(p), packed.SCHEMA), p)
     first = written(first.mapInArrow(_first_match, "doc_id long, n long, class long, shared long"))
     known = first.where(F.col("shared").isNull()).drop("shared")
-    reps = known.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"))
+    reps = written(known.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep")))
     # n - t + m of t's order: any partner of a set of n has ceil(t / FIRST_SHARE) or more to share.
     enough = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]) / FIRST_SHARE))
     left = (
@@ -250,41 +294,17 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(reps, "class")
         .select(F.col("rep").alias("doc_id"), "class")
     )
-    sets = rows.join(left, "doc_id").mapInArrow(_whole_sets(p), packed.SCHEMA)
-    sets = packed.by_bucket(sets).mapInArrow(_frequencies(p), packed.SCHEMA)
-    schema = "id long, n long, m int, prefix array<long>, shared binary"
-    sets = written(packed.by_bucket(sets).mapInArrow(_prefixes, schema))
-
-    postings = sets.select("id", F.explode("prefix").alias("h"))
-    hubs = postings.groupBy("h").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    members = written(postings.join(hubs, "h").select("hub", "id").distinct())
-    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")).where("n_blocks > 0")
-    blocks = (
-        members.join(sizes, "hub")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-        .select("hub", "id", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-        .select("hub", "id", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-    )
-    found = (
-        blocks.join(sets, "id")
-        .groupBy("hub", "b1", "b2")
-        .applyInPandas(_tile, "a long, b long")
-    )
-    return known.join(reps, "class", "left"), found
-
-
-def joined(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the least doc_id reachable by links).
-
-    Rows with equal sets share a component; a row with the empty set is its own. Repeated rows each get a row. A null
-    doc_id with a set that others have gets their component, else null.
-    """
-    known, found = links(docs)
-    label = components(found).withColumnRenamed("id", "rep")
-    return known.join(label, "rep", "left").select(
+    sets = packed.by_bucket(rows.join(left, "doc_id").mapInArrow(_whole_sets(p), packed.SCHEMA), p).mapInArrow(_frequencies(p), packed.SCHEMA)
+    sets = written(packed.by_bucket(sets, p).mapInArrow(_prefixes, "id long, n long, m int, prefix array<long>, shared binary"))
+    label = _labels(sets).withColumnRenamed("id", "class").join(reps, "class")
+    least = label.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = label.join(least, "component").select("class", "least")
+    # A table of its own, so that the last join reads two shuffles and a large class can be split over tasks.
+    of_class = written(reps.join(linked, "class", "left").select("class", F.coalesce("least", "rep").alias("component_id")))
+    return known.join(of_class, "class", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 

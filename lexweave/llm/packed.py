@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .kernels import ranges, runs
-from .common import n_partitions
 
 SCHEMA = "bucket int, owner binary, n binary, counts binary, h binary, x binary"
 _NAMES = ["bucket", "owner", "n", "counts", "h", "x"]
@@ -49,9 +48,9 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, n
     return np.repeat(owner, counts), np.repeat(n, counts), h, x
 
 
-def by_bucket(df: DataFrame, n: int | None = None) -> DataFrame:
-    """Each bucket in one partition; buckets are dealt from 0 to :func:`n_partitions` - 1."""
-    return df.repartitionById(n or n_partitions(df.sparkSession), "bucket")
+def by_bucket(df: DataFrame, n: int) -> DataFrame:
+    """Each of ``n`` buckets in a partition of its own."""
+    return df.repartitionById(n, "bucket")
 
 
 def shared_entries(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

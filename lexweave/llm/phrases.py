@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import packed
-from .common import n_partitions, written
+from .common import n_buckets, written
 from .suffixes import merged
 
 ANCHOR = 7
@@ -251,14 +251,14 @@ def _located(size: int):
 
 def repeated_ranges(docs: DataFrame, size: int = 13) -> DataFrame:
     """``docs`` (doc_id, k, text; k tells unlike rows of a doc_id apart) to (doc_id, k, a, b): ranges of a row's words that a document with a smaller doc_id has."""
-    p = n_partitions(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    hits = packed.by_bucket(rows.mapInArrow(_anchors(size, p), packed.SCHEMA)).mapInArrow(_shared(p), packed.SCHEMA)
-    hits = packed.by_bucket(hits).mapInArrow(_per_document, "doc_id long, hits binary")
+    p = n_buckets(rows)
+    hits = packed.by_bucket(rows.mapInArrow(_anchors(size, p), packed.SCHEMA), p).mapInArrow(_shared(p), packed.SCHEMA)
+    hits = packed.by_bucket(hits, p).mapInArrow(_per_document, "doc_id long, hits binary")
     stretches = written(rows.join(hits, "doc_id").mapInArrow(_stretches(size), "doc_id long, k long, first long, text binary"))
 
-    windows = packed.by_bucket(stretches.mapInArrow(_window_hashes(size, p), packed.SCHEMA)).mapInArrow(_owned(p), packed.SCHEMA)
-    windows = packed.by_bucket(windows).mapInArrow(_per_document, "doc_id long, hits binary")
+    windows = packed.by_bucket(stretches.mapInArrow(_window_hashes(size, p), packed.SCHEMA), p).mapInArrow(_owned(p), packed.SCHEMA)
+    windows = packed.by_bucket(windows, p).mapInArrow(_per_document, "doc_id long, hits binary")
     parts = written(stretches.join(windows, "doc_id").mapInArrow(_by_owner(size), "owner long, doc_id long, k long, first long, text binary"))
 
     is_owner = F.col("owner") == F.col("doc_id")

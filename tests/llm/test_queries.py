@@ -159,20 +159,26 @@ def brute_components(rows):
     return [(d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets))]
 
 
-def test_jaccard(spark, docs, real):
-    near = [(100 + i, " ".join(f"v{k if k % 40 != i % 40 or i == 0 else k * 1000 + i}" for k in range(300))) for i in range(12)]
-    made = spark.createDataFrame(near, "doc_id long, text string")
+def near_copies():
+    """A chain: each is near to some others, few to all."""
+    return [(100 + i, " ".join(f"v{k if k % 40 != i % 40 or i == 0 else k * 1000 + i}" for k in range(300))) for i in range(12)] + [
+        (200 + i, " ".join(f"u{k if not 20 * i <= k < 20 * i + 40 else k * 1000}" for k in range(300))) for i in range(14)]
+
+
+def unlike_texts_with_one_id():
+    words = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    return [(1, words("x")), (1, words("y")), (5, words("y") + " tail"), (7, words("x") + " tail"), (5, words("z")), (None, words("z"))]
+
+
+@pytest.mark.parametrize("block", [128, 2])
+def test_jaccard(spark, docs, real, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    made = spark.createDataFrame(near_copies() + unlike_texts_with_one_id(), "doc_id long, text string")
     for df in (docs, real, made):
         rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
         assert sorted(map(str, map(tuple, jaccard.joined(df).collect()))) == sorted(map(str, brute_components(rows)))
 
 
-def test_jaccard_tiles(spark, real, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 2)
-    rows = [tuple(r) for r in real.select("doc_id", "text").collect()]
-    assert sorted(map(tuple, jaccard.joined(real).collect())) == sorted(brute_components(rows))
-
-
 def test_quality(docs):
     rows = {r["text"]: r for r in quality.quality_rules(docs).collect()}
     assert rows[None]["base_failed"] and rows[""]["n_words"] == 0 and not rows["\t \n"]["kept"]
