@@ -44,6 +44,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def shielded(df: DataFrame, *used: str) -> DataFrame:
+    """``df`` with all columns but ``used`` named by their places (other_0, ...), so that no name meets one that an operator adds.
+    ``toDF(*df.columns)`` gives the names back."""
+    return df.toDF(*[c if c in used else f"other_{i}" for i, c in enumerate(df.columns)])
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with a number of its own for each row as ``_row``, written so that the number stays."""
     return written(df.withColumn("_row", F.monotonically_increasing_id()))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import packed
-from .common import n_buckets, numbered, written
+from .common import n_buckets, numbered, shielded, written
 from .graph import components
 
 SHINGLE = 5
@@ -313,8 +313,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by numbers of their own, so rows with null or repeated doc_ids are compared as all others are.
     """
-    rows = numbered(docs)
+    rows = numbered(shielded(docs, "doc_id", "text"))
     found = joined(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
     kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("_row")).select("_row")
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    return rows.join(kept, "_row", "left_semi").drop("_row").toDF(*docs.columns)

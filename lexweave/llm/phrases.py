@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import packed
-from .common import n_buckets, written
+from .common import n_buckets, shielded, written
 from .suffixes import merged
 
 ANCHOR = 7
@@ -318,8 +318,9 @@ def passage_digest(docs: DataFrame) -> DataFrame:
 
 
 def without_passages(docs: DataFrame, size: int = 13) -> DataFrame:
-    """``docs`` with repeated passages cut out of their texts; the words that stay are joined by one space."""
-    plain = docs.withColumn("text", F.col("text").cast("string")).drop("a", "b", "k")
+    """``docs`` with repeated passages cut out of their texts; the words that stay are joined by one space, texts that lose none stay
+    as they are. All columns stay, whatever their names. Null doc_ids and texts: as in :func:`passage_digest`."""
+    plain = shielded(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
     out = _with_ranges(plain, size)
     fields = [f for f in out.schema.fields if f.name not in ("a", "b")]
-    return out.mapInArrow(_texts, type(out.schema)(fields)).select(*plain.columns)
+    return out.mapInArrow(_texts, type(out.schema)(fields)).select(*plain.columns).toDF(*docs.columns)

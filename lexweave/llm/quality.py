@@ -81,7 +81,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     The measures come out of one generated row: a filter on them stays above it. Through a projection Catalyst would push
     the filter down and put the splitting of the text in every place that names a measure, once for each word.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     split = F.filter(F.split(t, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
     words, lines = ("_" * (1 + max(map(len, docs.columns))) + x for x in ("words", "lines"))  # names that docs hasn't
     measures = {
@@ -94,8 +94,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))),
     }
     row = F.struct(*[v.cast("long").alias(k) for k, v in measures.items()])
-    return docs.withColumns({words: words_of(F.col(text)), lines: split}).select(
-        *[c for c in docs.columns if c not in measures], F.inline(F.array(row))
+    return docs.select("*", words_of(F.col(text)).alias(words), split.alias(lines)).select(
+        *[c for c in docs.columns if c.lower() not in measures], F.inline(F.array(row))
     )
 
 
@@ -119,7 +119,8 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     """Adds the measures, ``base_failed``, ``broken_rules`` and ``kept`` to every row.
 
     Null or empty text: all measures 0, ``base_failed`` true. Rows are judged one by one, so ties and repeated rows
-    each get their own verdict; columns of ``docs`` with the names of the results are replaced.
+    each get their own verdict, and so do texts of any length; columns of ``docs`` with the names of the results, in whatever case, are
+    replaced. An empty table gives an empty table.
     """
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
@@ -132,6 +133,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``, of its doc_id and text alone: null text counts as empty and fails the base rules."""
     return quality_rules(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

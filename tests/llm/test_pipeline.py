@@ -39,3 +39,23 @@ def test_mix_of_null_and_repeated_ids(spark):
         want[r["doc_id"], r["source"]] += r["copies"]
     assert copies == +want
     assert all(abs(words[r["source"]] - r["target"]) <= 8 for r in per_row)
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns that bear the names of results or of an operator's own, nulls and repeated rows, through every stage."""
+    words = lambda a, n: " ".join(f"the of {a}{i} and" for i in range(n))
+    names = "kept N_WORDS n_words a b k _row _copies _copy words component_id other_0".split()
+    rows = [(i % 9 or None, None if i == 5 else words("x" * (1 + i % 4), 20) + " " + words(f"y{i}", 1), "ab"[i % 2], *[f"{n}{i}" for n in names]) for i in range(14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in p.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            at = r[3].removeprefix("kept")
+            assert list(r[3:]) == [f"{n}{at}" for n in names], name
+
+
+def test_stages_of_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    for name, stage in p.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name

@@ -237,6 +237,16 @@ def test_chat(spark):
     assert got[1]["rejected_completion"] == "" and got[2]["chosen_completion"] == "" and got[2]["n_prompt_turns"] == 1
 
 
+def test_prompts_are_shared(spark):
+    """The query's pairs have prompts, and callers' columns stay."""
+    got = queries.queries()["op6_preference_formatting"](spark, SF).collect()
+    assert max(r["n_prompt_turns"] for r in got) > 1 and any(r["chosen_completion"] != r["rejected_completion"] for r in got)
+    turn = "array<struct<turn:bigint,role:string,text:string>>"
+    row = spark.sql(f"SELECT 1 AS pair_id, CAST(NULL AS {turn}) AS chosen, array(named_struct('turn', 1L, 'role', 'assistant', 'text', 'x')) AS rejected, 7 AS _c, 8 AS prompt_turns, 9 AS PROMPT")
+    out = chat.preference_pairs(row).collect()[0]
+    assert out["_c"] == 7 and out["prompt_turns"] == 8 and out["prompt"] == "" and out["rejected_completion"] == "<|assistant|>\nx\n"
+
+
 PAGES = [
     (None, ""), ("", ""),
     ("<body><nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1><p>One, two.<p>Three<br>four <b>f</b>ive</article><footer>c</footer>", "T & U One, two. Three four five"),
@@ -344,3 +354,57 @@ def test_small_automaton():
                         parts[k : k + 2] = [parts[k] + parts[k + 1]]
                     k += 1
             assert [auto.label[i] for i in auto.encode(word)] == parts
+
+
+class Plain(__import__("html.parser", fromlist=["HTMLParser"]).HTMLParser):
+    """Text within <article>, by the standard library: what the tables' pages have as their main text."""
+
+    def __init__(self):
+        super().__init__()
+        self.within, self.parts = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.within += tag == "article"
+        self.parts += [" "] if tag not in html.INLINE else []
+
+    def handle_endtag(self, tag):
+        self.within -= tag == "article"
+        self.parts += [" "] if tag not in html.INLINE else []
+
+    def handle_data(self, data):
+        self.parts += [data] if self.within else []
+
+
+def test_html_against_a_plain_reader(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    for r in pages.join(html.extraction_digest(pages).drop("url"), "page_id").collect():
+        plain = Plain()
+        plain.feed(r["html"])
+        assert r["text"] == " ".join("".join(plain.parts).split()) and r["n_chars"] == len(r["text"])
+
+
+PARAGRAPHS = "<p>" + "Long words, here and there, in a paragraph. " * 5 + "</p><p>" + "More of the same, so that it is long. " * 5 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["print-page", "legal-article", "social-study", "side-by-side", "notice-board story", "search-results-story", "post share-story", "related"])
+def test_class_names_alone_do_not_empty_a_page(name):
+    plain = html.main_text(f"<body><div>{PARAGRAPHS}</div></body>")
+    assert plain and html.main_text(f'<body><nav>x</nav><div class="{name}">{PARAGRAPHS}</div></body>') == plain
+    other = f'<body><div>{PARAGRAPHS}</div><div class="{name}"><p>Some other text, of thirty characters.</p></div></body>'
+    assert html.main_text(other) == plain
+
+
+def test_broken_markup():
+    assert html.main_text("a < b ... <b>x</b><p>block</p>") == "a < b ... x block"
+    assert html.main_text('<p title="x>Hello') == "Hello"
+    assert html.main_text('<p title="a>b" data-x=\'>\'>Hello <!-- > --> you<!DOCTYPE x></p') == "Hello you"
+    assert html.main_text(f"<body>{'Loose text, without a block. ' * 4}<div>{PARAGRAPHS}</div></body>").startswith("Loose text")
+
+
+@pytest.mark.parametrize("part", ["<a ", '<p title="', "<!--", "<script ", "<script></script ", "</b", "<p>", "&amp", "=' ", '<p title = "'])
+def test_hostile_markup(part):
+    import time
+
+    began = time.process_time()
+    html.main_text(part * (400_000 // len(part)))
+    assert time.process_time() - began < 2
