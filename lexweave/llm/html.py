@@ -37,6 +37,8 @@ CLOSES_P = set(
 #: An open element of the key ends where one of the values starts, if no element of BOUNDS lies between.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 BOUNDS = set("ul ol dl table tbody thead tfoot div article section main body".split())
+P_BOUNDS = BOUNDS | {"td", "li", "button"}
+ENDS = {new: [old for old, by in ENDED_BY.items() if new in by] for by in ENDED_BY.values() for new in by}
 UNLIKELY = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
     "notification alert popup modal overlay newsletter subscribe subscription signup paywall sidebar side rail widget related recommended "
@@ -145,8 +147,6 @@ def parsed(html: str) -> Node:
         return inner
 
     def within(node: Node, tags: set[str], until: set[str] = frozenset()) -> Node | None:
-        if not any(map(opened.__getitem__, tags)):
-            return None
         while node.parent is not None:
             if node.tag in tags:
                 return node
@@ -166,13 +166,13 @@ def parsed(html: str) -> Node:
             at.children.append(unescape(tag))
             continue
         if kind == "close":
-            if (node := within(at, {tag})) is not None:
+            if opened[tag] and (node := within(at, {tag})) is not None:
                 at = left(node)
             continue
-        if tag in CLOSES_P and (node := within(at, {"p"}, BOUNDS - {"p"} | {"td", "li", "button"})) is not None:
+        if tag in CLOSES_P and opened["p"] and (node := within(at, {"p"}, P_BOUNDS)) is not None:
             at = left(node)
-        for old, by in ENDED_BY.items():
-            if tag in by and (node := within(at, {old}, BOUNDS)) is not None:
+        for old in ENDS.get(tag, ()):
+            if opened[old] and (node := within(at, {old}, BOUNDS)) is not None:
                 at = left(node)
         out, unlikely = judged(tag, attrs, opened["article"] > 0 or opened["main"] > 0)
         node = Node(tag, at, at.out or out, unlikely)
