@@ -3,12 +3,11 @@
 Each source gets a target in words. Every document of a source is expected ``target / source_size`` times; the expected
 copies are summed along the source, one offset is added, and a document is taken once for every integer that its part
 of the running sum crosses. Documents are ordered by size within the source, so that the words taken stay within about
-one document of the target.
+one document of the target; of ``OFFSETS`` random offsets the one is added that comes nearest.
 
 The running sum of equal steps is a rank. Ranks are counted without bringing a source together: rows are grouped by
-(source, size, chunk), chunks hold about ``CHUNK`` rows each however many copies of one size there are. The ranks before a
-chunk are a sum of three: the rows of the source's smaller sizes, of the size's former bands of ``BAND`` chunks, and of the
-band's former chunks. So no task sorts more than the sizes of a source, the bands of a size or the chunks of a band.
+(source, size), and a size that very many rows of a source have is dealt into chunks. There are at most ``MOST_CUT`` such sizes with
+as many chunks each, whatever the input, so that they are broadcast and no task sorts more than a chunk or a source's sizes.
 """
 
 from __future__ import annotations
@@ -18,12 +17,14 @@ from pyspark.sql import functions as F
 
 from .common import n_words_of, written
 
-#: Rows of one chunk, about.
+#: Rows of a source with one size that are never dealt into chunks.
 CHUNK = 400
-#: Chunks of one band.
-BAND = 4096
+#: Sizes that are dealt into chunks, and chunks of a size, at most.
+MOST_CUT = 10_000
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT, MOST = 150, 2
+#: Random offsets that are tried for a source.
+OFFSETS = 16
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -46,13 +47,13 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame
         .withColumn("all_weight", F.sum("weight").over(every))
         .withColumn("level", (F.col("all_size") - F.coalesce(F.sum("cap").over(by_ratio), zero)) / (F.col("all_weight") - F.coalesce(F.sum("weight").over(by_ratio), zero)))
         .withColumn("at_level", F.min(F.when(F.col("level") < F.col("ratio"), F.struct("ratio", "nth", "level"))).over(every)["level"])
-        .select("source", "source_size", F.least("cap", F.coalesce(F.col("at_level") * F.col("weight"), F.col("cap"))).alias("target"))
+        .select(*sources.columns, F.least("cap", F.coalesce(F.col("at_level") * F.col("weight"), F.col("cap"))).alias("target"))
     )
 
 
-def offset_of(source: Column, seed: str = "") -> Column:
-    """In [0, 1), from the source's name and the seed alone, so that reruns agree."""
-    name = F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("s"), source), F.lit("null")))
+def offset_of(name: Column, seed: str = "") -> Column:
+    """In [0, 1), from a source's name and the seed alone, so that reruns agree."""
+    name = F.concat(F.lit(seed), name)
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
@@ -60,56 +61,48 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "", k
     """Per row of ``docs`` (doc_id, text, source): size, source_size, target, copies, taken.
 
     Null text has size 0, a null source is a source of its own, rows of size 0 take nothing. Repeated rows are sampled
-    each. No document is taken more than twice. ``key``: a column that tells rows apart; it comes along.
+    each. No document is taken more than twice. An empty table gives an empty table. ``key``: a column that tells rows apart; it
+    comes along. Without it, rows of one source, size and doc_id (null too) are counted by one task.
     """
     keys = [key] if key else []
-    base = written(docs.select("doc_id", *keys, "source", n_words_of(F.col("text")).alias("size")))
-    sizes = base.groupBy("source", "size").count()
-    target = targets(
-        sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("source_size")), weights
-    ).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))).otherwise(0.0))
-    cut = sizes.select("source", "size", F.ceil(F.col("count") / CHUNK).cast("long").alias("n_chunks"))
-    same = lambda a, b, *keys: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
-    placed = (
-        base.alias("a")
-        .join(cut.alias("b"), same("a", "b", "source", "size"))
-        .select("a.*", F.coalesce(F.pmod(F.col("doc_id"), F.col("n_chunks")), F.lit(0).cast("long")).alias("chunk"))
-    )
-    def former(*keys: str, by: str) -> Column:
-        rows = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("count").over(rows), F.lit(0))
-
-    counts = placed.groupBy("source", "size", "chunk").count().withColumn("band", F.floor(F.col("chunk") / BAND))
-    of_sizes = sizes.withColumn("before_size", former("source", by="size"))
-    of_bands = counts.groupBy("source", "size", "band").agg(F.sum("count").alias("count")).withColumn("before_band", former("source", "size", by="band"))
-    before = F.col("a.before_chunk") + F.col("b.before_band") + F.col("c.before_size")
-    chunks = (
-        counts.withColumn("before_chunk", former("source", "size", "band", by="chunk"))
-        .alias("a")
-        .join(of_bands.alias("b"), same("a", "b", "source", "size", "band"))
-        .join(of_sizes.alias("c"), same("a", "c", "source", "size"))
-        .select("a.source", "a.size", "a.chunk", before.alias("before"))
-    )
-    at = (
-        chunks.alias("a")
-        .join(target.alias("b"), same("a", "b", "source"))
-        .select("a.source", "a.size", "a.chunk", "a.before", "b.source_size", "b.target", "b.rate")
-    )
-    within = Window.partitionBy("source", "size", "chunk").orderBy("doc_id", *keys)
-    u = offset_of(F.col("source"), seed)
-    upto = lambda k: F.floor(k * F.col("rate") + u)
+    src = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
+    base = written(docs.select("doc_id", *keys, "source", src.alias("src"), n_words_of(F.col("text")).alias("size")))
+    sizes = written(base.groupBy("src", "source", "size").agg(F.count("*").alias("c")))
+    per_source = targets(sizes.groupBy("src", "source").agg(F.sum(F.col("size") * F.col("c")).alias("source_size")), weights)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    per_source = written(per_source.withColumns({"rate": rate, "u": offset_of(F.col("src"), seed)}))
+
+    limit = max(CHUNK, (sizes.agg(F.sum("c")).first()[0] or 0) // MOST_CUT)
+    cut = sizes.where(F.col("c") > limit).select("src", "size", F.ceil(F.col("c") / limit).cast("long").alias("n_chunks"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(" ", *[F.col(k).cast("string") for k in ("doc_id", *keys)])), 1, 8), 16, 10).cast("long")
+    chunk = F.when(F.col("n_chunks").isNull(), F.lit(0).cast("long")).otherwise(drawn % F.col("n_chunks"))
+    placed = base.join(F.broadcast(cut), ["src", "size"], "left").withColumn("chunk", chunk)  # at most MOST_CUT rows
+
+    def former(by: list[str]) -> Column:
+        return F.coalesce(F.sum("c").over(Window.partitionBy("src").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    upto = lambda k, u: F.floor(k * F.col("rate") + u)
+    tried = sizes.withColumn("before", former(["size"])).join(per_source.drop("source"), "src")
+    tried = tried.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1)))).withColumn("u", F.col("u") + F.col("j") / OFFSETS)
+    words = F.sum(F.col("size") * (upto(F.col("before") + F.col("c"), F.col("u")) - upto(F.col("before"), F.col("u"))))
+    tried = tried.groupBy("src", "j", "u", "target").agg(words.alias("words"))
+    offsets = tried.groupBy("src").agg(F.min(F.struct(F.abs(F.col("words") - F.col("target")).alias("off"), "j", "u"))["u"].alias("u"))
+    of_source = per_source.select("src", "source_size", "target", "rate").join(offsets, "src")
+    counts = placed.groupBy("src", "size", "chunk").agg(F.count("*").alias("c"))
+    at = written(counts.withColumn("before", former(["size", "chunk"])).drop("c").join(of_source, "src"))
+
+    within = Window.partitionBy("src", "size", "chunk").orderBy("doc_id", *keys)
+    k = F.col("nth") + F.col("before")
     return (
         placed.withColumn("nth", F.row_number().over(within))
-        .alias("a")
-        .join(at.alias("b"), same("a", "b", "source", "size", "chunk"))
-        .select("a.doc_id", *[f"a.{k}" for k in keys], "a.source", "a.size", "b.source_size", "b.target", "b.rate", (F.col("a.nth") + F.col("b.before")).alias("k"))
-        .withColumn("copies", (upto(F.col("k")) - upto(F.col("k") - 1)).cast("long"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("rate", "k")
-    )
+        .join(at, ["src", "size", "chunk"])
+        .withColumn("copies", (upto(k, F.col("u")) - upto(k - 1, F.col("u"))).cast("long"))
+        .select("doc_id", *keys, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    )
 
 
 def mixing_digest(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``, as :func:`mixed`; nulls, ties and repeated rows as there."""
     return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -124,10 +117,18 @@ l AS (SELECT *, (all_size - coalesce(sum(cap) OVER f, 0)) / (all_weight - coales
       FROM x WINDOW f AS (ORDER BY ratio, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 a AS (SELECT level AS at_level FROM l WHERE level < ratio ORDER BY ratio, nth LIMIT 1),
 t AS (SELECT source, source_size, least(cap, coalesce((SELECT at_level FROM a) * weight, cap)) AS target FROM l),
-k AS (SELECT b.*, ceil(count(*) OVER (PARTITION BY source, size) / 400.0)::BIGINT AS n_chunks FROM b),
-r AS (SELECT k.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-             row_number() OVER (PARTITION BY k.source ORDER BY size, doc_id % n_chunks, doc_id) AS n,
-             ('0x' || substr(md5(coalesce('s' || k.source, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-      FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+z AS (SELECT source, size, count(*) AS c, coalesce(sum(count(*)) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM b GROUP BY source, size),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+             ('0x' || substr(md5(coalesce('s' || source, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u0 FROM t),
+y AS (SELECT *, u0 + j / 16.0::DOUBLE AS u FROM q, range(16) r(j)),
+e AS (SELECT y.source, j, u, any_value(target) AS target, sum(size * (floor((before + c) * rate + u) - floor(before * rate + u))) AS words
+      FROM y JOIN z ON y.source IS NOT DISTINCT FROM z.source GROUP BY y.source, j, u),
+o AS (SELECT source, arg_min(u, (abs(words - target), j)) AS u FROM e GROUP BY source),
+m AS (SELECT greatest(400, count(*) // 10000) AS most FROM b),
+k AS (SELECT b.*, CASE WHEN c > most THEN ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % ceil(c / most::DOUBLE)::BIGINT ELSE 0 END AS chunk
+      FROM b JOIN z ON b.source IS NOT DISTINCT FROM z.source AND b.size = z.size, m),
+r AS (SELECT k.*, q.source_size, q.target, q.rate, o.u, row_number() OVER (PARTITION BY k.source ORDER BY k.size, chunk, doc_id) AS n
+      FROM k JOIN q ON k.source IS NOT DISTINCT FROM q.source JOIN o ON k.source IS NOT DISTINCT FROM o.source)
 SELECT doc_id, size, source_size, target, ((floor(n * rate + u) - floor((n - 1) * rate + u))::BIGINT * size)::BIGINT AS taken FROM r
 """
