@@ -150,7 +150,7 @@ class Automaton:
         self.symbols = ahocorasick.Automaton()
         for t in tokens:
             word = self._spelled(self.label[t])
-            self.symbols.add_word(word, (len(word), t, self.arc[t]))
+            self.symbols.add_word(word, (len(word), t, self.arc[t], *self.row.get(t, (0, 0))))
         self.symbols.make_automaton()
 
     def _ends(self, token: int) -> bool:
@@ -163,28 +163,26 @@ class Automaton:
 
     def encode(self, word: str) -> list[int]:
         """Ids of a word in the letters of :func:`byte_letters`."""
-        n, row, bounds = len(word), self.row, self.bounds
+        n, bounds = len(word), self.bounds
         if self.end:
             word = word[:-1] + chr(ord(word[-1]) + _END)
-        came: list[tuple[int, int] | None] = [None] * n  # of each place: length and token of the arc that leads there
-        for last, (size, token, arc) in self.symbols.iter(word):
+        came: list = [None] * n  # of each place: the arc that leads there, as it stands in the symbol automaton
+        for last, arc in self.symbols.iter(word):
             if came[last] is None:
+                size = arc[0]
                 if size <= last:
                     before = came[last - size]
-                    if before is None:
+                    if before is None or (bisect_right(bounds, arc[2], before[3], before[4]) - before[3]) & 1:
                         continue
-                    lo, hi = row[before[1]]
-                    if (bisect_right(bounds, arc, lo, hi) - lo) & 1:
-                        continue
-                came[last] = size, token
+                came[last] = arc
         out, at = [], n - 1
         while at >= 0:
             if came[at] is None:
                 raise ValueError(f"no path spells {word!r}")
-            size, token = came[at]
-            out.append(token)
-            at -= size
-        return out[::-1]
+            out.append(came[at][1])
+            at -= came[at][0]
+        out.reverse()
+        return out
 
     def decode(self, ids: list[int]) -> list[str]:
         return list(map(self.label.__getitem__, ids))
