@@ -60,7 +60,7 @@ def n_partitions(spark: SparkSession) -> int:
 
 
 #: Bytes of text whose hashes meet in one bucket, about.
-BUCKET = 1 << 25
+BUCKET = 1 << 27
 
 
 def n_buckets(docs: DataFrame) -> int:

@@ -23,7 +23,7 @@ _LOWER[65:91] += 32
 #: Bytes hashed at once, about; a single longer text is hashed whole.
 PIECE = 1 << 20
 #: Bytes of text whose hashes are packed together, about.
-SLICE = 1 << 24
+SLICE = 1 << 23
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -104,8 +104,12 @@ def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(own[s]), pa.array([h[a:b].tobytes() for a, b in zip(s, e)], pa.binary())], names=["doc_id", "hits"])
 
 
+_STRETCHES = "doc_id long, k long, first array<long>, text array<binary>"
+
+
 def _stretches(size: int):
-    """The stretches of each text whose windows have an anchor that another document has: row key, first word's place, text."""
+    """The stretches of each text whose windows have an anchor that another document has, one row for each text with any: row key, places of
+    the stretches' first words, stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,16 +122,25 @@ def _stretches(size: int):
                 for lo, hi in zip(rs.tolist(), re_.tolist()):
                     r = int(row[lo])
                     keep = at[lo:hi][np.isin(anchor[lo:hi], np.frombuffer(hits[a + r].as_buffer(), np.uint64))]
-                    for x, y in _joined(keep, size):
+                    parts = _joined(keep, size)
+                    if parts:
                         ids.append(batch.column("doc_id")[a + r].as_py())
                         keys.append(key[a + r])
-                        firsts.append(x - int(w.first[r]))
-                        texts.append(w.data[w.start[x] : w.end[y - 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(firsts, pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "k", "first", "text"])
+                        firsts.append([x - int(w.first[r]) for x, _ in parts])
+                        texts.append([w.data[w.start[x] : w.end[y - 1]].tobytes() for x, y in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.binary()))], names=["doc_id", "k", "first", "text"])
 
     return run
 
 
+def _each(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """A batch of :func:`_stretches` with a row for each stretch, and the row of the batch that each comes from."""
+    of = np.repeat(np.arange(len(batch)), batch.column("text").value_lengths().to_numpy(zero_copy_only=False))
+    taken = pa.array(of)
+    cols = [batch.column("doc_id").take(taken), batch.column("k").take(taken), batch.column("first").flatten(), batch.column("text").flatten()]
+    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "k", "first", "text"]), of
+
+
 def _joined(at: np.ndarray, size: int) -> list[tuple[int, int]]:
     """Word ranges [a, b) of runs of consecutive windows."""
     if not len(at):
@@ -138,7 +151,7 @@ def _joined(at: np.ndarray, size: int) -> list[tuple[int, int]]:
 
 def _window_hashes(size: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches):
+        for batch in K.slices(_each(x)[0] for x in batches):
             data, off = K.buffers(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -156,16 +169,17 @@ def _by_owner(size: int):
     """Each stretch in parts whose windows have one owner: owner, doc_id, row key, first word's place, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for of_text in batches:
+            batch, of = _each(of_text)
             data, off = K.buffers(batch.column("text"))
-            doc, key, first, hits = batch.column("doc_id").to_pylist(), batch.column("k").to_pylist(), batch.column("first").to_pylist(), batch.column("hits")
+            doc, key, first, hits = batch.column("doc_id").to_numpy(), batch.column("k").to_numpy(), batch.column("first").to_numpy(), of_text.column("hits")
             for a, b in K.pieces(off):
                 out: list[tuple] = []
                 w, row, at, _, h = _hashed(data, off[a : b + 1], size)
                 rs, re_ = K.runs(row)
                 for lo, hi in zip(rs.tolist(), re_.tolist()):
                     r = int(row[lo])
-                    known = np.frombuffer(hits[a + r].as_buffer(), np.uint64).reshape(-1, 2)
+                    known = np.frombuffer(hits[int(of[a + r])].as_buffer(), np.uint64).reshape(-1, 2)
                     order = np.argsort(known[:, 0])
                     known = known[order]
                     place = np.minimum(np.searchsorted(known[:, 0], h[lo:hi]), len(known) - 1)
@@ -176,7 +190,7 @@ def _by_owner(size: int):
                     for x, y in zip(s.tolist(), e.tolist()):
                         for i, j in _joined(where[x:y], size):
                             k = a + r
-                            out.append((int(owner[x]), doc[k], key[k], first[k] + i - int(w.first[r]), w.data[w.start[i] : w.end[j - 1]].tobytes()))
+                            out.append((int(owner[x]), int(doc[k]), int(key[k]), int(first[k]) + i - int(w.first[r]), w.data[w.start[i] : w.end[j - 1]].tobytes()))
                 cols = list(zip(*out)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["owner", "doc_id", "k", "first", "text"])
 
@@ -255,7 +269,7 @@ def repeated_ranges(docs: DataFrame, size: int = 13) -> DataFrame:
     p = n_buckets(rows)
     hits = packed.by_bucket(rows.mapInArrow(_anchors(size, p), packed.SCHEMA), p).mapInArrow(_shared(p), packed.SCHEMA)
     hits = packed.by_bucket(hits, p).mapInArrow(_per_document, "doc_id long, hits binary")
-    stretches = written(rows.join(hits, "doc_id").mapInArrow(_stretches(size), "doc_id long, k long, first long, text binary"))
+    stretches = written(rows.join(hits, "doc_id").mapInArrow(_stretches(size), _STRETCHES))
 
     windows = packed.by_bucket(stretches.mapInArrow(_window_hashes(size, p), packed.SCHEMA), p).mapInArrow(_owned(p), packed.SCHEMA)
     windows = packed.by_bucket(windows, p).mapInArrow(_per_document, "doc_id long, hits binary")
