@@ -7,38 +7,27 @@ tables don't hold (braces, names of books, markup).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import names, text
 from lexweave.operators import annotate, concordance, reader, search
+from lexweave.plans.base import ALL, Query
+from lexweave.plans.base import query as _query
+from lexweave.plans.base import table as _table
+from lexweave.plans.base import values as _values
 from lexweave.sources import texts
 from lexweave.streaming import notes as stream
 
-Query = Callable[[SparkSession, str], DataFrame]
-_ALL: dict[str, tuple[Query, str | None]] = {}
-
-
-def _query(sql: str | None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _ALL[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
-    return {k: f for k, (f, _) in _ALL.items()}
-
+    from lexweave.plans import imports, library, notes  # noqa: F401
 
-def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _ALL.items() if sql}
+    return {k: f for k, (f, _) in ALL.items()}
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return {k: sql for k, (_, sql) in ALL.items() if sql}
 
 
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,14 +159,14 @@ def prefix_boundary_match(spark, sf_dir):
     return _tags(spark, sf_dir).where(search.word_start("THA", F.col("surface_text"))).groupBy("surface_text").agg(F.count("*").alias("n"))
 
 
-def _values(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
-
-
-@_query("SELECT * FROM (VALUES ('h02', 'H2'), (' G0430 ', 'G430'), ('H0', NULL), ('love', NULL), ('H12a', NULL)) t(term, number)")
+@_query(
+    "WITH t AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'h0' || user_id WHEN 1 THEN ' G00' || user_id || ' ' WHEN 2 THEN 'H0' WHEN 3 THEN event_type WHEN 4 THEN 'H' || user_id || 'a' ELSE 'g' || user_id END AS term FROM events) "
+    "SELECT event_id, CASE WHEN regexp_matches(trim(term), '^[HhGg]0*[1-9][0-9]*$') THEN upper(substr(trim(term), 1, 1)) || regexp_replace(substr(trim(term), 2), '^0+', '') END AS number FROM t"
+)
 def number_query_normalize(spark, sf_dir):
-    rows = _values(spark, "term string", ("h02",), (" G0430 ",), ("H0",), ("love",), ("H12a",))
-    return rows.select("term", text.number_query(F.col("term")).alias("number"))
+    u, k = F.col("user_id").cast("string"), F.col("event_id") % 6
+    term = F.when(k == 0, F.concat(F.lit("h0"), u)).when(k == 1, F.concat(F.lit(" G00"), u, F.lit(" "))).when(k == 2, "H0").when(k == 3, F.col("event_type")).when(k == 4, F.concat(F.lit("H"), u, F.lit("a"))).otherwise(F.concat(F.lit("g"), u))
+    return _table(spark, sf_dir, "events").select("event_id", text.number_query(term).alias("number"))
 
 
 @_query("SELECT source, count(*) AS total, count(quality) AS in_dictionary, count(*) FILTER (quality = 1) AS good FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
@@ -186,17 +175,24 @@ def dictionary_left_join(spark, sf_dir):
     return rows.groupBy("source").agg(F.count("*").alias("total"), F.count("quality").alias("in_dictionary"), F.count_if(F.col("quality") == 1).alias("good"))
 
 
-@_query("SELECT * FROM (VALUES ('H1', 'H25'), ('H1', 'G3'), ('H2', 'H1')) t(number, refers_to)")
+@_query(
+    "WITH d AS (SELECT 'H' || o_orderkey AS number, 'from H' || o_custkey || '; compare G' || o_orderkey % 100 || ' and H' || o_custkey || ' (not H1234567, xH1)' AS def FROM orders) "
+    r"SELECT DISTINCT number, unnest(regexp_extract_all(def, '\b([HG]\d{1,5})\b', 1)) AS refers_to FROM d"
+)
 def xref_extract(spark, sf_dir):
-    rows = _values(spark, "number string, full_def string", ("H1", "from H25; compare G3 and H25"), ("H2", "see H1 (not H123456)"), ("H3", "none"))
-    return concordance.cross_references(rows, "full_def")
+    o, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    said = F.concat(F.lit("from H"), c, F.lit("; compare G"), (o % 100).cast("string"), F.lit(" and H"), c, F.lit(" (not H1234567, xH1)"))
+    return concordance.cross_references(_table(spark, sf_dir, "orders").select(F.concat(F.lit("H"), o.cast("string")).alias("number"), said.alias("full_def")), "full_def")
 
 
-@_query(None)
+@_query(
+    f"WITH {_TAGS}, g AS (SELECT number, count(*) AS total FROM tags WHERE {_START} GROUP BY number), d AS (SELECT 'tha' AS number, 'x' AS lemma UNION ALL SELECT 'the', 'y' UNION ALL SELECT 'zzzz', 'z') "
+    "SELECT number, total, lemma FROM g LEFT JOIN d USING (number) UNION ALL SELECT number, 0, lemma FROM d WHERE number = 'zzzz' AND number NOT IN (SELECT number FROM g)"
+)
 def dictionary_zero_hits(spark, sf_dir):
-    groups = _values(spark, "number string, total long", ("H1", 2), ("H2", 1))
-    lexicon = _values(spark, "number string, lemma string", ("H1", "a"), ("H9", "i"))
-    return concordance.with_dictionary(groups, lexicon, "H9")
+    groups = _tags(spark, sf_dir).where(search.word_start("tha", F.col("surface_text"))).groupBy("number").agg(F.count("*").alias("total"))
+    lexicon = _values(spark, "number string, lemma string", ("tha", "x"), ("the", "y"), ("zzzz", "z"))
+    return concordance.with_dictionary(groups, lexicon, "zzzz")
 
 
 _LINKS = (
@@ -237,18 +233,8 @@ def first_color_per_key(spark, sf_dir):
     return annotate.first_color(ends, _A, "highlighter_id", "id")
 
 
-_FIRST = "one AS (SELECT source, arg_min(text, doc_id) AS t FROM documents WHERE lang = 'en' GROUP BY source)"
-
-
-@_query(f"WITH {_FIRST} SELECT doc_id, length(coalesce(t, ''))::BIGINT AS n FROM documents LEFT JOIN one USING (source)")
-def first_source_text(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    got = annotate.first_text(docs.where("lang = 'en'"), docs.select("doc_id", "source"), ["source"], "text", ["doc_id"])
-    return got.select("doc_id", F.length("text").cast("long").alias("n"))
-
-
 @_query("WITH one AS (SELECT source, arg_min(text, doc_id) AS t FROM documents GROUP BY source) SELECT doc_id, length(coalesce(t, ''))::BIGINT AS n FROM documents LEFT JOIN one USING (source)")
-def first_source_text_of_all(spark, sf_dir):
+def first_source_text(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     got = annotate.first_text(docs, docs.select("doc_id", "source"), ["source"], "text", ["doc_id"])
     return got.select("doc_id", F.length("text").cast("long").alias("n"))
@@ -301,22 +287,11 @@ def recent_notes_limit(spark, sf_dir):
     return search.recent(_table(spark, sf_dir, "events"), "ts", "event_id").select("event_id", "event_type")
 
 
-@_query(
-    "SELECT event_id, (row_number() OVER (ORDER BY event_type = 'click' DESC, v NULLS LAST, ts DESC, event_id))::BIGINT AS place "
-    "FROM (SELECT *, CASE WHEN event_id % 4 > 0 THEN event_id % 9 END AS v FROM events WHERE user_id % 10 = 1)"
-)
-def note_order_nulls_last(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").where("user_id % 10 = 1").select(
-        F.col("event_id").alias("id"), (F.col("event_type") == "click").alias("pinned"), F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 9).alias("anchor_verse"), F.col("ts").alias("updated_at")
-    )
-    return annotate.note_places(e).select(F.col("id").alias("event_id"), "place")
-
-
 @_query(
     "SELECT event_id, (row_number() OVER (ORDER BY event_type = 'click' DESC, v NULLS LAST, ts DESC, event_id))::BIGINT AS place "
     "FROM (SELECT *, CASE WHEN event_id % 4 > 0 THEN event_id % 9 END AS v FROM events)"
 )
-def note_order_of_all(spark, sf_dir):
+def note_order_nulls_last(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"), (F.col("event_type") == "click").alias("pinned"), F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 9).alias("anchor_verse"), F.col("ts").alias("updated_at")
     )
@@ -353,13 +328,8 @@ def _slot_groups(tags: DataFrame) -> DataFrame:
     return concordance.grouped_slots(rows.dropDuplicates(["entry_id", "word_index", "number"]).unionByName(rows.where(F.length("surface_text") <= 3).withColumn("id", F.lit(2)).dropDuplicates(["entry_id", "word_index"]))).select("entry_id", F.col("word_index").cast("long").alias("word_index"), "surface_text", "numbers")
 
 
-@_query(f"WITH {_TAGS} SELECT entry_id, word_index::BIGINT AS word_index, surface_text, surface_text || ' ' || substr(surface_text, 1, 3) AS numbers FROM tags WHERE lang = 'es' GROUP BY ALL")
-def slot_group(spark, sf_dir):
-    return _slot_groups(_tags(spark, sf_dir).where("lang = 'es'"))
-
-
 @_query(f"WITH {_TAGS} SELECT entry_id, word_index::BIGINT AS word_index, surface_text, surface_text || ' ' || substr(surface_text, 1, 3) AS numbers FROM tags GROUP BY ALL")
-def slot_group_of_all(spark, sf_dir):
+def slot_group(spark, sf_dir):
     return _slot_groups(_tags(spark, sf_dir))
 
 
@@ -401,15 +371,18 @@ def brace_cleanup(spark, sf_dir):
     return _values(spark, "raw string", *[(x,) for x in raw]).select("raw", text.without_braces(F.col("raw")).alias("clean"))
 
 
+_HEAD = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
+
+
 @_query(
-    r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), "
-    r"s AS (SELECT *, sum(regexp_matches(line, '^#{1,6}\s+.*\S\s*$')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM l), "
-    r"g AS (SELECT doc_id, section, max(CASE WHEN regexp_matches(line, '^#{1,6}\s+.*\S\s*$') THEN regexp_extract(line, '^#{1,6}\s+(.*\S)\s*$', 1) END) AS heading, "
-    r"regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT regexp_matches(line, '^#{1,6}\s+.*\S\s*$')), ''), '^\s+|\s+$', '', 'g') AS text FROM s GROUP BY doc_id, section) "
-    r"SELECT doc_id, section::BIGINT AS section, coalesce(heading, 'Preface') AS heading, length(text)::BIGINT AS n FROM g WHERE section > 0 OR text <> ''"
+    rf"WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) AS i FROM documents), "
+    rf"s AS (SELECT *, regexp_matches(line, '{_HEAD}') AS head, sum(regexp_matches(line, '{_HEAD}')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM l), "
+    rf"g AS (SELECT doc_id, section, max(CASE WHEN head THEN regexp_extract(line, '{_HEAD}', 2) END) AS heading, "
+    r"regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT head), ''), '^\s+|\s+$', '', 'g') AS text FROM s GROUP BY doc_id, section) "
+    r"SELECT doc_id, section::BIGINT AS section, coalesce(heading, 'Preface') AS heading, length(text)::BIGINT AS n FROM g WHERE heading IS NOT NULL OR text <> ''"
 )
 def parse_sections(spark, sf_dir):
-    return texts.markdown(_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "section", "heading", F.length("text").cast("long").alias("n"))
+    return texts.headed(_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "section", "heading", F.length("text").cast("long").alias("n"))
 
 
 @_query(
@@ -417,24 +390,7 @@ def parse_sections(spark, sf_dir):
     "q AS (SELECT doc_id, CASE WHEN len(p) > 0 THEN p ELSE ['(empty file)'] END AS p FROM p) SELECT doc_id, generate_subscripts(p, 1)::BIGINT AS n, length(unnest(p))::BIGINT AS len FROM q"
 )
 def parse_paragraphs(spark, sf_dir):
-    return texts.paragraphs(_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "n", F.length("text").cast("long").alias("len"))
-
-
-@_query(
-    """SELECT * FROM (VALUES (1, 2::BIGINT, 'gen', 1, NULL::INT, NULL, 'a "q", b'), (2, 1, '1', 1, 1, NULL, 'x,y'), (3, 1, NULL, NULL, NULL, 'Row 1', 'a — b')) t(id, "row", book, chapter, verse, position_ref, text)"""
-)
-def parse_csv_rows(spark, sf_dir):
-    rows = _values(spark, "id int, text string", (1, 'Book,Ch,V,Text\ngen,1,0,"a ""q"", b"'), (2, "1,1,1,x,y"), (3, "a,b"))
-    return texts.csv_rows(rows, "id")
-
-
-@_query("SELECT * FROM (VALUES (1, 'A', 1, 1, 'x y'), (1, 'A', 1, 2, 'z'), (1, 'A', 2, 1, 'w'), (2, 'B', 3, 4, 'flat'), (3, 'C', 5, 6, 'numbered')) t(id, book, chapter, verse, text)")
-def parse_json_shapes(spark, sf_dir):
-    doc = lambda i, x: _values(spark, "id int, text string", (i, x))
-    nested = texts.json_nested(doc(1, '[{"name": "A", "chapters": [["x {y}", "z"], ["w {n: o}"]]}]'), "id", braces=True)
-    flat = texts.json_flat(doc(2, '[{"Book": "B", "CH": "3", "v": "4", "Content": "flat"}]'), "id").drop("i")
-    numbered = texts.json_numbered(doc(3, '{"books": [{"name": "C", "chapters": [{"chapter": 5, "verses": [{"verse": 6, "text": "numbered"}, {"verse": 7, "text": " "}]}]}]}'), "id")
-    return nested.unionByName(flat).unionByName(numbered)
+    return texts.paragraphs(_table(spark, sf_dir, "documents").withColumn("title", F.lit("x")), "doc_id").select("doc_id", "n", F.length("text").cast("long").alias("len"))
 
 
 _OSIS = """<osis><verse sID="Gen.1.1" osisID="Gen.1.1"/><note type="x">n0</note><w lemma="strong:H07225">In the beginning</w><w lemma="strong:H0853"></w>
@@ -443,7 +399,7 @@ _OSIS = """<osis><verse sID="Gen.1.1" osisID="Gen.1.1"/><note type="x">n0</note>
 
 
 def _nodes(spark: SparkSession) -> DataFrame:
-    return texts.per_file(_values(spark, "path string, text string", ("a.xml", _OSIS)), "text", texts.osis_nodes, "ord int, kind string, osis_id string, text string, lemma string, in_note boolean")
+    return texts.per_file(_values(spark, "path string, text string", ("a.xml", _OSIS)), "text", texts.osis_nodes, "ord int, kind string, osis_id string, node_text string, lemma string, in_note boolean").withColumnRenamed("node_text", "text")
 
 
 @_query("SELECT * FROM (VALUES ('Gen.1.1', 0::BIGINT, 'In the beginning', 'H7225'), ('Gen.1.1', 1, 'God', 'H430'), ('Gen.1.1', 2, 'created', 'H1254'), ('Gen.1.1', 2, 'created', 'H853')) t(osis_ref, word_index, surface_text, number)")
@@ -461,18 +417,12 @@ def html_to_markdown(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", text.html_to_markdown("html").alias("markdown"))
 
 
-@_query("SELECT * FROM (VALUES (1, 'Hello' || chr(10) || 'World é—x'), (2, '{kept} braces')) t(id, text)")
+@_query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{kept} ' || event_type ELSE event_type || chr(10) || ' café — ' || user_id || chr(10) || chr(10) || ' end' END AS text FROM events")
 def strip_rtf(spark, sf_dir):
-    rows = _values(spark, "id int, raw string", (1, "{\\rtf1\\ansi Hello\\par World \\'e9\\u8212?x}"), (2, " {kept} braces "))
-    return rows.select("id", text.strip_rtf("raw").alias("text"))
-
-
-@_query(
-    "SELECT string_agg('## ' || CASE WHEN event_id % 3 = 0 THEN 'Free note' ELSE event_type || ' ' || event_id % 5 END || chr(10) || chr(10) || props, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY event_type, event_id) AS document "
-    "FROM events WHERE user_id = 1"
-)
-def notes_export(spark, sf_dir):
-    return annotate.exported(_table(spark, sf_dir, "events").where("user_id = 1"), _note_block(), ["event_type", "event_id"])
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    rtf = F.concat(F.lit("{\\rtf1\\ansi {\\b "), kind, F.lit("}\\par caf\\'e9 \\u8212? "), user, F.lit("\\pard\\line\\line end}"))
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" {kept} "), kind, F.lit(" "))).otherwise(rtf)
+    return _table(spark, sf_dir, "events").select("event_id", text.strip_rtf(raw).alias("text"))
 
 
 def _note_block() -> Column:
@@ -482,9 +432,9 @@ def _note_block() -> Column:
 
 
 @_query(
-    "SELECT (row_number() OVER (ORDER BY event_type, event_id))::BIGINT AS place, '## ' || CASE WHEN event_id % 3 = 0 THEN 'Free note' ELSE event_type || ' ' || event_id % 5 END || chr(10) || chr(10) || props AS block FROM events"
+    "SELECT (row_number() OVER (ORDER BY event_type, event_id))::BIGINT AS place, '## ' || CASE WHEN event_id % 3 = 0 THEN 'Freeform' ELSE event_type || ' ' || event_id % 5 || ' (chapter)' END || chr(10) || chr(10) || props AS block FROM events"
 )
-def notes_export_of_all(spark, sf_dir):
+def notes_export(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").withColumn("thousand", F.floor(F.col("event_id") / 1000))
     return annotate.export_blocks(rows, _note_block(), ["event_type", "thousand"], ["event_id"])
 

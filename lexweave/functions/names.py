@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.functions.text import collapsed
+
 # The 66 books in order, and their short names in OSIS files.
 CANON = (
     "Genesis|Exodus|Leviticus|Numbers|Deuteronomy|Joshua|Judges|Ruth|1 Samuel|2 Samuel|1 Kings|2 Kings|1 Chronicles|2 Chronicles|Ezra|"
@@ -19,8 +21,17 @@ OSIS = (
     "1Pet 2Pet 1John 2John 3John Jude Rev"
 ).split()
 # Other names in use.
-ALIASES = {"psalm": "Psalms", "song of songs": "Song of Solomon", "canticles": "Song of Solomon", "song": "Song of Solomon", "apocalypse": "Revelation", "revelations": "Revelation", "acts of the apostles": "Acts"}
-ORDINALS = (("iii", "3"), ("ii", "2"), ("i", "1"), ("1st", "1"), ("2nd", "2"), ("3rd", "3"), ("first", "1"), ("second", "2"), ("third", "3"))
+ALIASES = {
+    "song of songs": "Song of Solomon",
+    "canticles": "Song of Solomon",
+    "psalm": "Psalms",
+    "revelations": "Revelation",
+    "revelation of john": "Revelation",
+    "revelation of st. john": "Revelation",
+    "acts of the apostles": "Acts",
+}
+#: Ordinals at the start of a name and the digit for each.
+ORDINALS = {"i": "1", "ii": "2", "iii": "3", "1st": "1", "2nd": "2", "3rd": "3"}
 
 
 def canon(spark: SparkSession) -> DataFrame:
@@ -29,8 +40,8 @@ def canon(spark: SparkSession) -> DataFrame:
 
 
 def plain_name(raw: Column) -> Column:
-    name = F.trim(F.regexp_replace(F.lower(F.trim(raw)), r"\s+", " "))
-    for old, new in ORDINALS[:6]:
+    name = collapsed(F.lower(raw))
+    for old, new in ORDINALS.items():
         name = F.regexp_replace(name, rf"^{old} ", f"{new} ")
     return name
 
@@ -53,3 +64,12 @@ def canonical_names(names: DataFrame, raw: str) -> DataFrame:
 
 def book_of_number(n: Column) -> Column:
     return F.when(n.between(1, len(CANON)), F.element_at(F.array(*[F.lit(b) for b in CANON]), F.when(n.between(1, len(CANON)), n).otherwise(1)))
+
+
+def canonicalized(rows: DataFrame) -> DataFrame:
+    """``rows`` (book, ...) with known names of books in place of those as written, and ``canon_place``: the book's number, 1000 for
+    names that stay as they are. Each distinct name is looked up once."""
+    known = canonical_names(rows.select(F.col("book").alias("raw")), "raw").select(F.col("raw").alias("_raw"), F.col("book").alias("_known"))
+    books = F.broadcast(canon(rows.sparkSession).select(F.col("book").alias("_known"), F.col("number").alias("_number")))  # 66 rows
+    found = rows.join(known.join(books, "_known", "left"), F.col("book").eqNullSafe(F.col("_raw")), "left")
+    return found.select(*[c for c in rows.columns if c != "book"], F.coalesce("_known", "book").alias("book"), F.coalesce("_number", F.lit(1000)).alias("canon_place"))

@@ -48,12 +48,17 @@ def number_or_null(text: Column) -> Column:
     return F.nullif(trimmed(text).try_cast("double"), F.lit(0.0)).try_cast("int")
 
 
-def without_braces(text: Column, passes: int = 10) -> Column:
-    """Drops ``{a: b}`` with the space before it, keeps the words of ``{was}``, to the innermost and out again."""
-    for _ in range(passes):
-        text = F.regexp_replace(text, r"\s*\{([^{]*:[^{]*)\}", "")
-        text = F.regexp_replace(text, r"\s*\{([^{:]*)\}", " $1")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[{}]", ""), r"\s+", " "))
+def without_braces(text: Column) -> Column:
+    """Drops ``{a: b}`` with the space before it, keeps the words of ``{was}``, from the innermost outwards until nothing changes: each
+    round that changes anything takes a brace away, so there are as many rounds as opening braces."""
+
+    def once(t: Column) -> Column:
+        t = F.regexp_replace(t, r"\s*\{([^{]*:[^{]*)\}", "")
+        return F.regexp_replace(t, r"\s*\{([^{:]*)\}", " $1")
+
+    rounds = F.sequence(F.lit(0), F.regexp_count(text, F.lit(r"\{")))
+    out = F.aggregate(rounds, text, lambda t, _: once(t))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[{}]", ""), r"\s+", " "))
 
 
 def snippet(text: Column, terms: list[str], width: int = 16) -> Column:
@@ -72,12 +77,34 @@ def escaped_but_marks(text: Column) -> Column:
     return F.replace(F.replace(out, F.lit("&lt;mark&gt;"), F.lit("<mark>")), F.lit("&lt;/mark&gt;"), F.lit("</mark>"))
 
 
-def preview(title: Column, content: Column, width: int = 60) -> Column:
-    """The title, else the first line with anything in it, without its Markdown marks."""
-    lines = F.filter(F.split(content, "\n"), lambda x: trimmed(x) != "")
-    line = trimmed(F.regexp_replace(F.get(lines, 0), r"^[#>\s*\-]+|[*_`]", ""))
-    shown = F.coalesce(F.when(trimmed(title) != "", trimmed(title)), line, F.lit(""))
-    return F.when(F.length(shown) > width, F.concat(F.substring(shown, 1, width), F.lit("…"))).otherwise(shown)
+def _first_line(content: Column) -> Column:
+    return F.coalesce(F.get(F.filter(F.split(content, "\n"), lambda x: trimmed(x) != ""), 0), F.lit(""))
+
+
+def preview(title: Column, content: Column) -> Column:
+    """The title, else the first line with anything in it, without its Markdown marks, 60 characters of it; else ``(empty note)``."""
+    line = F.regexp_replace(F.regexp_replace(_first_line(content), r"[#>*_`~]", ""), r"^\s*[-+]\s+", "")
+    shown = F.substring(trimmed(line), 1, 60)
+    return F.when(F.coalesce(title, F.lit("")) != "", title).when(shown != "", shown).otherwise("(empty note)")
+
+
+def menu_label(title: Column, content: Column, book: Column, chapter: Column, verse: Column) -> Column:
+    """The title, else the place, else the start of the first line."""
+    line = F.substring(trimmed(F.regexp_replace(_first_line(content), r"[#>*_`]", "")), 1, 40)
+    place = F.when(book.isNotNull(), place_of(book, chapter, verse))
+    return F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(F.coalesce(place, F.when(line != "", line), F.lit("Untitled note")))
+
+
+def place_of(book: Column, chapter: Column, verse: Column) -> Column:
+    """``Book 3:16``, ``Book 3`` or ``Book``, by what is there."""
+    at = F.concat(book, F.lit(" "), chapter.cast("string"))
+    return F.when(verse.isNotNull(), F.concat(at, F.lit(":"), verse.cast("string"))).when(chapter.isNotNull(), at).otherwise(book)
+
+
+def hit_ref(book: Column, chapter: Column, verse: Column, position_ref: Column) -> Column:
+    """Where a hit stands: its place down to the chapter, else its label, else its book."""
+    full = F.when(book.isNotNull() & (verse.isNotNull() | chapter.isNotNull()), place_of(book, chapter, verse))
+    return F.coalesce(full, position_ref, book, F.lit(""))
 
 
 def lemma_numbers(lemma: Column) -> Column:
@@ -86,19 +113,21 @@ def lemma_numbers(lemma: Column) -> Column:
     return F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 8, 1)), F.regexp_replace(F.regexp_extract(x, r"(\d+)$", 1), r"^0+(?=\d)", "")))
 
 
+# Fixed value: a letter and a number that is not 0.
+NUMBER_QUERY = r"^([HGhg])0*([1-9]\d*)$"
+
+
 def number_query(term: Column) -> Column:
     """``h02`` to ``H2``; null for what is no number query."""
-    found = F.regexp_extract(trimmed(term), r"^([HGhg])0*([1-9]\d*)$", 1)
-    return F.when(found != "", F.concat(F.upper(found), F.regexp_extract(trimmed(term), r"^([HGhg])0*([1-9]\d*)$", 2)))
+    part = lambda i: F.regexp_extract(trimmed(term), NUMBER_QUERY, i)
+    return F.when(part(1) != "", F.concat(F.upper(part(1)), part(2)))
 
 
 def anchor_label(book: Column, chapter: Column, verse: Column) -> Column:
-    return (
-        F.when(book.isNull(), F.lit("Free note"))
-        .when(chapter.isNull(), book)
-        .when(verse.isNull(), F.concat_ws(" ", book, chapter.cast("string")))
-        .otherwise(F.concat(book, F.lit(" "), chapter.cast("string"), F.lit(":"), verse.cast("string")))
-    )
+    """What a note is anchored to; says so where it is a whole chapter or book, or nothing."""
+    place = place_of(book, chapter, verse)
+    whole = F.when(verse.isNotNull(), "").when(chapter.isNotNull(), " (chapter)").otherwise(" (book)")
+    return F.when(book.isNull(), F.lit("Freeform")).otherwise(F.concat(place, whole))
 
 
 def aligned(text: Column, surfaces: Column) -> Column:
@@ -116,94 +145,92 @@ def aligned(text: Column, surfaces: Column) -> Column:
     return F.aggregate(surfaces, start, put, lambda a: a["starts"])
 
 
-# How RTF writes characters and breaks.
-_RTF = re.compile(r"\\(?:par|line)\b ?|\\'([0-9a-fA-F]{2})|\\u(-?\d+) ?\??|\\[a-zA-Z]+-?\d* ?|\\[^a-zA-Z]|[{}]")
-
+def _at_each(text: Column, pattern: str, put) -> Column:
+    """``put`` of each piece that starts with a match of ``pattern``; what stands before the first stays."""
+    pieces = F.split(text, f"(?={pattern})")
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(f"^(?:{pattern})"), put(x)).otherwise(x)), "")
 
-def rtf_text(raw: str | None) -> str:
-    if raw is None:
-        return ""
-    if "\\" not in raw:
-        return raw.strip()
 
-    def put(m: re.Match) -> str:
-        if m[1]:
-            return bytes([int(m[1], 16)]).decode("cp1252", "replace")
-        if m[2]:
-            return chr(int(m[2]) % 65536)
-        return "\n" if m[0].startswith(("\\par", "\\line")) and not m[0].startswith("\\pard") else ""
-
-    return re.sub(r"\n{3,}", "\n\n", _RTF.sub(put, raw)).strip()
-
-
-@F.pandas_udf(StringType())
-def strip_rtf(raw: pd.Series) -> pd.Series:
-    return raw.map(rtf_text)
+def strip_rtf(raw: Column) -> Column:
+    """The plain text of RTF; a text without a backslash is only trimmed, its braces stay. Null is empty."""
+    text = F.coalesce(raw, F.lit(""))
+    out = F.regexp_replace(text, r"\\(?:pard?|line)\b", "\n")
+    out = _at_each(out, r"\\'[0-9a-fA-F]{2}", lambda x: F.concat(F.decode(F.unhex(F.concat(F.lit("00"), F.substring(x, 3, 2))), "UTF-16BE"), F.substring(x, 5, 1 << 30)))
+    number = lambda x: F.pmod(F.regexp_extract(x, r"^\\u(-?\d+)", 1).try_cast("long"), F.lit(65536))
+    letter = lambda x: F.decode(F.unhex(F.lpad(F.hex(number(x)), 4, "0")), "UTF-16BE")
+    out = _at_each(out, r"\\u-?\d+", lambda x: F.concat(letter(x), F.regexp_replace(x, r"^\\u-?\d+\??", "")))
+    out = F.regexp_replace(F.regexp_replace(out, r"\\[a-zA-Z]+-?\d*\s?", ""), r"[{}]", "")
+    return F.when(~F.contains(text, F.lit("\\")), trimmed(text)).otherwise(trimmed(F.regexp_replace(out, r"\n{3,}", "\n\n")))
 
 
 class _Markdown(HTMLParser):
-    # What each element is in Markdown.
-    MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "del": "~~", "s": "~~"}
-    BLOCKS = set("p div section article ul ol table tr blockquote pre header footer main".split())
-    SILENT = {"script", "style", "head", "title"}
+    """The tree of a page from its leaves up: an element that ends becomes one string in the element around it."""
+
+    # How elements are written in Markdown.
+    HEADS = {"h1": "#", "h2": "##", "h3": "###", "h4": "####", "h5": "####", "h6": "####"}
+    AROUND = {"strong": "**", "b": "**", "em": "*", "i": "*"}
+    ALONE = {"br": "\n", "hr": "\n---\n\n"}
+    VOID = set("area base col embed img input link meta source track wbr".split())
+    ENDED_BY = {"p": {"p", "ul", "ol", "blockquote", "pre", "hr", "div", "h1", "h2", "h3", "h4", "h5", "h6"}, "li": {"li"}}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.silent = 0
-        self.lists: list[int] = []
-        self.links: list[str] = []
+        self.open: list[tuple[str, str | None, list[str]]] = [("", None, [])]
+
+    def written(self, tag: str, href: str | None, inner: str) -> str:
+        bare = inner.strip()
+        if tag in self.HEADS:
+            return f"\n{self.HEADS[tag]} {bare}\n\n"
+        if tag in self.AROUND:
+            return f"{self.AROUND[tag]}{bare}{self.AROUND[tag]}" if bare else ""
+        if tag == "p":
+            return f"{bare}\n\n"
+        if tag == "a":
+            return f"[{bare}]({href})" if href else inner
+        if tag == "li":
+            return f"{'1.' if self.open[-1][0] == 'ol' else '-'} {bare}\n"
+        if tag in ("ul", "ol"):
+            return f"{inner}\n"
+        if tag == "blockquote":
+            return "\n".join(f"> {x}" for x in bare.split("\n")) + "\n\n"
+        if tag == "code":
+            return f"`{inner}`"
+        if tag == "pre":
+            return f"\n```\n{bare}\n```\n\n"
+        return "" if tag == "head" else inner
+
+    def ended(self) -> None:
+        tag, href, parts = self.open.pop()
+        self.open[-1][2].append(self.written(tag, href, "".join(parts)))
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.SILENT:
-            self.silent += tag not in ("head",) or 1
-        elif tag in self.MARKS:
-            self.out.append(self.MARKS[tag])
-        elif len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
-            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag == "br":
-            self.out.append("\n")
-        elif tag == "hr":
-            self.out.append("\n\n---\n\n")
-        elif tag == "li":
-            if self.lists and self.lists[-1] >= 0:
-                self.lists[-1] += 1
-                self.out.append(f"\n{self.lists[-1]}. ")
-            else:
-                self.out.append("\n- ")
-        elif tag == "a":
-            self.links.append(dict(attrs).get("href") or "")
-            self.out.append("[")
-        elif tag in self.BLOCKS:
-            self.out.append("\n\n")
-            if tag == "blockquote":
-                self.out.append("> ")
-        if tag in ("ul", "ol"):
-            self.lists.append(0 if tag == "ol" else -1)
+        if tag in self.ALONE:
+            self.open[-1][2].append(self.ALONE[tag])
+        elif tag not in self.VOID:
+            if tag in self.ENDED_BY.get(self.open[-1][0], ()):
+                self.ended()
+            self.open.append((tag, dict(attrs).get("href"), []))
 
     def handle_endtag(self, tag):
-        if tag in self.SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag in self.MARKS:
-            self.out.append(self.MARKS[tag])
-        elif tag == "a" and self.links:
-            self.out.append(f"]({self.links.pop()})")
-        elif tag in self.BLOCKS or len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
-            self.out.append("\n\n")
-        if tag in ("ul", "ol") and self.lists:
-            self.lists.pop()
+        if any(t == tag for t, _, _ in self.open[1:]):
+            while self.open[-1][0] != tag:
+                self.ended()
+            self.ended()
 
     def handle_data(self, data):
-        if not self.silent:
-            self.out.append(re.sub(r"\s+", " ", data))
+        self.open[-1][2].append(re.sub(r"\s+", " ", data))
+
+    def result(self) -> str:
+        self.close()
+        while len(self.open) > 1:
+            self.ended()
+        return re.sub(r"\n{3,}", "\n\n", "".join(self.open[0][2])).strip()
 
 
 def html_markdown(html: str | None) -> str:
     parser = _Markdown()
     parser.feed(html or "")
-    parser.close()
-    text = re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(parser.out))
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
+    return parser.result()
 
 
 @F.pandas_udf(StringType())
@@ -222,3 +249,12 @@ def decoded(content: pd.Series) -> pd.Series:
             return bytes(b).decode("cp1252", "replace")
 
     return content.map(one)
+
+
+def base_name(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/\\]+)$", 1)
+
+
+def extension(path: Column) -> Column:
+    """In lower case, without the dot; empty if there is none."""
+    return F.lower(F.regexp_extract(base_name(path), r"\.([^.]+)$", 1))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.functions.text import html_to_markdown, strip_rtf, trimmed
+from lexweave.operators.reader import range_label
+
 
 def upserted(table: DataFrame, incoming: DataFrame, keys: list[str], replaced: list[str]) -> DataFrame:
     """Rows of ``table`` take the ``replaced`` columns of incoming rows with their keys; other incoming rows are added."""
@@ -122,3 +125,109 @@ def exported(notes: DataFrame, block: Column, order: list[str]) -> DataFrame:
     """One Markdown document: blocks in order with a rule between them."""
     rows = F.sort_array(F.collect_list(F.struct(*order, block.alias("block"))))
     return notes.agg(F.array_join(F.transform(rows, lambda r: r["block"]), "\n\n---\n\n").alias("document"))
+
+
+def free_notes(notes: DataFrame) -> DataFrame:
+    """Notes without any anchor, pinned and latest first."""
+    return notes.where(F.col("anchor_book").isNull() & F.col("entry_id").isNull()).orderBy(F.desc("pinned"), F.desc("updated_at"), "id")
+
+
+def noted_verses(notes: DataFrame) -> DataFrame:
+    """Each verse that has a note of its own."""
+    return notes.where(F.col("anchor_book").isNotNull() & F.col("anchor_verse").isNotNull()).select("anchor_book", "anchor_chapter", "anchor_verse").distinct()
+
+
+def anchored(notes: DataFrame, choice: str = "choice") -> DataFrame:
+    """Notes whose anchor goes as far as was chosen: verse, chapter or book; any other choice leaves it free. Title and content are trimmed, a blank
+    title is none, a note without content falls out."""
+    far = F.col(choice)
+    verse, chapter, book = far == "verse", far.isin("verse", "chapter"), far.isin("verse", "chapter", "book")
+    return notes.withColumns(
+        {
+            "title": F.nullif(trimmed(F.col("title")), F.lit("")), "content": trimmed(F.col("content")), "anchor_book": F.when(book, F.col("anchor_book")),
+            "anchor_chapter": F.when(chapter, F.col("anchor_chapter")), "anchor_verse": F.when(verse, F.col("anchor_verse")),
+        }
+    ).where("content <> ''")
+
+
+def unused_color(highlighters: DataFrame, palette: list[str]) -> DataFrame:
+    """The first color of the palette that no highlighter has, else the first of all."""
+    colors = highlighters.sparkSession.createDataFrame(list(enumerate(palette)), "place int, color string")
+    left = colors.join(highlighters.select("color").distinct(), "color", "left_anti")
+    return left.agg(F.coalesce(F.min_by("color", "place"), F.lit(palette[0])).alias("color"))
+
+
+def appended(notes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Notes with the ``block`` of their id below their content."""
+    out = notes.join(blocks.select("id", "block"), "id", "left")
+    body = F.concat_ws("\n\n", F.nullif(trimmed(F.col("content")), F.lit("")), "block")
+    return out.withColumn("content", F.when(F.col("block").isNull(), F.col("content")).otherwise(body)).select(*notes.columns)
+
+
+def toggled(links: DataFrame, chosen: DataFrame, color: str = "highlighter_id") -> DataFrame:
+    """Links (id, color) with the color chosen for them (id, chosen); to choose the one that a link has clears it."""
+    out = links.join(chosen.select("id", "chosen"), "id", "left")
+    new = F.when(F.col(color).eqNullSafe(F.col("chosen")), F.lit(None)).otherwise(F.col("chosen"))
+    return out.withColumn(color, F.when(F.col("chosen").isNull(), F.col(color)).otherwise(new)).select(*links.columns)
+
+
+def selected(rows: DataFrame, verse: str, anchor: Column, clicked: Column) -> DataFrame:
+    """Rows from the anchor to the click, whichever comes first."""
+    return rows.where(F.col(verse).between(F.least(anchor, clicked), F.greatest(anchor, clicked)))
+
+
+def erased(highlights: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
+    return highlights.join(refs.select(*keys).distinct(), keys, "left_anti")
+
+
+def new_links(stored: DataFrame, incoming: DataFrame, a: list[str], b: list[str], first: str) -> DataFrame:
+    """Incoming links that are not stored yet, either way round; the first of each pair."""
+    pair = F.array_sort(F.array(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(a)]), F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(b)])))
+    return undirected(incoming, a, b, first).withColumn("_pair", pair).join(stored.select(pair.alias("_pair")).distinct(), "_pair", "left_anti").drop("_pair")
+
+
+def with_colors(rows: DataFrame, highlighters: DataFrame, how: str) -> DataFrame:
+    """Highlights (``inner``) or links (``left``: they may have none) with label, color and place of their highlighter."""
+    pens = highlighters.select(F.col("id").alias("highlighter_id"), "label", "color", F.col("sort_order").alias("pen_order"))
+    return rows.join(pens, "highlighter_id", how)
+
+
+def texts_of_both_ends(links: DataFrame, entries: DataFrame, a: list[str], b: list[str], text: str, order: list[str]) -> DataFrame:
+    """Links with text_a and text_b, the texts that the first source has for their ends, or the empty text."""
+    keys = [f"_k{i}" for i in range(len(a))]
+    one = entries.groupBy(*[F.col(c).alias(k) for c, k in zip(a, keys)]).agg(F.min_by(text, F.struct(*order)).alias("_text"))
+    for cols, name in ((a, "text_a"), (b, "text_b")):
+        there = [F.col(c) == F.col(k) for c, k in zip(cols, keys)]
+        links = links.join(one, there, "left").withColumn(name, F.coalesce("_text", F.lit(""))).drop("_text", *keys)
+    return links
+
+
+def verses_markdown(verses: DataFrame, by: list[str]) -> DataFrame:
+    """Verses (by, book, chapter, verse, source_title, text) as one quotation per group: reference and source, then the verses in order, with their
+    numbers if there are more than one."""
+    label = range_label(verses, [*by, "book", "chapter"], "verse")
+    rows = F.sort_array(F.collect_list(F.struct("verse", "text"))).alias("rows")
+    grouped = verses.groupBy(*by, "book", "chapter").agg(rows, F.min_by("source_title", "verse").alias("source"))
+    number = lambda v: F.when(F.size("rows") > 1, F.concat(F.lit("**"), v["verse"].cast("string"), F.lit("** "))).otherwise("")
+    body = F.array_join(F.transform("rows", lambda v: F.concat(F.lit("> "), number(v), trimmed(v["text"]))), "\n")
+    head = F.concat(F.lit("> **"), "book", F.lit(" "), F.col("chapter").cast("string"), F.lit(":"), "label", F.lit("**"), F.coalesce(F.concat(F.lit(" — "), F.nullif("source", F.lit(""))), F.lit("")))
+    return grouped.join(label, [*by, "book", "chapter"]).select(*by, F.concat(head, F.lit("\n>\n"), body).alias("markdown"))
+
+
+def link_markdown(ends: DataFrame, by: list[str], side: str = "side") -> DataFrame:
+    """Two verses (side 0 and 1) as quotations with ``linked with`` between them."""
+    shown = verses_markdown(ends, [*by, side]).groupBy(*by)
+    pick = lambda n: F.max(F.when(F.col(side) == n, F.col("markdown")))
+    return shown.agg(F.concat(pick(0), F.lit("\n\n🔗 *linked with*\n\n"), pick(1)).alias("markdown"))
+
+
+def imported_notes(files: DataFrame) -> DataFrame:
+    """Notes of files (path, title, kind, text): RTF and HTML become Markdown, blank ones fall out, all are free."""
+    body = F.when(F.col("kind") == "rtf", strip_rtf(F.col("text"))).when(F.col("kind") == "html", html_to_markdown("text")).otherwise(F.col("text"))
+    return files.select("path", F.nullif("title", F.lit("")).alias("title"), trimmed(body).alias("content")).where("content <> ''")
+
+
+def rewritten(stored: DataFrame, changed: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``stored`` with the ``new_text`` of changed rows (keys, new_text), as :func:`changed` finds them."""
+    out = stored.join(changed.select(*keys, "new_text"), keys, "left")
+    return out.withColumn(text, F.coalesce("new_text", text)).select(*stored.columns)

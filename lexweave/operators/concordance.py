@@ -46,16 +46,48 @@ def grouped_slots(tags: DataFrame) -> DataFrame:
 
 
 def same_tag_slots(tags: DataFrame, clicked: DataFrame) -> DataFrame:
-    """Slots of an entry that share a number with its clicked slot."""
+    """Slots of an entry that share a number with its clicked slot; the clicked slot alone if it has none."""
     numbers = tags.join(clicked, ["entry_id", "word_index"], "left_semi").select("entry_id", "number").distinct()
-    return tags.join(numbers, ["entry_id", "number"], "left_semi").select("entry_id", "word_index").distinct()
+    shared = tags.join(numbers, ["entry_id", "number"], "left_semi").select("entry_id", "word_index")
+    return shared.unionByName(clicked.select("entry_id", F.col("word_index").cast(tags.schema["word_index"].dataType).alias("word_index"))).distinct()
+
+
+# Fixed value: how a definition names another entry.
+REFERENCE = r"\b([HG]\d{1,5})\b"
 
 
 def cross_references(dictionary: DataFrame, definition: str) -> DataFrame:
-    found = F.regexp_extract_all(F.col(definition), F.lit(r"\b([HG]\d{1,5})\b"), F.lit(1))
+    found = F.regexp_extract_all(F.col(definition), F.lit(REFERENCE), F.lit(1))
     return dictionary.select("number", F.explode(F.array_distinct(found)).alias("refers_to"))
 
 
 def card(number: Column, lemma: Column, translit: Column, pron: Column, n: Column) -> Column:
-    said = F.concat(F.lit("("), pron, F.lit(")"))
-    return F.concat(F.concat_ws(" — ", number, lemma, F.concat_ws(" ", translit, said)), F.lit(" ("), n.cast("string"), F.lit(")"))
+    """``H1 — lemma — translit (pron) (n)``, without what is missing."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    said = F.when(some(translit).isNotNull(), F.concat_ws(" ", translit, F.concat(F.lit("("), some(pron), F.lit(")"))))
+    return F.concat(F.concat_ws(" — ", number, some(lemma), said), F.lit(" ("), F.format_number(n, 0), F.lit(")"))
+
+
+def card_definition(full: Column, short: Column) -> Column:
+    full, short = F.nullif(full, F.lit("")), F.nullif(short, F.lit(""))
+    return F.coalesce(F.concat(full, F.lit(" — KJV: "), short), full, short)
+
+
+def ranked(groups: DataFrame) -> DataFrame:
+    """Groups by their total, the largest first; equal ones by number."""
+    return groups.orderBy(F.desc("total"), "number")
+
+
+def drilled_in(tags: DataFrame, entries: DataFrame, books: DataFrame, sources: DataFrame, term: str, number: str, book: str, n: int = 800) -> DataFrame:
+    """The first ``n`` hits of a number in the books of a name, with the entry, book and source of each."""
+    of_book = books.where(F.col("name") == book).select(F.col("id").alias("book_id"), F.col("name").alias("book"), "source_id")
+    found = tags.where((F.col("number") == number) & word_start(term, F.col("surface_text")))
+    rows = found.join(entries.select(F.col("id").alias("entry_id"), "book_id", "chapter", "verse", "sort_order"), "entry_id").join(of_book, "book_id")
+    rows = rows.join(sources.select(F.col("id").alias("source_id"), F.col("title").alias("source_title")), "source_id")
+    return rows.orderBy("source_id", "sort_order", "word_index").limit(n)
+
+
+def without_tags_of(source_entries: DataFrame, tags: DataFrame, notes: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tags, notes, dictionary) after the tags of a source are cleared: its own go, and all of the dictionary."""
+    ids = source_entries.select(F.col("id").alias("entry_id"))
+    return tags.join(ids, "entry_id", "left_anti"), notes.join(ids, "entry_id", "left_anti"), dictionary.where(F.lit(False))

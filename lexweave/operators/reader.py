@@ -43,5 +43,5 @@ def range_label(rows: DataFrame, by: list[str], verse: str) -> DataFrame:
     return islands(rows, by, verse).groupBy(*by).agg(F.array_join(F.transform(spans, lambda x: x["label"]), ", ").alias("label"))
 
 
-def in_selection(verse: Column, anchor: int, clicked: int) -> Column:
-    return verse.between(min(anchor, clicked), max(anchor, clicked))
+def in_selection(verse: Column, anchor: Column, clicked: Column) -> Column:
+    return verse.between(anchor, clicked)

@@ -17,16 +17,25 @@ def query_phrases(query: str) -> list[list[str]]:
     return [p for term in plain.split() if (p := re.findall(r"[^\W_]+", term))]
 
 
+def _holds(part: str):
+    return lambda field: F.contains(field, F.lit(part))
+
+
 def matches(query: str, *fields: Column) -> Column:
     """Whether each phrase is in any of the fields. A query without a token matches nothing."""
     padded = [F.concat(F.lit(" "), F.array_join(tokens(F.coalesce(f, F.lit(""))), " "), F.lit(" ")) for f in fields]
-    out = F.lit(bool(phrases := query_phrases(query)))
-    for p in phrases:
-        there = F.lit(False)
-        for f in padded:
-            there = there | F.contains(f, F.lit(f" {' '.join(p)} "))
-        out = out & there
-    return out
+    wanted = [f" {' '.join(p)} " for p in query_phrases(query)]
+    if not wanted:
+        return F.lit(False)
+
+    def all_in(fields_: Column) -> Column:
+        out = F.lit(True)
+        for w in wanted:
+            out = out & F.exists(fields_, _holds(w))
+        return out
+
+    # One array of one array, so that the texts are split once however many terms there are.
+    return F.exists(F.array(F.array(*padded)), all_in)
 
 
 def contains(query: str, field: Column) -> Column:
@@ -59,6 +68,26 @@ def recent(rows: DataFrame, newest: str, key: str, n: int = 100) -> DataFrame:
     return rows.orderBy(F.desc(newest), key).limit(n)
 
 
+def notes(rows: DataFrame, query: str, mode: str = "tokens", n: int = 100) -> DataFrame:
+    """The latest notes with every term in title or content, each term in either; the snippet is the content's, without marks if only the title matches."""
+    title, content = F.col("title"), F.col("content")
+    found = rows.where(matches(query, title, content) if mode == "tokens" else F.coalesce(contains(query, content), F.lit(False)) | F.coalesce(contains(query, title), F.lit(False)))
+    terms = [t for p in query_phrases(query) for t in p]
+    return recent(found, "updated_at", "id", n).select(
+        F.lit("note").alias("kind"), "id", F.lit(None).cast("long").alias("source_id"), F.lit("My Notes").alias("source_title"), F.col("anchor_book").alias("book"), F.col("anchor_chapter").cast("int").alias("chapter"),
+        F.col("anchor_verse").cast("int").alias("verse"), F.lit(None).cast("string").alias("position_ref"), (snippet(content, terms) if mode == "tokens" else content).alias("snippet"), "updated_at",
+    )
+
+
+def everything(note_rows: DataFrame, entries: DataFrame, query: str, mode: str = "tokens") -> tuple[DataFrame, DataFrame]:
+    """(hits, totals): notes first, latest first (part 0), then entries by source and place (part 1)."""
+    hits, totals = search(entries, query, "text", ["source_id"], ["book_order", "sort_order"], mode)
+    columns = ["id", "source_id", "source_title", "book", "chapter", "verse", "snippet"]
+    of_entries = hits.select(F.lit("entry").alias("kind"), *columns, F.col("rn"), F.lit(1).alias("part"))
+    of_notes = notes(note_rows, query, mode).select("kind", *columns, F.lit(None).cast("long").alias("rn"), F.lit(0).alias("part"))
+    return of_notes.unionByName(of_entries), totals
+
+
 def history(searches: DataFrame, term: str, at: str, key: str, n: int = 20) -> DataFrame:
     """The latest distinct terms, whatever their case, in their latest spelling."""
     when = F.struct(at, key)

@@ -1,4 +1,4 @@
-"""Writing parsed entries as tables, and the catalogue of sources."""
+"""Parsed entries as stored tables, and how tables are written."""
 
 from __future__ import annotations
 
@@ -6,26 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def stored(parsed: DataFrame, source_id: int) -> tuple[DataFrame, DataFrame]:
-    """(books, entries) of one source: ids from the source's id and the places in reading order."""
-    names = parsed.groupBy("book").agg(F.min("book_order").alias("sort_order"))
-    books = names.select(F.xxhash64(F.lit(source_id), "book").alias("id"), F.lit(source_id).cast("long").alias("source_id"), F.col("book").alias("name"), "sort_order")
-    place = F.row_number().over(Window.partitionBy("book").orderBy("sort_order")) - 1
-    entries = parsed.withColumn("_n", place).select(F.xxhash64(F.lit(source_id), "book", "_n").alias("id"), F.xxhash64(F.lit(source_id), "book").alias("book_id"), "chapter", "verse", "position_ref", "text", F.col("_n").alias("sort_order"))
-    return books, entries
+def stored(parsed: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """(books, entries) of parsed entries (source, n, book, ...): a book's place is that of its first entry among the source's books, an entry's
+    its place in the book, both from 0. Ids are made of the source's name and the places."""
+    books = parsed.groupBy(F.col(source).alias("source"), F.col("book").alias("name")).agg(F.min("n").alias("first"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("first")) - 1
+    books = books.select(F.xxhash64("source", "name").alias("id"), "source", "name", place.alias("sort_order"))
+    within = F.row_number().over(Window.partitionBy(source, "book").orderBy("n")) - 1
+    entries = parsed.withColumn("sort_order", within)
+    key = F.xxhash64(F.col(source), F.col("book"))
+    return books, entries.select(F.xxhash64(F.col(source), "book", "sort_order").alias("id"), key.alias("book_id"), "chapter", "verse", "position_ref", "text", "sort_order")
 
 
 def save(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Replaces a table. A job that fails leaves the old one: Spark commits output when all tasks are done."""
+    """Replaces a table. A job that fails leaves no half-written one: Spark commits output when all tasks are done."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def append(df: DataFrame, path: str) -> None:
+    """Adds rows to a table."""
+    df.write.mode("append").parquet(path)
+
+
 def save_document(blocks: DataFrame, path: str) -> None:
     """Writes (place, block) as text files whose names are in the order of places; they make one document with a rule between blocks."""
     text = F.when(F.col("place") > 1, F.concat(F.lit("\n---\n\n"), "block")).otherwise(F.col("block"))
     blocks.repartitionByRange("place").sortWithinPartitions("place").select(text.alias("value")).write.mode("overwrite").text(path)
-
-
-def not_installed(manifest: DataFrame, sources: DataFrame) -> DataFrame:
-    return manifest.join(sources.select("title"), "title", "left_anti")
