@@ -317,10 +317,16 @@ def verse_ranges(spark, sf_dir):
     return reader.range_label(_table(spark, sf_dir, "conversations").where("role <> 'assistant'"), ["conv_id"], "turn")
 
 
-@_query("SELECT 1 AS id, '1,18,0,30' AS starts UNION ALL SELECT 2, '1,0,5'")
+@_query(
+    "WITH w AS (SELECT conv_id, turn, lower(text) AS t, split_part(lower(text), ' ', 1) AS f, split_part(lower(text), ' ', -1) AS l FROM conversations WHERE text IS NOT NULL), "
+    "p AS (SELECT *, CASE WHEN f = '' THEN 0 ELSE 1 END AS a, CASE WHEN l = '' THEN 0 ELSE instr(substr(t, length(f) + 1), l) END AS near FROM w) "
+    "SELECT conv_id, turn, a || ',0,' || CASE WHEN near > 0 THEN near + length(f) ELSE 0 END AS starts FROM p"
+)
 def align_greedy(spark, sf_dir):
-    rows = _values(spark, "id int, text string, slots array<string>", (1, "In the beginning God created the heaven", ["In the beginning", "God", "zzz", "the"]), (2, "And and", ["and", "", "AND"]))
-    return rows.select("id", F.array_join(F.transform(text.aligned(F.col("text"), F.col("slots")), lambda x: x.cast("string")), ",").alias("starts"))
+    words = F.split("text", " ")
+    slots = F.array(F.lower(F.get(words, 0)), F.lit("\u0001"), F.element_at(words, -1))
+    rows = _table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    return rows.select("conv_id", "turn", F.array_join(F.transform(text.aligned(F.col("text"), slots), lambda x: x.cast("string")), ",").alias("starts"))
 
 
 def _slot_groups(tags: DataFrame) -> DataFrame:
@@ -340,35 +346,49 @@ def same_tag_slots(spark, sf_dir):
     return concordance.same_tag_slots(tags, clicked).select("entry_id", F.col("word_index").cast("long").alias("word_index"))
 
 
-@_query(
-    "SELECT * FROM (VALUES ('gen', 'Genesis'), (' II  Kings', '2 Kings'), ('1st John', '1 John'), ('1 Cor', '1 Corinthians'), ('Exod', 'Exodus'), ('Ps', 'Psalms'), ('John', 'John'), "
-    "('Canticles', 'Song of Solomon'), ('Jo', NULL), ('Phil', NULL), ('1Sam', NULL), ('', NULL), ('Nope', NULL)) t(raw, book)"
-)
+_RAW = ["gen", " II  Kings", "1st John", "1 Cor", "Exod", "Ps", "John", "Canticles", "Jo", "Phil", "1Sam", "", "Nope", "Revelation of St. John", "psalm", "iii john"]
+_KNOWN = ["Genesis", "2 Kings", "1 John", "1 Corinthians", "Exodus", "Psalms", "John", "Song of Solomon", None, None, None, None, None, "Revelation", "Psalms", "3 John"]
+_PLACES = [1, 12, 62, 46, 2, 19, 43, 22, 1000, 1000, 1000, 1000, 1000, 66, 19, 64]
+
+
+def _case(values: list, of: str = "o_orderkey % 16") -> str:
+    return f"CASE {of} " + " ".join(f"WHEN {i} THEN {'NULL' if v is None else repr(v)}" for i, v in enumerate(values)) + " END"
+
+
+def _raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.element_at(F.array(*[F.lit(x) for x in _RAW]), (F.col("o_orderkey") % 16 + 1).cast("int"))
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("path"), raw.alias("book"))
+
+
+@_query(f"SELECT o_orderkey AS id, coalesce({_case(_KNOWN)}, {_case(_RAW)}) AS book FROM orders")
 def canonical_name(spark, sf_dir):
-    raw = ["gen", " II  Kings", "1st John", "1 Cor", "Exod", "Ps", "John", "Canticles", "Jo", "Phil", "1Sam", "", "Nope"]
-    return names.canonical_names(_values(spark, "raw string", *[(x,) for x in raw]), "raw")
+    return names.canonicalized(_raw_names(spark, sf_dir)).select("id", "book")
 
 
-@_query("SELECT * FROM (VALUES ('Genesis', 1::BIGINT), ('Psalms', 2), ('John', 3), ('Nope', 4), ('Apocrypha', 5)) t(book, place)")
+@_query(
+    f"WITH b AS (SELECT o_custkey AS path, coalesce({_case(_KNOWN)}, {_case(_RAW)}) AS book, min({_case(_PLACES)}) AS place, min(o_orderkey) AS seen FROM orders GROUP BY ALL) "
+    "SELECT path, book, (row_number() OVER (PARTITION BY path ORDER BY place, seen))::BIGINT AS place FROM b"
+)
 def canonical_sort(spark, sf_dir):
-    rows = _values(spark, "book string, seen int", ("Nope", 0), ("John", 1), ("Apocrypha", 2), ("Genesis", 3), ("Psalms", 4))
-    got = rows.join(F.broadcast(names.canon(spark)), "book", "left")  # 66 rows
-    w = Window.orderBy(F.coalesce("number", F.lit(1000)), "seen")
-    return got.select("book", F.row_number().over(w).cast("long").alias("place"))
+    books = names.canonicalized(_raw_names(spark, sf_dir)).groupBy("path", "book").agg(F.min("canon_place").alias("canon_place"), F.min("id").alias("seen"))
+    w = Window.partitionBy("path").orderBy("canon_place", "seen")
+    return books.select("path", "book", F.row_number().over(w).cast("long").alias("place"))
 
 
-@_query("SELECT * FROM (VALUES ('7', 7), ('0', NULL), ('', NULL), ('x', NULL), (' 12 ', 12), (NULL, NULL)) t(raw, n)")
+@_query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN nullif(user_id, 0)::INT WHEN 1 THEN nullif(user_id % 5, 0)::INT WHEN 4 THEN nullif(user_id, 0)::INT END AS n FROM events")
 def number_or_null(spark, sf_dir):
-    return _values(spark, "raw string", ("7",), ("0",), ("",), ("x",), (" 12 ",), (None,)).select("raw", text.number_or_null(F.col("raw")).alias("n"))
+    k, u = F.col("event_id") % 6, F.col("user_id").cast("string")
+    raw = F.when(k == 0, u).when(k == 1, (F.col("user_id") % 5).cast("string")).when(k == 2, "").when(k == 3, F.col("event_type")).when(k == 4, F.concat(F.lit(" "), u, F.lit(" \n")))
+    return _table(spark, sf_dir, "events").select("event_id", text.number_or_null(raw).alias("n"))
 
 
-@_query(
-    "SELECT * FROM (VALUES ('And it {was} good', 'And it was good'), ('the firmament {firmament: Heb. expansion} stood', 'the firmament stood'), ('a {outer {note: x} tail} b', 'a outer b'), "
-    "('{only: note}', ''), ('stray } brace', 'stray brace')) t(raw, clean)"
-)
+@_query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || ' was a b x c' ELSE repeat('w', (doc_id % 15)::INT) || source || ' stray' END AS clean FROM documents")
 def brace_cleanup(spark, sf_dir):
-    raw = ["And it {was} good", "the firmament {firmament: Heb. expansion} stood", "a {outer {note: x} tail} b", "{only: note}", "stray } brace"]
-    return _values(spark, "raw string", *[(x,) for x in raw]).select("raw", text.without_braces(F.col("raw")).alias("clean"))
+    even = F.concat("source", F.lit(" {was} a {note: "), "lang", F.lit("} b {x {n: y} t} c"))
+    depth = (F.col("doc_id") % 15).cast("int")
+    deep = F.concat(F.repeat(F.lit("{w"), depth), F.col("source"), F.repeat(F.lit("}"), depth), F.lit(" stray }"))
+    raw = F.when(F.col("doc_id") % 2 == 0, even).otherwise(deep)
+    return _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(text.without_braces(raw), "(?<=w) (?=w|src)", "").alias("clean"))
 
 
 _HEAD = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
@@ -393,23 +413,37 @@ def parse_paragraphs(spark, sf_dir):
     return texts.paragraphs(_table(spark, sf_dir, "documents").withColumn("title", F.lit("x")), "doc_id").select("doc_id", "n", F.length("text").cast("long").alias("len"))
 
 
-_OSIS = """<osis><verse sID="Gen.1.1" osisID="Gen.1.1"/><note type="x">n0</note><w lemma="strong:H07225">In the beginning</w><w lemma="strong:H0853"></w>
-<w lemma="strong:H0430 lemma.TR:x">God</w><w lemma="strong:H01254 strong:H0853">created</w><note>n1</note><verse eID="Gen.1.1"/><w lemma="strong:H1">stray</w>
-<verse sID="Xyz.1.1"/><w lemma="strong:H2">unknown</w><verse eID="Xyz.1.1"/></osis>"""
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a tagged file for each conversation: a verse for each turn, with a note, words with and without numbers, and a word in a note."""
+    ref = F.concat(F.lit("Gen.1."), F.col("turn").cast("string"))
+    words = F.concat(F.lit('<w lemma="strong:H00'), F.col("turn").cast("string"), F.lit('">'), "role", F.lit('</w><w lemma="">none</w><verse eID="Gen.9.9"/><w lemma="strong:G1 strong:H2">two</w>'))
+    verse = F.concat(F.lit('<verse sID="'), ref, F.lit('"/><note type="x">n0</note>'), words, F.lit('<note><w lemma="strong:H9">in</w></note><verse eID="'), ref, F.lit('"/><w lemma="strong:H8">stray</w>'))
+    rows = _table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"]).select(F.col("conv_id").cast("string").alias("path"), F.struct("turn", verse.alias("x")).alias("v"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("v")), lambda v: v["x"]), "")
+    files = rows.groupBy("path").agg(F.concat(F.lit("<osis>"), body, F.lit('<verse sID="Xyz.1.1"/><w lemma="strong:H2">unknown</w></osis>')).alias("text"))
+    found = texts.per_file(files, "text", texts.osis_nodes, "ord int, kind string, osis_id string, node_text string, lemma string, in_note boolean")
+    return found.where("error IS NULL").withColumnRenamed("node_text", "text")
 
 
-def _nodes(spark: SparkSession) -> DataFrame:
-    return texts.per_file(_values(spark, "path string, text string", ("a.xml", _OSIS)), "text", texts.osis_nodes, "ord int, kind string, osis_id string, node_text string, lemma string, in_note boolean").withColumnRenamed("node_text", "text")
+_TURNS = "t AS (SELECT conv_id::VARCHAR AS path, turn, role, 'Gen.1.' || turn AS osis_ref FROM conversations)"
 
 
-@_query("SELECT * FROM (VALUES ('Gen.1.1', 0::BIGINT, 'In the beginning', 'H7225'), ('Gen.1.1', 1, 'God', 'H430'), ('Gen.1.1', 2, 'created', 'H1254'), ('Gen.1.1', 2, 'created', 'H853')) t(osis_ref, word_index, surface_text, number)")
+@_query(
+    f"WITH {_TURNS} SELECT path, osis_ref, 0::BIGINT AS word_index, role AS surface_text, 'H' || turn AS number FROM t UNION ALL SELECT path, osis_ref, 1, 'two', unnest(['G1', 'H2']) FROM t"
+)
 def osis_word_index(spark, sf_dir):
-    return texts.word_tags(_nodes(spark), "path")
+    return texts.word_tags(_nodes(spark, sf_dir), "path")
 
 
-@_query("SELECT * FROM (VALUES ('Gen.1.1', NULL::BIGINT, 'n0'), ('Gen.1.1', 2, 'n1')) t(osis_ref, word_index, note_text)")
+@_query(f"WITH {_TURNS} SELECT path, osis_ref, NULL::BIGINT AS word_index, 'n0' AS note_text FROM t UNION ALL SELECT path, osis_ref, 1, 'in' FROM t")
 def note_anchor(spark, sf_dir):
-    return texts.anchored_notes(_nodes(spark), "path")
+    return texts.anchored_notes(_nodes(spark, sf_dir), "path")
+
+
+@_query(f"WITH {_TAGS}, n AS (SELECT doc_id AS entry_id, doc_id * 7 % 50 AS word_index FROM documents) SELECT entry_id, CASE WHEN n.word_index IN (SELECT word_index FROM tags WHERE tags.entry_id = n.entry_id) THEN n.word_index::VARCHAR ELSE 'end' END AS at FROM n")
+def notes_at_words(spark, sf_dir):
+    notes = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), (F.col("doc_id") * 7 % 50).alias("word_index"))
+    return concordance.notes_at_words(notes, _tags(spark, sf_dir)).select("entry_id", "at")
 
 
 @_query(None)

@@ -91,3 +91,10 @@ def without_tags_of(source_entries: DataFrame, tags: DataFrame, notes: DataFrame
     """(tags, notes, dictionary) after the tags of a source are cleared: its own go, and all of the dictionary."""
     ids = source_entries.select(F.col("id").alias("entry_id"))
     return tags.join(ids, "entry_id", "left_anti"), notes.join(ids, "entry_id", "left_anti"), dictionary.where(F.lit(False))
+
+
+def notes_at_words(notes: DataFrame, tags: DataFrame) -> DataFrame:
+    """Notes (entry_id, word_index) with ``at``: the word they are shown at, or ``end`` of the entry where no such word is shown."""
+    shown = tags.select("entry_id", "word_index").distinct().withColumn("_there", F.lit(True))
+    out = notes.join(shown, ["entry_id", "word_index"], "left")
+    return out.withColumn("at", F.when(F.col("_there"), F.col("word_index").cast("string")).otherwise("end")).drop("_there")

@@ -10,12 +10,12 @@ from oracle import SF
 
 def test_no_event_is_left_out(spark):
     n = spark.read.parquet(f"{SF}/events.parquet").count()
-    for name in ("note_order_of_all", "notes_export_of_all"):
+    for name in ("note_order_nulls_last", "notes_export"):
         assert sorted(r["place"] for r in catalog.queries()[name](spark, SF).collect()) == list(range(1, n + 1))
 
 
 def test_places_need_no_single_task(spark):
-    for name in ("note_order_nulls_last", "note_order_of_all", "notes_export_of_all"):
+    for name in ("note_order_nulls_last", "notes_export"):
         plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "row_number() windowspecdefinition(_" in plan or "row_number() windowspecdefinition(event_type" in plan
 
