@@ -333,6 +333,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encoding_digest(docs: DataFrame, path: str) -> DataFrame:
+    """One row per row of ``docs``, also for null and repeated doc_ids: a null text counts as empty, and long ones are encoded one by one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids string, decoded string"
     out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_run(path, True), schema)

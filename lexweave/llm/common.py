@@ -27,9 +27,12 @@ def n_words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this machine only where the session names none."""
+    """The folder that driver and executors share. Where the session names none there is a folder of this machine for a session on this machine,
+    as in tests; on a cluster that is an error, as executors would write where nobody reads."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-lexweave-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at

@@ -276,7 +276,8 @@ def repeated_ranges(docs: DataFrame, size: int = 13) -> DataFrame:
     parts = written(stretches.join(windows, "doc_id").mapInArrow(_by_owner(size), "owner long, doc_id long, k long, first long, text binary"))
 
     is_owner = F.col("owner") == F.col("doc_id")
-    copies = parts.where(~is_owner).groupBy("owner").agg(F.ceil(F.count("*") / READS).cast("int").alias("n"))
+    # A table of its own, so that the joins read two shuffles and an owner with many stretches can be split over tasks.
+    copies = written(parts.where(~is_owner).groupBy("owner").agg(F.ceil(F.count("*") / READS).cast("int").alias("n")))
     mine = parts.where(is_owner).join(copies, "owner").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     theirs = parts.where(~is_owner).join(copies, "owner").withColumn("part", F.pmod(F.xxhash64("doc_id", "k", "first"), F.col("n")).cast("int"))
     both = mine.unionByName(theirs).select("owner", "part", (F.col("owner") == F.col("doc_id")).alias("is_owner"), "doc_id", "k", "first", "text")

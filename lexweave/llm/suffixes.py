@@ -305,12 +305,15 @@ def without_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay).
 
     Bytes of the UTF-8 text go that lie in a string of ``size`` bytes which starts anywhere else too. Null text counts as empty;
-    texts shorter than ``size`` stay. Of equal texts all repeated bytes go, also from the first. Repeated rows are texts of their own.
+    texts shorter than ``size`` stay. Of equal texts all repeated bytes go, also from the first. Repeated rows are texts of their own, but rows
+    that repeat with their doc_id meet in one task. Texts of any length are hashed in parts.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _with_spans(docs, size).mapInArrow(_apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def suffix_digest(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``, as :func:`without_repeats`, with the hash of what stays. Only doc_id and text are read, whatever other
+    columns are called. Rows with null doc_ids are judged as all others; an empty table gives an empty table."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _with_spans(docs, 200).mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
