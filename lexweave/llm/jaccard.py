@@ -51,16 +51,26 @@ def _least_overlap(n: np.ndarray) -> np.ndarray:
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     """Each row's distinct shingle hashes in order; of fewer than five words, one for the whole sequence."""
     data, off = K.buffers(batch.column("text"))
-    for a, b in K.pieces(off):
-        w = K.words(data, off[a : b + 1], lower=True)
+    found: list[np.ndarray] = []  # of the parts of a long text
+    for part in K.parts(data, off, SHINGLE - 1):
+        w = K.words(part.data, part.off, lower=True)
         h = w.hashes()
         g = K.grams(h, SHINGLE)
         for lo, hi in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
             if hi - lo >= SHINGLE:
                 s = np.sort(g[lo : hi - SHINGLE + 1])
-                yield s[np.concatenate(([True], s[1:] != s[:-1]))]
+                s = s[np.concatenate(([True], s[1:] != s[:-1]))]
+            elif part.word == 0 and not part.more:
+                s = K.grams(h[lo:hi], hi - lo) if hi > lo else h[:0]
             else:
-                yield K.grams(h[lo:hi], hi - lo) if hi > lo else h[:0]
+                s = h[:0]
+            if part.more:
+                found.append(s)
+            elif part.word:
+                yield np.unique(np.concatenate([*found, s]))
+                found = []
+            else:
+                yield s
 
 
 def class_of(s: np.ndarray) -> int:

@@ -20,7 +20,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Bytes hashed at once, about; a single longer text is hashed whole.
+#: Bytes hashed at once, about; a longer text is hashed in parts.
 PIECE = 1 << 20
 #: Bytes of text whose hashes are packed together, about.
 SLICE = 1 << 23
@@ -95,8 +95,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data if data is not None else b"", np.uint8), off
 
 
-def pieces(off: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``size`` bytes."""
+def pieces(off: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes, ``PIECE`` if none is given."""
+    size = size or PIECE
     n, a = len(off) - 1, 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
@@ -104,6 +105,40 @@ def pieces(off: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
+@dataclass
+class Part:
+    """Rows [a, b) of a batch, or a part of the long text of row a: bytes, offsets, the place of its first word in the text, and whether more
+    of the text follows."""
+
+    a: int
+    b: int
+    data: np.ndarray
+    off: np.ndarray
+    word: int = 0
+    more: bool = False
+
+
+def parts(data: np.ndarray, off: np.ndarray, shared: int) -> Iterator[Part]:
+    """A batch's rows in parts of about ``PIECE`` bytes. A text of more than two comes in several, cut between words, each with the last
+    ``shared`` words of the one before, so that every run of shared + 1 words is whole in some part. Only a part with words this long that it
+    has no more than ``shared`` of them grows on."""
+    for a, b in pieces(off):
+        x, y, end, word = int(off[a]), int(off[a]) + PIECE, int(off[b]), 0
+        while b == a + 1 and end - x > 2 * PIECE and y < end:
+            if not _IS_SPACE[data[y]]:
+                y += 1
+                continue
+            starts = words(data[x:y], np.array([0, y - x])).start
+            if len(starts) <= shared:
+                y += PIECE
+                continue
+            yield Part(a, b, data[x:y], np.array([0, y - x]), word, True)
+            word += len(starts) - shared
+            x = x + int(starts[len(starts) - shared]) if shared else y
+            y = max(x + PIECE, y + 1)
+        yield Part(a, b, data[x:end], np.clip(off[a : b + 1], x, end) - x, word)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about ``size`` bytes of text: a batch's rows are counted, its bytes are not, so what a task
     holds must not follow from a batch."""

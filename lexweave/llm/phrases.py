@@ -53,11 +53,11 @@ def _anchors(size: int, n_buckets: int):
             data, off = K.buffers(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for a, b in K.pieces(off):
-                _, row, _, anchor, _ = _hashed(data, off[a : b + 1], size)
+            for part in K.parts(data, off, size - 1):
+                _, row, _, anchor, _ = _hashed(part.data, part.off, size)
                 # A run also ends with its row: the next row needs an entry of its own for an equal anchor.
                 s = np.union1d(K.runs(row)[0], K.runs(anchor)[0])
-                rows.append(row[s] + a)
+                rows.append(row[s] + part.a)
                 hashes.append(anchor[s])
             row, h = np.concatenate(rows), np.concatenate(hashes)
             yield packed.pack((h % np.uint64(n_buckets)).astype(np.int64), row, ids, np.zeros(len(ids)), h)
@@ -115,19 +115,19 @@ def _stretches(size: int):
         for batch in batches:
             data, off = K.buffers(batch.column("text"))
             hits, key = batch.column("hits"), batch.column("k").to_pylist()
-            for a, b in K.pieces(off):
-                ids, keys, firsts, texts = [], [], [], []
-                w, row, at, anchor, _ = _hashed(data, off[a : b + 1], size)
+            for part in K.parts(data, off, size - 1):
+                a, ids, keys, firsts, texts = part.a, [], [], [], []
+                w, row, at, anchor, _ = _hashed(part.data, part.off, size)
                 rs, re_ = K.runs(row)
                 for lo, hi in zip(rs.tolist(), re_.tolist()):
                     r = int(row[lo])
                     keep = at[lo:hi][np.isin(anchor[lo:hi], np.frombuffer(hits[a + r].as_buffer(), np.uint64))]
-                    parts = _joined(keep, size)
-                    if parts:
+                    found = _joined(keep, size)
+                    if found:
                         ids.append(batch.column("doc_id")[a + r].as_py())
                         keys.append(key[a + r])
-                        firsts.append([x - int(w.first[r]) for x, _ in parts])
-                        texts.append([w.data[w.start[x] : w.end[y - 1]].tobytes() for x, y in parts])
+                        firsts.append([x - int(w.first[r]) + part.word for x, _ in found])
+                        texts.append([w.data[w.start[x] : w.end[y - 1]].tobytes() for x, y in found])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.binary()))], names=["doc_id", "k", "first", "text"])
 
     return run
@@ -155,9 +155,9 @@ def _window_hashes(size: int, n_buckets: int):
             data, off = K.buffers(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for a, b in K.pieces(off):
-                _, row, _, _, h = _hashed(data, off[a : b + 1], size)
-                rows.append(row + a)
+            for part in K.parts(data, off, size - 1):
+                _, row, _, _, h = _hashed(part.data, part.off, size)
+                rows.append(row + part.a)
                 hashes.append(h)
             row, h = np.concatenate(rows), np.concatenate(hashes)
             yield packed.pack((h % np.uint64(n_buckets)).astype(np.int64), row, ids, np.zeros(len(ids)), h)
@@ -173,9 +173,9 @@ def _by_owner(size: int):
             batch, of = _each(of_text)
             data, off = K.buffers(batch.column("text"))
             doc, key, first, hits = batch.column("doc_id").to_numpy(), batch.column("k").to_numpy(), batch.column("first").to_numpy(), of_text.column("hits")
-            for a, b in K.pieces(off):
-                out: list[tuple] = []
-                w, row, at, _, h = _hashed(data, off[a : b + 1], size)
+            for part in K.parts(data, off, size - 1):
+                a, out = part.a, []
+                w, row, at, _, h = _hashed(part.data, part.off, size)
                 rs, re_ = K.runs(row)
                 for lo, hi in zip(rs.tolist(), re_.tolist()):
                     r = int(row[lo])
@@ -190,7 +190,7 @@ def _by_owner(size: int):
                     for x, y in zip(s.tolist(), e.tolist()):
                         for i, j in _joined(where[x:y], size):
                             k = a + r
-                            out.append((int(owner[x]), int(doc[k]), int(key[k]), int(first[k]) + i - int(w.first[r]), w.data[w.start[i] : w.end[j - 1]].tobytes()))
+                            out.append((int(owner[x]), int(doc[k]), int(key[k]), int(first[k]) + part.word + i - int(w.first[r]), w.data[w.start[i] : w.end[j - 1]].tobytes()))
                 cols = list(zip(*out)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["owner", "doc_id", "k", "first", "text"])
 

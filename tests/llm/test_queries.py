@@ -59,9 +59,8 @@ def test_suffixes(docs, real, monkeypatch, most):
         assert sorted(map(str, [tuple(r)[1:] for r in got])) == sorted(map(str, removed_bytes(texts)))
 
 
-def test_suffixes_of_long_texts(spark, monkeypatch):
-    """Texts that are hashed in parts, and regular strings that a plain polynomial can't tell apart."""
-    monkeypatch.setattr(kernels, "PIECE", 300)
+def test_suffixes_of_regular_texts(spark):
+    """Regular strings that a plain polynomial can't tell apart, and texts that repeat within themselves."""
     r = np.random.default_rng(3)
     one = bytes(r.integers(97, 101, 1500, dtype=np.uint8)).decode()
     morse = "0"
@@ -75,6 +74,46 @@ def test_suffixes_of_long_texts(spark, monkeypatch):
     assert kernels.Spans(a).hashes(*at) != kernels.Spans(b).hashes(*at)
 
 
+def long_texts():
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    return [words("a", 300), words("b", 50) + "\t " + words("a", 200), "x" * 500 + " " + words("c", 90) + "y" * 900, " " * 700 + "z", "z", None, words("A", 300) + " tail"]
+
+
+@pytest.mark.parametrize("piece", [60, 400])
+def test_long_texts_in_parts(monkeypatch, piece):
+    """What is hashed in parts, with words longer than a part among them, is what is hashed whole. (Without Spark: workers have modules of their own.)"""
+    texts = long_texts()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    data, off = kernels.buffers(batch.column("text"))
+    sets = [s.tolist() for s in jaccard.shingle_sets(batch)]
+    unit = pa.RecordBatch.from_arrays([batch.column("text"), pa.array(range(len(texts))), pa.array([False] * len(texts))], names=["text", "k", "twice"])
+
+    def windows():
+        names = ["h", "c", "k", "twice", "first", "last"]
+        rows = [r for out in suffixes._anchor_rows(50, 10, names)(iter([unit])) for r in out.to_pylist()]
+        return sorted((r["k"], w, r["h"]) for r in rows for w in range(r["first"], r["last"] + 1))
+
+    whole = windows()
+    assert len(whole) == sum(max(len(t or "") - 49, 0) for t in texts)
+    monkeypatch.setattr(kernels, "PIECE", piece)
+    assert [s.tolist() for s in jaccard.shingle_sets(batch)] == sets
+    assert windows() == whole
+    for shared in (0, 4, 12):
+        seen = collections.defaultdict(set)
+        n_parts = 0
+        for part in kernels.parts(data, off, shared):
+            n_parts += 1
+            w = kernels.words(part.data, part.off)
+            for r, (lo, hi) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
+                all_words = WORD.findall(texts[part.a + r] or "")
+                mine = [bytes(w.data[w.start[i] : w.end[i]]).decode() for i in range(lo, hi)]
+                assert mine == all_words[part.word : part.word + len(mine)]
+                seen[part.a + r] |= set(range(part.word, part.word + len(mine) - shared))
+        assert n_parts > len(texts)
+        for i, t in enumerate(texts):
+            assert len(seen[i]) == max(len(WORD.findall(t or "")) - shared, 0)
+
+
 def test_repeated_prefixes():
     text = np.frombuffer(b"abcabcabxabcab", np.uint8).astype(np.uint16) + 1
     for size in (1, 2, 3, 4, 5):
