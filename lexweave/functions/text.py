@@ -151,13 +151,21 @@ def _at_each(text: Column, pattern: str, put) -> Column:
     return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(f"^(?:{pattern})"), put(x)).otherwise(x)), "")
 
 
+#: Numbers from 0xD800 to 0xDBFF, as they are or less 65536.
+_HIGH = r"(?:5529[6-9]|55[3-9]\d\d|56[0-2]\d\d|563[01]\d|-10240|-102[0-3]\d|-10[01]\d\d|-9[3-9]\d\d|-92[2-9]\d|-921[7-9])"
+
+
 def strip_rtf(raw: Column) -> Column:
     """The plain text of RTF; a text without a backslash is only trimmed, its braces stay. Null is empty."""
     text = F.coalesce(raw, F.lit(""))
     out = F.regexp_replace(text, r"\\(?:pard?|line)\b", "\n")
     out = _at_each(out, r"\\'[0-9a-fA-F]{2}", lambda x: F.concat(F.decode(F.unhex(F.concat(F.lit("00"), F.substring(x, 3, 2))), "UTF-16BE"), F.substring(x, 5, 1 << 30)))
-    number = lambda x: F.pmod(F.regexp_extract(x, r"^\\u(-?\d+)", 1).try_cast("long"), F.lit(65536))
-    letter = lambda x: F.decode(F.unhex(F.lpad(F.hex(number(x)), 4, "0")), "UTF-16BE")
+    unit = lambda x, i: F.pmod(F.regexp_extract(x, r"^\\u(-?\d+)\??(?:\\u(-?\d+)\??)?", i).try_cast("long"), F.lit(65536))
+    hexed = lambda x, i: F.lpad(F.hex(unit(x, i)), 4, "0")
+    # Two units of one character, then all others; half of such a pair alone stands for no character.
+    pair = lambda x: F.when(unit(x, 2).between(0xDC00, 0xDFFF), F.concat(F.decode(F.unhex(F.concat(hexed(x, 1), hexed(x, 2))), "UTF-16BE"), F.regexp_replace(x, r"^(?:\\u-?\d+\??){2}", ""))).otherwise(x)
+    out = _at_each(out, rf"\\u{_HIGH}(?!\d)\??\\u-?\d+", pair)
+    letter = lambda x: F.when(unit(x, 1).between(0xD800, 0xDFFF), F.lit("\ufffd")).otherwise(F.decode(F.unhex(hexed(x, 1)), "UTF-16BE"))
     out = _at_each(out, r"\\u-?\d+", lambda x: F.concat(letter(x), F.regexp_replace(x, r"^\\u-?\d+\??", "")))
     out = F.regexp_replace(F.regexp_replace(out, r"\\[a-zA-Z]+-?\d*\s?", ""), r"[{}]", "")
     return F.when(~F.contains(text, F.lit("\\")), trimmed(text)).otherwise(trimmed(F.regexp_replace(out, r"\n{3,}", "\n\n")))
