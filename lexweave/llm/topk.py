@@ -4,6 +4,8 @@ Rows and queries are cut into blocks of bounded size and paired as a grid, so th
 cell the vectors lie dimension by dimension. Scores are accumulated a few dimensions at a time; after each step the
 Cauchy-Schwarz bound on the mass that remains gives every candidate a range, candidates whose best case is below the
 k-th best worst case are dropped, and the columns that stay are compacted. Sums are whole numbers, so results are exact.
+
+One block of rows is searched first: each query's k-th best score there is a bound that it takes along into all other cells.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Vectors of a block of rows and of a block of queries: what one task holds at most, whatever the input.
 ROW_BLOCK, QUERY_BLOCK, STEP = 8_192, 4_096, 8
 
@@ -36,8 +40,12 @@ def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
     return out
 
 
-def search_block(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its id and the ids and scores of its k best rows, best first, ties to smaller ids."""
+NO_BOUND = -(1 << 62)
+
+
+def search_block(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, bounds: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query: its id and the ids and scores of its k best rows, best first, ties to smaller ids. Rows below the query's bound are
+    left out."""
     dims = rows.shape[0]
     steps = list(range(0, dims, STEP))
     mass = lambda m: np.array([np.sqrt((m[a:].astype(np.float64) ** 2).sum(axis=0)) for a in [*steps[1:], dims]])
@@ -48,11 +56,12 @@ def search_block(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, q
         for s, a in enumerate(steps):
             part = rows[a : a + STEP] if len(alive) == rows.shape[1] else rows[a : a + STEP, alive] if block is None else block[a : a + STEP]
             score = score + queries[a : a + STEP, j] @ part
-            if len(alive) <= k or s == len(steps) - 1:
+            bound = NO_BOUND if bounds is None else int(bounds[j])
+            if len(alive) <= k and bound == NO_BOUND or not len(alive) or s == len(steps) - 1:
                 continue
             slack = row_mass[s][alive] * query_mass[s][j] * (1 + 1e-9) + 1e-6
-            floor = np.partition(score - slack, len(alive) - k)[len(alive) - k]
-            keep = score + slack >= floor
+            floor = np.partition(score - slack, len(alive) - k)[len(alive) - k] if len(alive) > k else bound
+            keep = score + slack >= max(floor, bound)
             if keep.sum() < 0.7 * len(alive):
                 alive, score = alive[keep], score[keep]
                 block = rows[:, alive] if block is None else block[:, keep]
@@ -69,7 +78,7 @@ def _cell(k: int):
         out: list[tuple[int, np.ndarray, np.ndarray]] = []
         if len(rows) and len(queries):
             dims = max(rows["v"].map(len).max(), queries["v"].map(len).max())
-            out = list(search_block(rows["vec_id"].to_numpy(), _matrix(rows["v"], dims), queries["vec_id"].to_numpy(), _matrix(queries["v"], dims), k))
+            out = list(search_block(rows["vec_id"].to_numpy(), _matrix(rows["v"], dims), queries["vec_id"].to_numpy(), _matrix(queries["v"], dims), k, queries["bound"].to_numpy()))
         return pd.DataFrame(
             {
                 "query_id": np.repeat(np.array([q for q, _, _ in out], np.int64), [len(i) for _, i, _ in out]),
@@ -96,12 +105,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     spread = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(max(m, 1))).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(max(m, 1) - 1)))
     rows = clean.select(spread(n_rows).alias("r"), each(n_qs).alias("c"), "vec_id", "v")
-    queries = clean.where("q").select(each(n_rows).alias("r"), spread(n_qs).alias("c"), "vec_id", "v")
-    found = (
-        rows.groupBy("r", "c")
-        .cogroup(queries.groupBy("r", "c"))
-        .applyInPandas(_cell(k), "query_id long, vec_id long, score long")
-    )
+    queries = clean.where("q").withColumn("bound", F.lit(NO_BOUND).cast("long"))
+
+    def searched(rows: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
+        names = [F.col(c).alias(c) for c in ("vec_id", "v", "bound")]  # columns of their own: the rows have the same ones
+        placed = queries.select(each(blocks).alias("r"), spread(n_qs).alias("c"), *names)
+        return rows.groupBy("r", "c").cogroup(placed.groupBy("r", "c")).applyInPandas(_cell(k), "query_id long, vec_id long, score long")
+
+    if n_rows > 1:
+        first = searched(rows.where("r = 0"), queries, 1).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
+        first = written(first.select(F.col("query_id").alias("vec_id"), "least"))
+        queries = queries.drop("bound").join(first, "vec_id", "left").withColumn("bound", F.coalesce("least", F.lit(NO_BOUND)))
+    found = searched(rows, queries, n_rows)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

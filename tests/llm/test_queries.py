@@ -310,6 +310,22 @@ def test_top_k_blocks():
         assert [(-int(x), int(i)) for x, i in zip(scores, ids)] == want
 
 
+def test_top_k_with_bounds(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROW_BLOCK", 100)
+    compare(spark, queries.queries()["op3_exact_top_k"], topk.ORACLE)
+
+
+def test_top_k_bounds():
+    """A bound leaves out what is below it and nothing else."""
+    r = np.random.default_rng(1)
+    rows, q = r.integers(-9, 9, (24, 500)), r.integers(-9, 9, (24, 3))
+    plain = list(topk.search_block(np.arange(500), rows, np.arange(900, 903), q, 5))
+    bounds = np.array([s[2] for _, _, s in plain])
+    for (_, ids, scores), (_, more, all_scores), b in zip(topk.search_block(np.arange(500), rows, np.arange(900, 903), q, 5, bounds), plain, bounds):
+        n = int((all_scores >= b).sum())
+        assert ids[:n].tolist() == more[:n].tolist() and scores[:n].tolist() == all_scores[:n].tolist()
+
+
 def test_chat(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (1, 0, "user", "hi"), (1, 1, "assistant", "bb"), (2, 0, "user", None), (4, 0, None, "x"), (5, 0, None, "x"), (None, 0, "user", "x")]
     got = {r["pair_id"]: r for r in chat.preference_pairs(chat.neighbours(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
