@@ -121,12 +121,6 @@ def next_sort_order(table: DataFrame) -> DataFrame:
     return table.agg((F.coalesce(F.max("sort_order"), F.lit(-1)) + 1).alias("sort_order"))
 
 
-def exported(notes: DataFrame, block: Column, order: list[str]) -> DataFrame:
-    """One Markdown document: blocks in order with a rule between them."""
-    rows = F.sort_array(F.collect_list(F.struct(*order, block.alias("block"))))
-    return notes.agg(F.array_join(F.transform(rows, lambda r: r["block"]), "\n\n---\n\n").alias("document"))
-
-
 def free_notes(notes: DataFrame) -> DataFrame:
     """Notes without any anchor, pinned and latest first."""
     return notes.where(F.col("anchor_book").isNull() & F.col("entry_id").isNull()).orderBy(F.desc("pinned"), F.desc("updated_at"), "id")

@@ -73,11 +73,6 @@ def card_definition(full: Column, short: Column) -> Column:
     return F.coalesce(F.concat(full, F.lit(" — KJV: "), short), full, short)
 
 
-def ranked(groups: DataFrame) -> DataFrame:
-    """Groups by their total, the largest first; equal ones by number."""
-    return groups.orderBy(F.desc("total"), "number")
-
-
 def drilled_in(tags: DataFrame, entries: DataFrame, books: DataFrame, sources: DataFrame, term: str, number: str, book: str, n: int = 800) -> DataFrame:
     """The first ``n`` hits of a number in the books of a name, with the entry, book and source of each."""
     of_book = books.where(F.col("name") == book).select(F.col("id").alias("book_id"), F.col("name").alias("book"), "source_id")

@@ -207,8 +207,7 @@ def concordance_drilldown_joined(spark, sf_dir):
 @query(f"WITH {_ENTRY_TAGS}, g AS (SELECT number, count(*) AS total FROM tags GROUP BY number) SELECT number, total, (row_number() OVER (ORDER BY total DESC, number))::BIGINT AS place FROM g")
 def concordance_ranked(spark, sf_dir):
     groups = _entry_tags(spark, sf_dir).groupBy("number").agg(F.count("*").alias("total"))
-    rows = concordance.ranked(groups).agg(F.collect_list(F.struct("number", "total")).alias("r"))  # a row per number asked for
-    return rows.select(F.posexplode("r").alias("i", "x")).select("x.number", "x.total", (F.col("i") + 1).cast("long").alias("place"))
+    return annotate.placed(groups.withColumn("less", -F.col("total")), [["less"]], ["number"]).select("number", "total", "place")
 
 
 @query(
