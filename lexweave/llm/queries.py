@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, jaccard, mixing, phrases, quality, sharding, suffixes, topk
+from . import bpe, chat, divergence, html, jaccard, lexical, licenses, mixing, phrases, quality, sharding, suffixes, topk
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,9 @@ def queries() -> dict[str, Query]:
         "op8_bpe": _on("documents", _encoding),
         "op9_quality_rules": _on("documents", quality.quality_digest),
         "op10_ngram_jaccard": _on("documents", jaccard.joined),
+        "op11_source_divergence": _on("documents", divergence.source_divergence),
+        "op12_license_scan": _on("documents", licenses.license_digest),
+        "op13_lexical_search": lambda spark, sf_dir: lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
     }
 
 
@@ -49,4 +52,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_source_mixing": mixing.ORACLE,
         "op6_preference_formatting": chat.ORACLE,
         "op9_quality_rules": quality.ORACLE,
+        "op11_source_divergence": divergence.ORACLE,
+        "op12_license_scan": licenses.ORACLE,
+        "op13_lexical_search": lexical.ORACLE,
     }
