@@ -5,9 +5,10 @@ copies are summed along the source, one offset is added, and a document is taken
 of the running sum crosses. Documents are ordered by size within the source, so that the words taken stay within about
 one document of the target; of ``OFFSETS`` random offsets the one is added that comes nearest.
 
-The running sum of equal steps is a rank. Ranks are counted without bringing a source together: rows are grouped by
-(source, size), and a size that very many rows of a source have is dealt into chunks. There are at most ``MOST_CUT`` such sizes with
-as many chunks each, whatever the input, so that they are broadcast and no task sorts more than a chunk or a source's sizes.
+Rows of one size stand in the order of a hash of their doc_id. The running sum of equal steps is a rank. Ranks are counted without bringing a
+source together: rows are grouped by (source, size), and a size that very many rows of a source have is dealt into chunks, each a range of
+hashes, which leaves the order as it is. There are at most ``MOST_CUT`` such sizes with as many chunks each, whatever the input, so that they
+are broadcast and no task sorts more than a chunk or a source's sizes.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import n_words_of, written
 
-#: Rows of a source with one size that are never dealt into chunks.
+#: Rows of a source with one size that are one chunk.
 CHUNK = 400
 #: Sizes that are dealt into chunks, and chunks of a size, at most.
 MOST_CUT = 10_000
@@ -75,8 +76,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "", k
     limit = max(CHUNK, (sizes.agg(F.sum("c")).first()[0] or 0) // MOST_CUT)
     cut = sizes.where(F.col("c") > limit).select("src", "size", F.ceil(F.col("c") / limit).cast("long").alias("n_chunks"))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(" ", *[F.col(k).cast("string") for k in ("doc_id", *keys)])), 1, 8), 16, 10).cast("long")
-    chunk = F.when(F.col("n_chunks").isNull(), F.lit(0).cast("long")).otherwise(drawn % F.col("n_chunks"))
-    placed = base.join(F.broadcast(cut), ["src", "size"], "left").withColumn("chunk", chunk)  # at most MOST_CUT rows
+    chunk = F.shiftright(F.col("drawn") * F.coalesce("n_chunks", F.lit(1)), 32)
+    placed = base.withColumn("drawn", drawn).join(F.broadcast(cut), ["src", "size"], "left").withColumn("chunk", chunk)  # at most MOST_CUT rows
 
     def former(by: list[str]) -> Column:
         return F.coalesce(F.sum("c").over(Window.partitionBy("src").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -91,7 +92,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "", k
     counts = placed.groupBy("src", "size", "chunk").agg(F.count("*").alias("c"))
     at = written(counts.withColumn("before", former(["size", "chunk"])).drop("c").join(of_source, "src"))
 
-    within = Window.partitionBy("src", "size", "chunk").orderBy("doc_id", *keys)
+    within = Window.partitionBy("src", "size", "chunk").orderBy("drawn", "doc_id", *keys)
     k = F.col("nth") + F.col("before")
     return (
         placed.withColumn("nth", F.row_number().over(within))
@@ -125,10 +126,8 @@ y AS (SELECT *, u0 + j / 16.0::DOUBLE AS u FROM q, range(16) r(j)),
 e AS (SELECT y.source, j, u, any_value(target) AS target, sum(size * (floor((before + c) * rate + u) - floor(before * rate + u))) AS words
       FROM y JOIN z ON y.source IS NOT DISTINCT FROM z.source GROUP BY y.source, j, u),
 o AS (SELECT source, arg_min(u, (abs(words - target), j)) AS u FROM e GROUP BY source),
-m AS (SELECT greatest(400, count(*) // 10000) AS most FROM b),
-k AS (SELECT b.*, CASE WHEN c > most THEN ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % ceil(c / most::DOUBLE)::BIGINT ELSE 0 END AS chunk
-      FROM b JOIN z ON b.source IS NOT DISTINCT FROM z.source AND b.size = z.size, m),
-r AS (SELECT k.*, q.source_size, q.target, q.rate, o.u, row_number() OVER (PARTITION BY k.source ORDER BY k.size, chunk, doc_id) AS n
-      FROM k JOIN q ON k.source IS NOT DISTINCT FROM q.source JOIN o ON k.source IS NOT DISTINCT FROM o.source)
+r AS (SELECT b.*, q.source_size, q.target, q.rate, o.u,
+             row_number() OVER (PARTITION BY b.source ORDER BY b.size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT, doc_id) AS n
+      FROM b JOIN q ON b.source IS NOT DISTINCT FROM q.source JOIN o ON b.source IS NOT DISTINCT FROM o.source)
 SELECT doc_id, size, source_size, target, ((floor(n * rate + u) - floor((n - 1) * rate + u))::BIGINT * size)::BIGINT AS taken FROM r
 """

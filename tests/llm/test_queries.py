@@ -384,6 +384,17 @@ def test_mixing_ranks(spark, docs, monkeypatch, chunk):
         assert abs(sum(r["copies"] for r in part) - ranks) <= 1
 
 
+def test_mixing_order_whatever_the_chunks(spark, monkeypatch):
+    """Which rows of one size the mix takes does not depend on how many there are to a chunk: the order is by the hash at every size."""
+    rows = [(i if i % 11 else None, "w w", "a") for i in range(420)] + [(i, "w " * (i % 4), "b") for i in range(40)] + [(5, "w w", "a")] * 2
+    taken = []
+    for chunk in (1, 7, 400, 10_000):
+        monkeypatch.setattr(mixing, "CHUNK", chunk)
+        out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        taken.append(sorted((str(r["doc_id"]), r["source"], r["copies"]) for r in out))
+    assert len(taken[0]) == len(rows) and all(t == taken[0] for t in taken)
+
+
 def test_bpe(docs, real):
     from tokenizers import Tokenizer
 
