@@ -18,8 +18,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text in order; of null, none."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    """The words of a text in order; of null, none. Splitting takes time in proportion to the text; extracting each match takes the square of it."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def n_words_of(text: Column) -> Column:
