@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import names, text
-from lexweave.operators import annotate, concordance, reader, search
+from lexweave.operators import annotate, combined, concordance, places, reader, search
 from lexweave.plans.base import ALL, Query
 from lexweave.plans.base import query as _query
 from lexweave.plans.base import table as _table
 from lexweave.plans.base import values as _values
-from lexweave.sources import texts
+from lexweave.sources import tables, texts
 from lexweave.streaming import notes as stream
 
 def queries() -> dict[str, Query]:
@@ -71,11 +71,51 @@ def search_phrase(spark, sf_dir):
     return _hits(spark, sf_dir, "of-the")[0].select("source", "doc_id", "rn")
 
 
+@_query(_capped_sql(f"{_PADDED} LIKE '% of the %' AND {_PADDED} LIKE '% and %'"))
+def search_indexed(spark, sf_dir):
+    """Out of a stored token table, of which only the query's tokens are read."""
+    docs = _table(spark, sf_dir, "documents")
+    at = tables.scratch(spark)
+    tables.save_tokens(docs.select(F.col("doc_id").alias("entry_id"), F.posexplode(text.tokens(F.col("text"))).alias("place", "token")), at)
+    found = search.by_tokens(spark.read.parquet(at), "Of-the AND")
+    return search.capped(docs.join(found.withColumnRenamed("entry_id", "doc_id"), "doc_id", "left_semi"), ["source"], ["doc_id"]).select("source", "doc_id", "rn")
+
+
 @_query(_capped_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%of th_%'"))
 def search_substring(spark, sf_dir):
     return _hits(spark, sf_dir, "Of th_", "substring")[0].select("source", "doc_id", "rn")
 
 
+_RUNS = r"""q AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN 'h0' || (item_id % 9 + 1) WHEN 1 THEN regexp_extract(text, '^\s*(\S+)', 1) WHEN 2 THEN substr(text, 1, 2) ELSE regexp_extract(text, '\S+\s+\S+') END AS query FROM benchmark)"""
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of each kind out of the items: numbers, first words, starts of words, two terms."""
+    k, t = F.col("item_id") % 4, F.col("text")
+    query = F.when(k == 0, F.concat(F.lit("h0"), (F.col("item_id") % 9 + 1).cast("string"))).when(k == 1, F.regexp_extract(t, r"^\s*(\S+)", 1)).when(k == 2, F.substring(t, 1, 2)).otherwise(F.regexp_extract(t, r"\S+\s+\S+", 0))
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), query.alias("query"))
+
+
+@_query(
+    rf"""WITH {_RUNS}, p AS (SELECT query_id, trim(query) AS query, list_filter(list_transform(regexp_split_to_array(trim(query), '\s+'), lambda t: array_to_string(regexp_extract_all(strip_accents(lower(t)), '[\p{{L}}\p{{N}}]+'), ' ')), lambda x: x <> '') AS phrases,
+  CASE WHEN regexp_matches(trim(query), '^[HhGg]0*[1-9][0-9]*$') THEN upper(substr(trim(query), 1, 1)) || regexp_replace(substr(trim(query), 2), '^0+', '') END AS number, translate(trim(query), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM q),
+d AS (SELECT doc_id, source, {_TOKENS} AS found FROM documents),
+m AS (SELECT query_id, source, doc_id FROM d JOIN p ON len(phrases) > 0 AND len(list_filter(phrases, lambda x: NOT contains(' ' || array_to_string(found, ' ') || ' ', ' ' || x || ' '))) = 0),
+w AS (SELECT source, w, 'H' || length(w) AS number FROM (SELECT source, unnest(found) AS w FROM d)),
+k AS (SELECT query_id, source, w.number FROM w JOIN p ON p.query <> '' AND (p.number = w.number OR p.number IS NULL AND w LIKE term || '%')),
+r AS (SELECT query_id, source, doc_id, row_number() OVER (PARTITION BY query_id, source ORDER BY doc_id) AS n FROM m)
+SELECT query_id, 'hit' AS part, source, doc_id::VARCHAR AS item, n::BIGINT AS n FROM r WHERE n <= 20
+UNION ALL SELECT query_id, 'total', source, NULL, count(*) FROM m GROUP BY query_id, source
+UNION ALL SELECT query_id, 'number', source, number, count(*) FROM k GROUP BY query_id, source, number
+UNION ALL SELECT query_id, 'slots', NULL, NULL, count(*) FROM k GROUP BY query_id"""
+)
+def search_combined(spark, sf_dir):
+    """Documents as entries whose words are tagged with their lengths."""
+    words = F.transform(text.tokens(F.col("text")), lambda w, i: F.struct(i.alias("word_index"), w.alias("surface_text"), F.array(F.concat(F.lit("H"), F.length(w).cast("string"))).alias("numbers")))
+    entries = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.col("doc_id").alias("place"), "text", words.alias("words"))
+    return combined.combined(entries, _runs(spark, sf_dir), cap=20)
+
+
 @_query(None)
 def search_snippets(spark, sf_dir):
     return _hits(spark, sf_dir, "the of")[0].select("source", "doc_id", "rn", "snippet")
@@ -95,7 +135,8 @@ def star_search_capped(spark, sf_dir):
 def list_books(spark, sf_dir):
     n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
     rows = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)  # region: 5 rows
-    return search.capped(rows, ["r_regionkey"], ["n_nationkey"], 1_000_000).select(F.col("r_name").alias("title"), F.col("n_name").alias("name"), F.col("rn").alias("place"))
+    place = F.row_number().over(Window.partitionBy("r_regionkey").orderBy("n_nationkey")).cast("long")
+    return rows.select(F.col("r_name").alias("title"), F.col("n_name").alias("name"), place.alias("place"))
 
 
 @_query("SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL")
@@ -129,6 +170,20 @@ def parallel_view(spark, sf_dir):
     return reader.parallel(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "role", ["user", "assistant", "system"], "text")
 
 
+@_query(
+    "WITH c AS (SELECT DISTINCT role AS source, conv_id AS book, turn AS chapter FROM conversations WHERE role IN ('user', 'assistant', 'system') AND turn IS NOT NULL), "
+    "r AS (SELECT DISTINCT conv_id AS book, turn AS chapter, source FROM conversations, (SELECT unnest(['user', 'assistant', 'system']) AS source)), "
+    "f AS (SELECT source, book, min(chapter) AS first FROM c GROUP BY source, book), o AS (SELECT source, min(struct_pack(book := book, chapter := chapter)) AS own FROM c GROUP BY source), "
+    "a AS (SELECT r.*, c.chapter AS before FROM r ASOF LEFT JOIN c ON r.source = c.source AND r.book = c.book AND r.chapter >= c.chapter) "
+    "SELECT a.book, a.chapter, a.source, CASE WHEN first IS NULL THEN own.book ELSE a.book END AS shown_book, CASE WHEN first IS NULL THEN own.chapter ELSE coalesce(before, first) END AS shown_chapter "
+    "FROM a LEFT JOIN f ON f.source = a.source AND f.book = a.book LEFT JOIN o ON o.source = a.source"
+)
+def parallel_panes(spark, sf_dir):
+    """Roles as sources, conversations as books, turns as chapters."""
+    rows = _table(spark, sf_dir, "conversations")
+    return reader.panes(rows, rows, ["user", "assistant", "system"], "role", "conv_id", "turn").select(F.col("book"), "chapter", "source", "shown_book", "shown_chapter")
+
+
 @_query(f"WITH {_TAGS} SELECT number, source, count(*) AS n, min(entry_id) AS place FROM tags WHERE {_START} GROUP BY number, source")
 def concordance_groups(spark, sf_dir):
     found = _tags(spark, sf_dir).where(search.word_start("Tha", F.col("surface_text")))
@@ -309,12 +364,12 @@ def history_mru(spark, sf_dir):
 
 
 @_query(
-    "WITH r AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations WHERE role <> 'assistant'), "
+    "WITH r AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations), "
     "i AS (SELECT conv_id, min(turn) AS a, max(turn) AS b FROM r GROUP BY conv_id, g) "
     "SELECT conv_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS label FROM i GROUP BY conv_id"
 )
 def verse_ranges(spark, sf_dir):
-    return reader.range_label(_table(spark, sf_dir, "conversations").where("role <> 'assistant'"), ["conv_id"], "turn")
+    return reader.range_label(_table(spark, sf_dir, "conversations"), ["conv_id"], "turn")
 
 
 @_query(
@@ -329,6 +384,18 @@ def align_greedy(spark, sf_dir):
     return rows.select("conv_id", "turn", F.array_join(F.transform(text.aligned(F.col("text"), slots), lambda x: x.cast("string")), ",").alias("starts"))
 
 
+@_query(
+    "WITH w AS (SELECT conv_id, turn, text, lower(text) AS t, split_part(lower(text), ' ', 1) AS f, split_part(lower(text), ' ', -1) AS l FROM conversations WHERE text IS NOT NULL) "
+    "SELECT conv_id, turn, text AS joined, ((f <> '')::INT + (l <> '' AND instr(substr(t, length(f) + 1), l) > 0)::INT)::BIGINT AS n_slots FROM w"
+)
+def align_segments(spark, sf_dir):
+    """The pieces of every text, put together again."""
+    words = F.split("text", " ")
+    slots = F.array(F.get(words, 0), F.lit("\u0001"), F.element_at(words, -1))
+    parts = _table(spark, sf_dir, "conversations").where("text IS NOT NULL").withColumn("p", text.segments(F.col("text"), slots))
+    return parts.select("conv_id", "turn", F.array_join("p.text", "").alias("joined"), F.size(F.filter("p.slot", lambda x: x.isNotNull())).cast("long").alias("n_slots"))
+
+
 def _slot_groups(tags: DataFrame) -> DataFrame:
     rows = tags.withColumn("id", F.when(F.col("number") == F.col("surface_text"), 0).otherwise(1))
     return concordance.grouped_slots(rows.dropDuplicates(["entry_id", "word_index", "number"]).unionByName(rows.where(F.length("surface_text") <= 3).withColumn("id", F.lit(2)).dropDuplicates(["entry_id", "word_index"]))).select("entry_id", F.col("word_index").cast("long").alias("word_index"), "surface_text", "numbers")
@@ -339,6 +406,17 @@ def slot_group(spark, sf_dir):
     return _slot_groups(_tags(spark, sf_dir))
 
 
+@_query(
+    f"WITH {_TAGS}, s AS (SELECT entry_id, word_index, surface_text || '|' || surface_text || ' ' || substr(surface_text, 1, 3) AS word FROM tags GROUP BY ALL) "
+    "SELECT entry_id, (word_index // 256)::BIGINT AS page, string_agg(word, ',' ORDER BY word_index) AS words FROM s GROUP BY entry_id, word_index // 256"
+)
+def words_nested(spark, sf_dir):
+    """Words with their numbers under their entry, in pages."""
+    word = F.concat("surface_text", F.lit("|"), "numbers")
+    listed = places.pages(_slot_groups(_tags(spark, sf_dir)), ["entry_id"], "word_index", word)
+    return listed.select("entry_id", "page", F.array_join("items", ",").alias("words"))
+
+
 @_query(f"WITH {_TAGS}, c AS (SELECT entry_id, number FROM tags WHERE word_index = 0) SELECT DISTINCT entry_id, word_index::BIGINT AS word_index FROM tags SEMI JOIN c USING (entry_id, number)")
 def same_tag_slots(spark, sf_dir):
     tags = _tags(spark, sf_dir)
@@ -413,16 +491,18 @@ def parse_paragraphs(spark, sf_dir):
     return texts.paragraphs(_table(spark, sf_dir, "documents").withColumn("title", F.lit("x")), "doc_id").select("doc_id", "n", F.length("text").cast("long").alias("len"))
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of a tagged file for each conversation: a verse for each turn, with a note, words with and without numbers, and a word in a note."""
+def _tagged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tagged file for each conversation: a verse for each turn, with a note, words with and without numbers, and a word in a note."""
     ref = F.concat(F.lit("Gen.1."), F.col("turn").cast("string"))
     words = F.concat(F.lit('<w lemma="strong:H00'), F.col("turn").cast("string"), F.lit('">'), "role", F.lit('</w><w lemma="">none</w><verse eID="Gen.9.9"/><w lemma="strong:G1 strong:H2">two</w>'))
     verse = F.concat(F.lit('<verse sID="'), ref, F.lit('"/><note type="x">n0</note>'), words, F.lit('<note><w lemma="strong:H9">in</w></note><verse eID="'), ref, F.lit('"/><w lemma="strong:H8">stray</w>'))
     rows = _table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"]).select(F.col("conv_id").cast("string").alias("path"), F.struct("turn", verse.alias("x")).alias("v"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list("v")), lambda v: v["x"]), "")
-    files = rows.groupBy("path").agg(F.concat(F.lit("<osis>"), body, F.lit('<verse sID="Xyz.1.1"/><w lemma="strong:H2">unknown</w></osis>')).alias("text"))
-    found = texts.per_file(files, "text", texts.osis_nodes, "ord int, kind string, osis_id string, node_text string, lemma string, in_note boolean")
-    return found.where("error IS NULL").withColumnRenamed("node_text", "text")
+    return rows.groupBy("path").agg(F.concat(F.lit("<osis>"), body, F.lit('<verse sID="Xyz.1.1"/><w lemma="strong:H2">unknown</w></osis>')).alias("text"))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts.per_file(_tagged_files(spark, sf_dir), "text", texts.osis_nodes, texts.NODES).where("error IS NULL")
 
 
 _TURNS = "t AS (SELECT conv_id::VARCHAR AS path, turn, role, 'Gen.1.' || turn AS osis_ref FROM conversations)"
@@ -440,6 +520,24 @@ def note_anchor(spark, sf_dir):
     return texts.anchored_notes(_nodes(spark, sf_dir), "path")
 
 
+@_query(
+    f"WITH {_TURNS}, refs AS (SELECT DISTINCT turn FROM conversations WHERE turn % 3 < 2), s AS (SELECT t.*, refs.turn AS entry_id FROM t LEFT JOIN refs ON refs.turn = t.turn) "
+    "SELECT path, 'tag' AS part, entry_id, 0::BIGINT AS word_index, role AS text, 'H' || turn AS number FROM s WHERE entry_id IS NOT NULL AND turn > 0 "
+    "UNION ALL SELECT path, 'tag', entry_id, 0, role, 'H0' FROM s WHERE entry_id IS NOT NULL AND turn = 0 "
+    "UNION ALL SELECT path, 'tag', entry_id, 1, 'two', unnest(['G1', 'H2']) FROM s WHERE entry_id IS NOT NULL "
+    "UNION ALL SELECT path, 'note', entry_id, NULL, 'n0', 'x' FROM s WHERE entry_id IS NOT NULL UNION ALL SELECT path, 'note', entry_id, 1, 'in', NULL FROM s WHERE entry_id IS NOT NULL "
+    "UNION ALL SELECT path, 'unmatched', NULL, NULL, NULL, (1 + count(*) FILTER (entry_id IS NULL))::VARCHAR FROM s GROUP BY path "
+    "UNION ALL SELECT path || 'x', 'error', NULL, NULL, 'ExpatError', NULL FROM s GROUP BY path"
+)
+def tagged_corpus(spark, sf_dir):
+    """Tagged files beside stored verses, two of three turns; each file once more broken off."""
+    files = _tagged_files(spark, sf_dir)
+    broken = files.select(F.concat("path", F.lit("x")).alias("path"), F.substring("text", 1, 100).alias("text"))
+    refs = _table(spark, sf_dir, "conversations").where("turn % 3 < 2").select(F.col("turn").alias("entry_id"), F.lit("Genesis").alias("book"), F.lit(1).alias("chapter"), F.col("turn").cast("int").alias("verse")).distinct()
+    rows = texts.tagged_corpus(files.unionByName(broken), refs)
+    return rows.withColumn("text", F.when(F.col("part") == "error", F.substring_index("text", ":", 1)).otherwise(F.col("text")))
+
+
 @_query(f"WITH {_TAGS}, n AS (SELECT doc_id AS entry_id, doc_id * 7 % 50 AS word_index FROM documents) SELECT entry_id, CASE WHEN n.word_index IN (SELECT word_index FROM tags WHERE tags.entry_id = n.entry_id) THEN n.word_index::VARCHAR ELSE 'end' END AS at FROM n")
 def notes_at_words(spark, sf_dir):
     notes = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), (F.col("doc_id") * 7 % 50).alias("word_index"))
@@ -469,8 +567,7 @@ def _note_block() -> Column:
     "SELECT (row_number() OVER (ORDER BY event_type, event_id))::BIGINT AS place, '## ' || CASE WHEN event_id % 3 = 0 THEN 'Freeform' ELSE event_type || ' ' || event_id % 5 || ' (chapter)' END || chr(10) || chr(10) || props AS block FROM events"
 )
 def notes_export(spark, sf_dir):
-    rows = _table(spark, sf_dir, "events").withColumn("thousand", F.floor(F.col("event_id") / 1000))
-    return annotate.export_blocks(rows, _note_block(), ["event_type", "thousand"], ["event_id"])
+    return annotate.export_blocks(_table(spark, sf_dir, "events"), _note_block(), ["event_type", "event_id"])
 
 
 @_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +36,6 @@ ALIASES = {
 ORDINALS = {"i": "1", "ii": "2", "iii": "3", "1st": "1", "2nd": "2", "3rd": "3"}
 
 
-def canon(spark: SparkSession) -> DataFrame:
-    rows = [(i + 1, b, b.lower(), o) for i, (b, o) in enumerate(zip(CANON, OSIS))]
-    return spark.createDataFrame(rows, "number int, book string, low string, osis string")
-
-
 def plain_name(raw: Column) -> Column:
     name = collapsed(F.lower(raw))
     for old, new in ORDINALS.items():
@@ -46,20 +43,25 @@ def plain_name(raw: Column) -> Column:
     return name
 
 
-def canonical_names(names: DataFrame, raw: str) -> DataFrame:
-    """Distinct values of ``raw`` with ``book``: an alias, the exact name, or the one book that starts so; else null.
+@functools.cache
+def _meant() -> dict[str, int]:
+    """The number of the book that each plain name means: an alias, the exact name, or the start of one book alone."""
+    low = [b.lower() for b in CANON]
+    starts = {b[:n] for b in low for n in range(1, len(b) + 1)}
+    one = {s: [i for i, b in enumerate(low, 1) if b.startswith(s)] for s in starts}
+    out = {s: low.index(s) + 1 if s in low else of[0] for s, of in one.items() if s in low or len(of) == 1}
+    return out | {alias: CANON.index(b) + 1 for alias, b in ALIASES.items()}
+
+
+def meanings(spark: SparkSession) -> DataFrame:
+    """Plain names with the number and the name of the book that they mean: some hundred rows, whatever the input."""
+    return spark.createDataFrame([(s, n, CANON[n - 1]) for s, n in _meant().items()], "_plain string, _number int, _known string")
+
 
-    The canon has 66 rows, so it is broadcast and each distinct name meets it once.
-    """
-    books = F.broadcast(canon(names.sparkSession).select("number", "book", "low"))
-    alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    plain = names.select(raw).distinct().withColumn("plain", plain_name(F.col(raw)))
-    near = plain.join(books, (F.col("plain") != "") & F.startswith("low", "plain"), "left")
-    exact = F.max(F.when(F.col("low") == F.col("plain"), F.col("book")))
-    only = F.when(F.count("book") == 1, F.max("book"))
-    return near.groupBy(raw, "plain").agg(exact.alias("exact"), only.alias("only")).select(
-        raw, F.coalesce(F.try_element_at(alias, F.coalesce("plain", F.lit(""))), "exact", "only").alias("book")
-    )
+def canonical_names(rows: DataFrame, raw: str) -> DataFrame:
+    """Distinct values of ``raw`` with ``book``, the book of the canon that is meant, else null."""
+    plain = rows.select(raw).distinct().withColumn("_plain", plain_name(F.col(raw)))
+    return plain.join(F.broadcast(meanings(rows.sparkSession)), "_plain", "left").select(raw, F.col("_known").alias("book"))  # a bounded table
 
 
 def book_of_number(n: Column) -> Column:
@@ -68,8 +70,6 @@ def book_of_number(n: Column) -> Column:
 
 def canonicalized(rows: DataFrame) -> DataFrame:
     """``rows`` (book, ...) with known names of books in place of those as written, and ``canon_place``: the book's number, 1000 for
-    names that stay as they are. Each distinct name is looked up once."""
-    known = canonical_names(rows.select(F.col("book").alias("raw")), "raw").select(F.col("raw").alias("_raw"), F.col("book").alias("_known"))
-    books = F.broadcast(canon(rows.sparkSession).select(F.col("book").alias("_known"), F.col("number").alias("_number")))  # 66 rows
-    found = rows.join(known.join(books, "_known", "left"), F.col("book").eqNullSafe(F.col("_raw")), "left")
+    names that stay as they are. One look-up in a broadcast table of bounded size: rows are neither read twice nor shuffled."""
+    found = rows.withColumn("_plain", plain_name(F.col("book"))).join(F.broadcast(meanings(rows.sparkSession)), "_plain", "left")
     return found.select(*[c for c in rows.columns if c != "book"], F.coalesce("_known", "book").alias("book"), F.coalesce("_number", F.lit(1000)).alias("canon_place"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from html.parser import HTMLParser
@@ -11,23 +12,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Letters U+00E0 to U+024F that are a base letter and one mark, and their base letters.
-_FOLDED = [
-    (chr(c), d[0])
-    for c in range(0xE0, 0x250)
-    if len(d := unicodedata.normalize("NFD", chr(c))) == 2 and d[0].isascii() and chr(c).islower()
-]
-FOLD_FROM, FOLD_TO = "".join(a for a, _ in _FOLDED), "".join(b for _, b in _FOLDED)
+
+
+def _fold_table() -> tuple[str, str]:
+    """Characters of the Basic Multilingual Plane that are a letter with marks, or one form of a letter, and the bare letters for them; then the
+    marks, which have none and so go. By rule from Unicode's own decompositions."""
+    bare, marks = {"ς": "σ"}, []
+    for c in map(chr, range(0x80, 0xD800)):
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif c == c.lower():
+            left = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+            if len(left) == 1 and left != c:
+                bare[c] = left
+    return "".join(bare) + "".join(marks), "".join(bare.values())
+
+
+#: The one table by which texts and queries are folded.
+FOLD_FROM, FOLD_TO = _fold_table()
+_FOLD = {ord(c): FOLD_TO[i] if i < len(FOLD_TO) else None for i, c in enumerate(FOLD_FROM)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What stands between tokens: all but letters and numbers.
+BETWEEN = r"[^\p{L}\p{N}]+"
 
 
 def folded(text: Column) -> Column:
-    """Lower case without the marks of Latin letters."""
-    return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
+    """Lower case without marks, whether a letter carries them or they stand after it."""
+    low = F.lower(text)
+    return F.when(F.length(text) == F.octet_length(text), low).otherwise(F.translate(low, FOLD_FROM, FOLD_TO))
+
+
+def folded_text(text: str) -> str:
+    """The same of a query that is at hand."""
+    return text.lower().translate(_FOLD)
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Splitting takes time in proportion to the text; extracting each match takes the square of it."""
+    return F.array_remove(F.split(folded(text), BETWEEN), "")
 
 
 def ascii_lower(text: Column) -> Column:
@@ -61,14 +83,77 @@ def without_braces(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[{}]", ""), r"\s+", " "))
 
 
-def snippet(text: Column, terms: list[str], width: int = 16) -> Column:
-    """Up to ``width`` words about the first that is one of ``terms``, which are marked."""
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    hit = lambda w: F.exists(tokens(w), lambda t: t.isin(terms))
-    first = F.coalesce(F.array_position(F.transform(words, lambda w: F.coalesce(hit(w), F.lit(False))), F.lit(True)), F.lit(0))
-    start = F.greatest(first - width // 2, F.lit(1)).cast("int")
-    shown = F.transform(F.slice(words, start, F.lit(width)), lambda w: F.when(hit(w), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
-    return F.concat(F.when(start > 1, F.lit("…")).otherwise(F.lit("")), F.array_join(shown, " "), F.when(start + width <= F.size(words), F.lit("…")).otherwise(F.lit("")))
+def _ranges_of(chars: str) -> str:
+    """The characters as ranges for a class of a pattern."""
+    codes = sorted(map(ord, chars))
+    starts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+#: A token as it is written: letters, numbers, and marks that folding drops. What may stand between a sentence's end and the next one's start.
+_WRITTEN = re.compile(rf"(?:[^\W_]|[{_ranges_of(FOLD_FROM[len(FOLD_TO):])}])+")
+_SENTENCE = re.compile(r"[.:!?][\s\"'”’)\]]*$")
+
+
+def fragment(tokens_: list[str], starts: set[int], phrases: list[list[str]], width: int) -> tuple[int, list[tuple[int, int]]]:
+    """Where the best ``width`` tokens of a text start, and all places [first, end) of the phrases in it.
+
+    Best is what has the most unlike phrases whole, then the most places, where starting with a sentence (``starts``) counts more than places but less
+    than a phrase; then what comes first. The first place and the sentence before it are as good a start as any before them, so only these are tried.
+    """
+    at = {p[0]: [q for q in phrases if q[0] == p[0]] for p in phrases}
+    found = [(i, i + len(p), k) for i, t in enumerate(tokens_) for k, p in enumerate(at.get(t, ())) if tokens_[i : i + len(p)] == p]
+    found = sorted((i, e, phrases.index(at[tokens_[i]][k])) for i, e, k in found)
+    firsts, best = sorted(starts), (-1, 0)
+    for j, (i, _, _) in enumerate(found):
+        before = bisect.bisect_right(firsts, i)
+        for s in {i, *firsts[max(before - 1, 0) : before]}:
+            lo = bisect.bisect_left(found, (s,))
+            here = [k for a, e, k in found[lo : lo + width * len(phrases)] if a < s + width and e <= s + width]
+            score = 1000 * len(set(here)) + len(here) + (100 if s in starts else 0)
+            if (score, -s) > (best[0], -best[1]):
+                best = score, s
+    s = best[1] if len(tokens_) > width else 0
+    here = [(a, e) for a, e, _ in found if s <= a and e <= s + width]
+    if here and s not in starts:  # centred about its places
+        room = width - (max(e for _, e in here) - s)
+        s = max(min(s - room // 2, len(tokens_) - width), 0)
+    return s, [(a, e) for a, e, _ in found]
+
+
+def snippet_of(text: str | None, phrases: list[list[str]], width: int = 16) -> str | None:
+    """The part of a text that :func:`fragment` chooses, with whole phrases marked and an ellipsis where the text goes on. Without a place: its start."""
+    if text is None:
+        return None
+    words = [(t, m.start(), m.end()) for m in _WRITTEN.finditer(text) if (t := folded_text(m[0]))]
+    if not words:
+        return text
+    tokens_ = [t for t, _, _ in words]
+    starts = {i for i, (_, a, _) in enumerate(words) if not i or _SENTENCE.search(text[words[i - 1][2] : a])}
+    s, found = fragment(tokens_, starts, phrases, width)
+    end = min(s + width, len(words))
+    marks: list[list[int]] = []
+    for a, e in sorted((a, e) for a, e in found if s <= a and e <= end):
+        if marks and a < marks[-1][1]:
+            marks[-1][1] = max(marks[-1][1], e)
+        else:
+            marks.append([a, e])
+    out, at = "", words[s][1] if s else 0
+    for a, e in marks:
+        out += f"{text[at : words[a][1]]}<mark>{text[words[a][1] : words[e - 1][2]]}</mark>"
+        at = words[e - 1][2]
+    return ("…" if s else "") + out + (text[at:] if end == len(words) else text[at : words[end - 1][2]] + "…")
+
+
+def snippet(text: Column, phrases: list[list[str]], width: int = 16) -> Column:
+    """:func:`snippet_of` of each text, by batches: for rows that are capped already. Null stays null."""
+
+    @F.pandas_udf(StringType())
+    def shown(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: snippet_of(x, phrases, width))
+
+    return shown(text)
 
 
 def escaped_but_marks(text: Column) -> Column:
@@ -145,6 +230,24 @@ def aligned(text: Column, surfaces: Column) -> Column:
     return F.aggregate(surfaces, start, put, lambda a: a["starts"])
 
 
+def segments(text: Column, surfaces: Column) -> Column:
+    """The text cut at the surfaces that are found in reading order: array of struct<text, slot>, slot null for what stands between. Surfaces that are
+    not found are left out and move nothing; put together, the pieces are the text."""
+    low = F.lower(text)
+    piece = lambda first, end, slot: F.filter(F.array(F.struct(F.substr(text, first, F.greatest(end - first, F.lit(0))).alias("text"), slot.cast("int").alias("slot"))), lambda x: x["text"] != "")
+
+    def put(a: Column, s: Column) -> Column:
+        rest = F.substr(low, a["at"], F.greatest(F.length(low) - a["at"] + 1, F.lit(0)))
+        near = F.when(F.length(s["x"]) > 0, F.instr(rest, F.lower(s["x"]))).otherwise(0)
+        at, end = near + a["at"] - 1, near + a["at"] - 1 + F.length(s["x"])
+        found = F.struct(end.alias("at"), F.concat(a["parts"], piece(a["at"], at, F.lit(None)), piece(at, end, s["i"])).alias("parts"))
+        return F.when(near > 0, found).otherwise(a)
+
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<text:string,slot:int>>").alias("parts"))
+    slots = F.transform(surfaces, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    return F.aggregate(slots, start, put, lambda a: F.concat(a["parts"], piece(a["at"], F.length(text) + 1, F.lit(None))))
+
+
 def _at_each(text: Column, pattern: str, put) -> Column:
     """``put`` of each piece that starts with a match of ``pattern``; what stands before the first stays."""
     pieces = F.split(text, f"(?={pattern})")
@@ -246,17 +349,16 @@ def html_to_markdown(html: pd.Series) -> pd.Series:
     return html.map(html_markdown)
 
 
-@F.pandas_udf(StringType())
-def decoded(content: pd.Series) -> pd.Series:
-    """Bytes as UTF-8, else as Windows-1252."""
+#: Characters for the bytes 0x80 to 0x9F in Windows-1252, which ISO-8859-1 has as controls.
+_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+_WINDOWS = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
 
-    def one(b: bytes) -> str:
-        try:
-            return bytes(b).decode("utf-8-sig")
-        except UnicodeDecodeError:
-            return bytes(b).decode("cp1252", "replace")
 
-    return content.map(one)
+def decoded(content: Column | str) -> Column:
+    """Bytes as UTF-8, without its mark, else as Windows-1252. Null stays null."""
+    raw = F.col(content) if isinstance(content, str) else content
+    text = raw.cast("string")
+    return F.when(F.is_valid_utf8(text), F.regexp_replace(text, "^\ufeff", "")).otherwise(F.translate(F.decode(raw, "ISO-8859-1"), _CONTROLS, _WINDOWS))
 
 
 def base_name(path: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import html_to_markdown, strip_rtf, trimmed
+from lexweave.operators.places import PAGE, pages, placed, within
 from lexweave.operators.reader import range_label
 
 
@@ -77,39 +78,28 @@ def first_text(entries: DataFrame, refs: DataFrame, keys: list[str], text: str,
     return refs.join(one, keys, "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def note_order(notes: DataFrame) -> DataFrame:
-    return notes.orderBy(F.desc("pinned"), F.asc_nulls_last("anchor_verse"), F.desc("updated_at"), "id")
-
+def _note_order() -> list[Column]:
+    return [F.desc("pinned"), F.asc_nulls_last("anchor_verse"), F.desc("updated_at"), F.asc("id")]
 
-def placed(rows: DataFrame, levels: list[list[str]], last: list[Column | str]) -> DataFrame:
-    """``rows`` with their ``place``, from 1, in the order of all ``levels`` (columns, ascending) and then ``last``.
 
-    The places before a row are counted level by level, so what meets in a task is the rows that are equal in all levels, or the
-    counts of one level's values under equal values of the levels before.
-    """
-    keys = [k for level in levels for k in level]
-    same = lambda cols: [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in cols]
-    out = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*last)).cast("long"))
-    counts = rows.groupBy(*keys).count()
-    for i in range(len(levels)):
-        upto = [k for level in levels[: i + 1] for k in level]
-        former = Window.partitionBy(*upto[: -len(levels[i])]).orderBy(*levels[i]).rowsBetween(Window.unboundedPreceding, -1)
-        before = counts.groupBy(*upto).agg(F.sum("count").alias("count")).withColumn("_before", F.coalesce(F.sum("count").over(former), F.lit(0)))
-        added = (F.col("a.place") + F.col("b._before")).alias("place")
-        out = out.alias("a").join(before.alias("b"), same(upto)).select(*[f"a.{c}" for c in rows.columns], added)
-    return out
+def note_order(notes: DataFrame) -> DataFrame:
+    return notes.orderBy(*_note_order())
 
 
 def note_places(notes: DataFrame) -> DataFrame:
     """``notes`` with their ``place`` in :func:`note_order`."""
-    hour = F.floor(F.unix_timestamp(F.col("updated_at").cast("timestamp")) / 3600)
-    rows = notes.withColumns({"_free": ~F.col("pinned"), "_none": F.col("anchor_verse").isNull(), "_old": F.coalesce(-hour, F.lit(1 << 40))})
-    return placed(rows, [["_free", "_none", "anchor_verse"], ["_old"]], [F.desc("updated_at"), "id"]).select(*notes.columns, "place")
+    return placed(notes, _note_order())
+
+
+def export_blocks(notes: DataFrame, block: Column, order: list[Column | str]) -> DataFrame:
+    """(place, block) of all notes in ``order``, each in one row, however many there are."""
+    return placed(notes, order).select("place", block.alias("block"))
 
 
-def export_blocks(notes: DataFrame, block: Column, level: list[str], last: list[str]) -> DataFrame:
-    """(place, block) of all notes in the order of ``level`` and ``last``, each in one row, however many there are."""
-    return placed(notes, [level], last).select("place", block.alias("block"))
+def nested_highlights(highlights: DataFrame, highlighters: DataFrame, item: Column, order: list[Column | str], size: int = PAGE) -> DataFrame:
+    """Highlighters with what is marked with them: pages of items in ``order``. A highlighter that marks nothing is left out."""
+    pen = ["pen_order", "highlighter_id", "label", "color"]
+    return pages(within(with_colors(highlights, highlighters, "inner"), pen, order), pen, "nth", item, size)
 
 
 def chapter_notes(notes: DataFrame, book: str, chapter: int) -> DataFrame:

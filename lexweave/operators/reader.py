@@ -28,6 +28,24 @@ def parallel(entries: DataFrame, keys: list[str], source: str, sources: list[str
     return entries.groupBy(*keys).pivot(source, sources[:4]).agg(F.min(text))
 
 
+def panes(entries: DataFrame, refs: DataFrame, sources: list[str], source: str = "source", book: str = "book", chapter: str = "chapter") -> DataFrame:
+    """For each reference (book, chapter) of ``refs`` what up to four sources show beside each other: the chapter, else the last one before it, else
+    the book's first; of a source that lacks the book, its own first chapter.
+
+    An as-of alignment by one window over references and chapters together: no range join, and what meets is a book of a source.
+    """
+    there = entries.where(F.col(source).isin(sources[:4]) & F.col(chapter).isNotNull()).select(F.col(source).alias("source"), F.col(book).alias("book"), F.col(chapter).alias("chapter")).distinct()
+    asked = refs.select(F.col(book).alias("book"), F.col(chapter).alias("chapter")).distinct().withColumn("source", F.explode(F.array(*[F.lit(x) for x in sources[:4]])))
+    both = there.withColumn("here", F.col("chapter")).unionByName(asked.withColumn("here", F.lit(None).cast(there.schema["chapter"].dataType)), allowMissingColumns=True)
+    per = Window.partitionBy("source", "book")
+    upto = per.orderBy("chapter", F.asc_nulls_last("here")).rowsBetween(Window.unboundedPreceding, 0)
+    shown = both.withColumn("shown", F.coalesce(F.last("here", ignorenulls=True).over(upto), F.min("here").over(per))).where("here IS NULL").drop("here")
+    own = there.groupBy("source").agg(F.min(F.struct("book", "chapter")).alias("own"))  # a row for each of four sources at most
+    out = shown.join(F.broadcast(own), "source", "left")
+    lacks = F.col("shown").isNull()
+    return out.select("book", "chapter", "source", F.when(lacks, F.col("own.book")).otherwise(F.col("book")).alias("shown_book"), F.when(lacks, F.col("own.chapter")).otherwise(F.col("shown")).alias("shown_chapter"))
+
+
 def islands(rows: DataFrame, by: list[str], verse: str) -> DataFrame:
     """Runs of consecutive numbers; a number that repeats starts a run of its own."""
     w = Window.partitionBy(*by).orderBy(verse, "_tie")

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import ascii_lower, snippet, tokens
+from lexweave.functions.text import ascii_lower, folded_text, snippet, tokens
 
 
 def query_phrases(query: str) -> list[list[str]]:
-    """The tokens of each term between white space; terms without any are left out."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
-    return [p for term in plain.split() if (p := re.findall(r"[^\W_]+", term))]
+    """The tokens of each term between white space; terms without any are left out. Folded as texts are."""
+    return [p for term in folded_text(query).split() if (p := re.findall(r"[^\W_]+", term))]
 
 
 def _holds(part: str):
@@ -58,12 +56,24 @@ def capped(hits: DataFrame, group: list[str], order: list[str], cap: int = 200)
 def search(entries: DataFrame, query: str, text: str, group: list[str], order: list[str], mode: str = "tokens", cap: int = 200) -> tuple[DataFrame, DataFrame]:
     """(hits, totals): capped hits with snippets, and how many there are in all per group."""
     found = entries.where(matches(query, F.col(text)) if mode == "tokens" else contains(query, F.col(text)))
-    terms = [t for p in query_phrases(query) for t in p]
-    shown = snippet(F.col(text), terms) if mode == "tokens" else F.col(text)
+    shown = snippet(F.col(text), query_phrases(query)) if mode == "tokens" else F.col(text)
     hits = capped(found, group, order, cap).withColumn("snippet", shown)
     return hits, found.groupBy(*group).agg(F.count("*").alias("total"))
 
 
+def by_tokens(tokens: DataFrame, query: str) -> DataFrame:
+    """entry_id of the entries with every phrase of the query, out of a token table (entry_id, place, token). Only the query's tokens are read; a
+    phrase is found where its tokens' places less their numbers in it agree."""
+    phrases = query_phrases(query)
+    if not phrases:
+        return tokens.select("entry_id").limit(0)
+    wanted = sorted({t for p in phrases for t in p})
+    parts = [F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(len(p)).alias("size"), F.lit(t).alias("t")) for k, p in enumerate(phrases) for i, t in enumerate(p)]
+    rows = tokens.where(F.col("token").isin(wanted)).select("entry_id", "place", F.explode(F.filter(F.array(*parts), lambda x: x["t"] == F.col("token"))).alias("x"))
+    whole = rows.groupBy("entry_id", "x.k", "x.size", (F.col("place") - F.col("x.i")).alias("start")).agg(F.countDistinct("x.i").alias("n")).where("n = size")
+    return whole.groupBy("entry_id").agg(F.countDistinct("k").alias("n")).where(F.col("n") == len(phrases)).select("entry_id")
+
+
 def recent(rows: DataFrame, newest: str, key: str, n: int = 100) -> DataFrame:
     return rows.orderBy(F.desc(newest), key).limit(n)
 
@@ -72,10 +82,9 @@ def notes(rows: DataFrame, query: str, mode: str = "tokens", n: int = 100) -> Da
     """The latest notes with every term in title or content, each term in either; the snippet is the content's, without marks if only the title matches."""
     title, content = F.col("title"), F.col("content")
     found = rows.where(matches(query, title, content) if mode == "tokens" else F.coalesce(contains(query, content), F.lit(False)) | F.coalesce(contains(query, title), F.lit(False)))
-    terms = [t for p in query_phrases(query) for t in p]
     return recent(found, "updated_at", "id", n).select(
         F.lit("note").alias("kind"), "id", F.lit(None).cast("long").alias("source_id"), F.lit("My Notes").alias("source_title"), F.col("anchor_book").alias("book"), F.col("anchor_chapter").cast("int").alias("chapter"),
-        F.col("anchor_verse").cast("int").alias("verse"), F.lit(None).cast("string").alias("position_ref"), (snippet(content, terms) if mode == "tokens" else content).alias("snippet"), "updated_at",
+        F.col("anchor_verse").cast("int").alias("verse"), F.lit(None).cast("string").alias("position_ref"), (snippet(content, query_phrases(query)) if mode == "tokens" else content).alias("snippet"), "updated_at",
     )
 
 

@@ -60,14 +60,28 @@ def import_warnings(spark, sf_dir):
     return texts.warnings(_file(_orders(spark, sf_dir), line), "path")
 
 
+@query(
+    "WITH k AS (SELECT o_custkey, count(*) FILTER (o_custkey % 2 = 1 AND o_orderkey % 4 = 0) AS skipped, count(*) AS n FROM orders GROUP BY o_custkey), f AS (SELECT *, n - skipped > 0.6 * n AS keyed FROM k) "
+    "SELECT sum(CASE WHEN keyed THEN n - skipped ELSE 1 END)::BIGINT AS entries, count(*) AS files, sum(CASE WHEN keyed THEN skipped ELSE 0 END)::BIGINT AS skipped, count(*) FILTER (keyed AND skipped > 0) AS warned FROM f"
+)
+def load_report(spark, sf_dir):
+    """What a load counts in the pass that writes the entries."""
+    keyed = F.concat("name", F.lit(" "), "ch", F.lit(":"), "v", F.lit(" "), "said")
+    line = F.when(F.col("even") | (F.col("i") % 4 > 0), keyed).otherwise(F.concat(F.lit("no verse "), "said"))
+    entries = texts.plain_text(_file(_orders(spark, sf_dir), line), "path", report=True)
+    counts = tables.save_counted(entries, tables.scratch(spark), entries=F.count("*"), files=F.count_if(F.col("n") == 1), skipped=F.sum("skipped"), warned=F.count_if(F.col("skipped") > 0))
+    return spark.createDataFrame([tuple(counts[c] for c in ("entries", "files", "skipped", "warned"))], "entries long, files long, skipped long, warned long")
+
+
 @query(
     "SELECT 'f' || o_custkey AS path, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::BIGINT AS n, 'F' || o_custkey AS book, NULL::INT AS chapter, NULL::INT AS verse, "
-    "'Chapter ' || o_orderkey || CASE WHEN o_custkey % 6 > 0 THEN ' — ' || o_orderpriority ELSE '' END AS position_ref, 'one' || chr(10) || chr(10) || 'two' AS text FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)"
+    "'Chapter ' || o_orderkey || CASE WHEN o_custkey % 6 > 0 THEN ' — ' || o_orderpriority ELSE '' END AS position_ref, 'one' || chr(10) || chr(10) || 'two' AS text FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1) "
+    "UNION ALL SELECT 'f' || o_custkey, unnest([1, 2])::BIGINT, 'F' || o_custkey, NULL, NULL, unnest(['¶ 1', '¶ 2']), unnest(['CHAPTER ' || any_value(o_orderkey) || CASE WHEN o_custkey % 6 > 0 THEN ': ' || any_value(o_orderpriority) ELSE '.' END || ' one', 'two']) FROM orders GROUP BY o_custkey HAVING count(*) = 1"
 )
 def parse_marked_sections(spark, sf_dir):
     mark = F.concat(F.lit("  CHAPTER "), F.col("i").cast("string"), F.when(F.col("v") != "0", F.concat(F.lit(": "), "said", F.lit("  "))).otherwise("."))
     docs = _file(_orders(spark, sf_dir), F.concat(mark, F.lit("\n  one \n\n\n\ntwo\n")))
-    return texts.plain_text(docs, "path").where("position_ref NOT LIKE '¶%'")
+    return texts.plain_text(docs, "path")
 
 
 @query(_parsed_sql("nullif((o_orderkey % 7)::INT, 0)", "nullif((o_custkey % 6)::INT, 0)", "'a \"q\", ' || o_orderpriority", "o_orderkey % 11 > 0"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import names, text
-from lexweave.operators import annotate, concordance, library, search
+from lexweave.operators import annotate, concordance, library, places, search
 from lexweave.plans.base import query, table, values
 
 LIBRARY = """sources AS (SELECT r_regionkey::BIGINT AS id, r_name AS title, CASE WHEN r_regionkey % 2 = 1 THEN 'bible' ELSE 'reference' END AS type FROM region),
@@ -126,12 +126,12 @@ def hits_by_source_and_book(spark, sf_dir):
 
 
 @query(
-    f"WITH {_HITS} SELECT id, CASE WHEN book IS NOT NULL AND verse IS NOT NULL THEN book || ' ' || coalesce(chapter::VARCHAR, '') || ':' || verse WHEN book IS NOT NULL AND chapter IS NOT NULL THEN book || ' ' || chapter "
-    "ELSE coalesce(position_ref, book, '') END AS ref FROM h WHERE chapter IS NOT NULL AND rn <= 200"
+    f"WITH {_HITS} SELECT id, CASE WHEN book IS NOT NULL AND chapter IS NOT NULL AND verse IS NOT NULL THEN book || ' ' || chapter || ':' || verse WHEN book IS NOT NULL AND chapter IS NOT NULL THEN book || ' ' || chapter "
+    "ELSE coalesce(position_ref, book, '') END AS ref FROM h WHERE rn <= 200"
 )
 def hit_references(spark, sf_dir):
     ref = text.hit_ref(F.col("book"), F.col("chapter"), F.col("verse"), F.col("position_ref")).alias("ref")
-    return _hits(spark, sf_dir)[0].where("chapter IS NOT NULL").select("id", ref)
+    return _hits(spark, sf_dir)[0].select("id", ref)
 
 
 @query(f"WITH {LIBRARY} SELECT id, book_id, CASE WHEN length(text) > 20 THEN substr(text, 1, 20) || '…' ELSE text END AS text FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY sort_order) AS rn FROM entries) WHERE rn <= 8")
@@ -207,7 +207,7 @@ def concordance_drilldown_joined(spark, sf_dir):
 @query(f"WITH {_ENTRY_TAGS}, g AS (SELECT number, count(*) AS total FROM tags GROUP BY number) SELECT number, total, (row_number() OVER (ORDER BY total DESC, number))::BIGINT AS place FROM g")
 def concordance_ranked(spark, sf_dir):
     groups = _entry_tags(spark, sf_dir).groupBy("number").agg(F.count("*").alias("total"))
-    return annotate.placed(groups.withColumn("less", -F.col("total")), [["less"]], ["number"]).select("number", "total", "place")
+    return places.placed(groups, [F.desc("total"), "number"]).select("number", "total", "place")
 
 
 @query(
@@ -222,15 +222,15 @@ def tags_cleared(spark, sf_dir):
 
 
 @query(
-    "SELECT o_orderkey AS id, 'H' || o_orderkey || CASE WHEN o_custkey % 2 = 0 THEN ' — ' || o_orderstatus ELSE '' END || CASE WHEN o_custkey % 3 = 0 THEN '' WHEN o_custkey % 3 = 1 THEN ' — ' || o_orderpriority ELSE ' — ' || o_orderpriority || ' (x)' END || ' (' || o_custkey || ')' AS card, "
-    "CASE WHEN o_custkey % 5 = 0 THEN CASE WHEN o_custkey % 7 > 0 THEN o_orderstatus END WHEN o_custkey % 7 = 0 THEN o_orderpriority ELSE o_orderpriority || ' — KJV: ' || o_orderstatus END AS definition FROM orders WHERE o_custkey < 1000"
+    "SELECT o_orderkey AS id, 'H' || o_orderkey || CASE WHEN o_custkey % 2 = 0 THEN ' — ' || o_orderstatus ELSE '' END || CASE WHEN o_custkey % 3 = 0 THEN '' WHEN o_custkey % 3 = 1 THEN ' — ' || o_orderpriority ELSE ' — ' || o_orderpriority || ' (x)' END || ' (' || format('{:,}', o_custkey) || ')' AS card, "
+    "CASE WHEN o_custkey % 5 = 0 THEN CASE WHEN o_custkey % 7 > 0 THEN o_orderstatus END WHEN o_custkey % 7 = 0 THEN o_orderpriority ELSE o_orderpriority || ' — KJV: ' || o_orderstatus END AS definition FROM orders"
 )
 def lexicon_cards(spark, sf_dir):
     c, p, st = F.col("o_custkey"), F.col("o_orderpriority"), F.col("o_orderstatus")
     number = F.concat(F.lit("H"), F.col("o_orderkey").cast("string"))
     card = concordance.card(number, F.when(c % 2 == 0, st), F.when(c % 3 > 0, p), F.when(c % 3 == 2, "x"), c)
     definition = concordance.card_definition(F.when(c % 5 > 0, p), F.when(c % 7 > 0, st))
-    return table(spark, sf_dir, "orders").where("o_custkey < 1000").select(F.col("o_orderkey").alias("id"), card.alias("card"), definition.alias("definition"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), card.alias("card"), definition.alias("definition"))
 
 
 @query("SELECT n_nationkey AS id, CASE WHEN n_nationkey BETWEEN 1 AND 66 THEN ['Genesis', 'Exodus', 'Leviticus', 'Numbers', 'Deuteronomy', 'Joshua', 'Judges', 'Ruth', '1 Samuel', '2 Samuel', '1 Kings', '2 Kings', '1 Chronicles', '2 Chronicles', 'Ezra', 'Nehemiah', 'Esther', 'Job', 'Psalms', 'Proverbs', 'Ecclesiastes', 'Song of Solomon', 'Isaiah', 'Jeremiah'][n_nationkey] END AS book FROM nation")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import text
-from lexweave.operators import annotate, reader, search
+from lexweave.operators import annotate, places, reader, search
 from lexweave.plans.base import query, table, values
 from lexweave.plans.library import LIBRARY, of_library
 
@@ -137,7 +137,18 @@ def search_everything(spark, sf_dir):
 def highlights_listed(spark, sf_dir):
     rows = annotate.with_colors(of_marks(spark, sf_dir), of_pens(spark, sf_dir), "inner")
     rows = annotate.first_text(_bibles(spark, sf_dir), rows, ["book", "chapter", "verse"], "text", ["source_id", "id"])
-    return annotate.placed(rows, [["pen_order", "highlighter_id"], ["book", "chapter", "verse"]], ["id"]).select("id", "label", "color", "text", "place")
+    return places.placed(rows, ["pen_order", "highlighter_id", "book", "chapter", "verse", "id"]).select("id", "label", "color", "text", "place")
+
+
+@query(
+    f"WITH {PENS}, {MARKS}, r AS (SELECT p.id AS highlighter_id, p.label, p.color, m.book || ' ' || m.chapter || ':' || m.verse AS spot, row_number() OVER (PARTITION BY p.id ORDER BY m.book, m.chapter, m.verse, m.id) - 1 AS nth FROM marks m JOIN pens p ON p.id = m.highlighter_id) "
+    "SELECT highlighter_id, label, color, (nth // 256)::BIGINT AS page, string_agg(spot, '; ' ORDER BY nth) AS verses FROM r GROUP BY highlighter_id, label, color, nth // 256"
+)
+def highlights_nested(spark, sf_dir):
+    """Highlights under their highlighters; the one that marks nothing and the marks of one that is gone are left out."""
+    item = text.place_of(F.col("book"), F.col("chapter"), F.col("verse"))
+    rows = annotate.nested_highlights(of_marks(spark, sf_dir), of_pens(spark, sf_dir), item, ["book", "chapter", "verse", "id"])
+    return rows.select("highlighter_id", "label", "color", "page", F.array_join("items", "; ").alias("verses"))
 
 
 @query(

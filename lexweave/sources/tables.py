@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 
 def stored(parsed: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
@@ -18,15 +22,80 @@ def stored(parsed: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     return books, entries.select(F.xxhash64(F.col(source), "book", "sort_order").alias("id"), key.alias("book_id"), "chapter", "verse", "position_ref", "text", "sort_order")
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where none is set, a session on this machine alone gets a folder of its own; on a cluster that is an
+    error, as executors would write where nobody reads."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-lexweave-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` as computed now, kept in the shared folder; Spark's cleaner owns the files."""
+    _shared(df.sparkSession)
+    return df.checkpoint()
+
+
+def scratch(spark: SparkSession) -> str:
+    """The path of a new table in the shared folder. It goes when the session's file system is closed."""
+    at = f"{_shared(spark)}/staged-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
+def staged(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` as a table in the shared folder, in parts ``by`` columns, so that a filter on these reads its own part alone."""
+    at = scratch(df.sparkSession)
+    (df.write.partitionBy(*by) if by else df.write).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at).select(*df.columns)
+
+
 def save(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Replaces a table. A job that fails leaves no half-written one: Spark commits output when all tasks are done."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Adds rows to a table."""
-    df.write.mode("append").parquet(path)
+def save_counted(df: DataFrame, path: str, by: list[str] | None = None, **counts: Column) -> dict[str, int]:
+    """:func:`save`, and what ``counts`` (aggregates) are over the rows written, taken in the pass that writes them."""
+    seen = Observation()
+    save(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), path, by)
+    return seen.get
+
+
+#: The column that tells batches of a table apart.
+BATCH = "batch_id"
+
+
+def append(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Adds the rows of a batch to a table, once however often it is run: a batch is a part of the table of its own, which a rerun replaces. A run
+    that fails leaves the table as it was, as Spark commits a part when all its tasks are done. A batch without rows adds and replaces nothing.
+    Without a name for the batch rows are added to a table that has no batches, and again by a rerun."""
+    if batch is None:
+        df.write.mode("append").parquet(path)
+    else:
+        df.withColumn(BATCH, F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+
+
+def appended(spark: SparkSession, path: str) -> DataFrame:
+    """A table of batches, without their names."""
+    return spark.read.option("basePath", path).parquet(path).drop(BATCH)
+
+
+def append_stream(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """A stream's micro-batches added to a table: one that is run again after a failure replaces what it had written."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: append(df, path, f"{n:012d}"))
+
+
+def save_tokens(tokens: DataFrame, path: str) -> None:
+    """A token table (entry_id, place, token) in the order of tokens, in ranges, with Parquet's Bloom filters on them: a reader that asks for some
+    tokens passes over the row groups without them."""
+    in_order = tokens.repartitionByRange("token", "entry_id").sortWithinPartitions("token", "entry_id", "place")
+    in_order.write.mode("overwrite").option("parquet.bloom.filter.enabled#token", "true").parquet(path)
 
 
 def save_document(blocks: DataFrame, path: str) -> None:

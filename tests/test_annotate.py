@@ -15,9 +15,10 @@ def test_no_event_is_left_out(spark):
 
 
 def test_places_need_no_single_task(spark):
-    for name in ("note_order_nulls_last", "notes_export"):
-        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-        assert "row_number() windowspecdefinition(_" in plan or "row_number() windowspecdefinition(event_type" in plan
+    """No window runs over all rows, and no exchange brings all of them together."""
+    for name in ("note_order_nulls_last", "notes_export", "highlights_listed", "highlights_nested", "concordance_ranked"):
+        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and "Window [" not in plan, name
 
 
 def test_places_with_nulls(spark):
