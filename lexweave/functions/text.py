@@ -53,7 +53,8 @@ def tokens(text: Column) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, _UPPER, _LOWER)
+    """A-Z in lower case, all else as it is."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
 def trimmed(text: Column) -> Column:

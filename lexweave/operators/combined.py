@@ -33,17 +33,15 @@ def asked(queries: DataFrame) -> DataFrame:
         F.when(F.size("all") > 0, F.concat(F.lit("t"), longest)),
         F.when(F.col("q") != "", F.when(F.col("number").isNotNull(), F.concat(F.lit("n"), "number")).otherwise(F.concat(F.lit("p"), start))),
     )
-    term = F.replace(ascii_lower(F.col("q")), F.lit("\\"), F.lit("\\\\"))
-    return rows.select("query_id", phrases.alias("phrases"), term.alias("term"), "number", F.explode(F.array_compact(keys)).alias("key"))
+    term = ascii_lower(F.col("q"))
+    pattern = F.when(F.col("q").rlike(r"[%_]"), F.replace(term, F.lit("\\"), F.lit("\\\\")))
+    return rows.select("query_id", phrases.alias("phrases"), term.alias("term"), pattern.alias("pattern"), "number", F.explode(F.array_compact(keys)).alias("key"))
 
 
-def _keys(words: Column, found: Column) -> Column:
-    """The keys of an entry with these tagged words and tokens."""
-    starts = lambda w: F.split(ascii_lower(w["surface_text"]), " ")
-    prefixes = lambda x: F.transform(F.sequence(F.lit(0), F.lit(PREFIX)), lambda n: F.concat(F.lit("p"), F.substr(x, F.lit(1), n)))
-    of_starts = F.flatten(F.transform(F.array_distinct(F.flatten(F.transform(words, starts))), prefixes))
-    numbers = F.transform(F.flatten(F.transform(words, lambda w: w["numbers"])), lambda x: F.concat(F.lit("n"), x))
-    return F.array_distinct(F.concat(F.transform(found, lambda t: F.concat(F.lit("t"), t)), of_starts, numbers))
+def _starts(low: Column) -> Column:
+    """The keys of a word's starts, at its own and after each space."""
+    of = lambda x: F.array(*[F.concat(F.lit("p"), F.substring(x, 1, n)) for n in range(PREFIX + 1)])
+    return F.when(F.contains(low, F.lit(" ")), F.flatten(F.transform(F.split(low, " "), of))).otherwise(of(low))
 
 
 def combined(entries: DataFrame, queries: DataFrame, cap: int = 200) -> DataFrame:
@@ -55,33 +53,45 @@ def combined(entries: DataFrame, queries: DataFrame, cap: int = 200) -> DataFram
     ``slots``: how many words these are in all. In terms ASCII letters match in either case and ``%`` and ``_`` are wildcards. Null texts and
     words hold nothing; places are whole numbers, ties are ranked by id.
     """
-    e = entries.select("id", "source", F.col("place").cast("long").alias("place"), tokens(F.coalesce("text", F.lit(""))).alias("found"), "words")
-    e = e.withColumn("words", F.coalesce("words", F.array().cast(entries.schema["words"].dataType)))
-    keyed = e.select("id", "source", "place", "words", _padded(F.col("found")).alias("padded"), F.explode_outer(_keys(F.col("words"), F.col("found"))).alias("key"))
-    met = keyed.join(asked(queries), "key")
-
+    words_type = entries.schema["words"].dataType
+    words = F.coalesce("words", F.array().cast(words_type))
+    e = entries.select("id", "source", F.col("place").cast("long").alias("place"), words.alias("words"), tokens(F.coalesce("text", F.lit(""))).alias("found"))
+    e = e.withColumn("padded", _padded(F.col("found")))
+    # Outer explodes and filters after them: below an inner one, Spark would work out the same once more to filter rows. What is worked out for an entry
+    # goes into its items: beside them, Spark would work it out for each of them.
+    no_word = F.lit(None).cast(words_type.elementType)
+    by_token = F.transform(F.array_distinct("found"), lambda t: F.struct(F.concat(F.lit("t"), t).alias("token"), F.col("padded"), no_word.alias("word")))
+    by_word = F.transform("words", lambda w: F.struct(F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("padded"), w.alias("word")))
+    each = e.select("id", "source", "place", F.explode_outer(F.concat(by_token, by_word)).alias("x"))
+    each = each.select("id", "source", "place", "x.token", "x.padded", ascii_lower(F.col("x.word.surface_text")).alias("low"), F.col("x.word.numbers").alias("numbers"))
+    of_word = F.array_distinct(F.concat(_starts(F.col("low")), F.transform("numbers", lambda x: F.concat(F.lit("n"), x))))
+    each = each.select("id", "source", "place", "padded", "low", "numbers", F.explode_outer(F.when(F.col("token").isNotNull(), F.array("token")).otherwise(of_word)).alias("key"))
     in_text = F.col("key").startswith("t")
+    met = each.join(asked(queries), "key")
+
     held = F.forall("phrases", lambda p: F.contains("padded", p))
-    low = lambda w: ascii_lower(w["surface_text"])
-    at_start = lambda w: F.like(low(w), F.concat("term", F.lit("%"))) | F.like(low(w), F.concat(F.lit("% "), "term", F.lit("%")))
-    tagged = F.filter("words", lambda w: F.when(F.col("number").isNotNull(), F.array_contains(w["numbers"], F.col("number"))).otherwise(at_start(w)))
-    fact = lambda part, source, item, n: F.struct(F.lit(part).alias("part"), source.alias("source"), item.alias("item"), n.cast("long").alias("n"))
-    none, one = F.lit(None).cast("string"), F.lit(1)
-    numbers = F.flatten(F.transform("tagged", lambda w: F.filter(w["numbers"], lambda x: F.coalesce(x == F.col("number"), F.lit(True)))))
-    facts = F.when(in_text, F.array(fact("hit", F.col("source"), none, one))).otherwise(
-        F.concat(F.array(fact("slots", none, none, F.size("tagged"))), F.transform(numbers, lambda x: fact("number", F.col("source"), x, one)))
+    # A pattern that is not the same for all rows is compiled for each: only terms with wildcards are matched as patterns.
+    wild = F.like("low", F.concat("pattern", F.lit("%"))) | F.like("low", F.concat(F.lit("% "), "pattern", F.lit("%")))
+    plain = F.startswith("low", "term") | F.contains("low", F.concat(F.lit(" "), "term"))
+    tagged = F.col("number").isNotNull() | F.when(F.col("pattern").isNotNull(), wild).otherwise(plain)  # a number's key is the number
+    none, one = F.lit(None).cast("string"), F.lit(1).cast("long")
+    fact = lambda part, source, item: F.struct(F.lit(part).alias("part"), source.alias("source"), item.alias("item"), one.alias("n"))
+    numbers = F.filter("numbers", lambda x: F.coalesce(x == F.col("number"), F.lit(True)))
+    facts = F.when(in_text, F.when(held, F.array(fact("hit", F.col("source"), none)))).when(
+        tagged, F.concat(F.array(fact("slots", none, none)), F.transform(numbers, lambda x: fact("number", F.col("source"), x)))
     )
-    rows = met.where(~in_text | held).withColumn("tagged", F.when(~in_text, tagged)).where(in_text | (F.size("tagged") > 0))
-    rows = rows.select("query_id", F.struct("place", "id").alias("at"), F.explode(facts).alias("f")).select("query_id", "at", "f.*")
+    rows = met.select("query_id", F.struct("place", "id").alias("at"), F.explode_outer(facts).alias("f")).select("query_id", "at", "f.*").where("part IS NOT NULL")
 
     is_hit = F.col("part") == "hit"
     page = F.when(is_hit, F.floor(F.col("at.place") / PAGE))
-    pages = rows.groupBy("query_id", "part", "source", "item", page.alias("page")).agg(F.sum("n").alias("n"), F.collect_list(F.when(is_hit, F.col("at"))).alias("at"))
+    # First all is counted by plain keys; lists, which Spark gathers by sorting, are then made of what that leaves.
+    counted = rows.groupBy("query_id", "part", "source", "item", page.alias("page"), F.when(is_hit, F.col("at")).alias("at")).agg(F.sum("n").alias("n"))
+    pages = counted.groupBy("query_id", "part", "source", "item", "page").agg(F.sum("n").alias("n"), F.collect_list("at").alias("at"))
     group = Window.partitionBy("query_id", "part", "source", "item")
     former = F.coalesce(F.sum("n").over(group.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = lambda part, item, n: F.struct(F.lit(part).alias("part") if isinstance(part, str) else part.alias("part"), item.alias("item"), n.cast("long").alias("n"))
     hits = F.transform(F.slice(F.array_sort("at"), F.lit(1), F.greatest(F.lit(cap) - F.col("former"), F.lit(0)).cast("int")), lambda x, i: out("hit", x["id"].cast("string"), F.col("former") + i + 1))
     total = F.when(F.col("former") == 0, F.array(out("total", none, F.col("total")))).otherwise(F.slice(F.array(out("total", none, F.lit(0))), 1, 0))
     answer = F.when(is_hit, F.concat(hits, total)).otherwise(F.array(out(F.col("part"), F.col("item"), F.col("n"))))
-    counted = pages.withColumns({"former": former, "total": F.sum("n").over(group)})
-    return counted.select("query_id", "source", F.explode(answer).alias("a")).select("query_id", "a.part", "source", "a.item", "a.n")
+    placed = pages.withColumns({"former": former, "total": F.sum("n").over(group)})
+    return placed.select("query_id", "source", F.explode(answer).alias("a")).select("query_id", "a.part", "source", "a.item", "a.n")
