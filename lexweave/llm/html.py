@@ -28,8 +28,10 @@ INLINE = set(
     "sub sup time tt u var wbr".split()
 )
 LEFT_OUT = RAW | set(
-    "nav footer aside form button select option input dialog menu fieldset svg canvas object audio video map head datalist".split()
+    "nav footer button select option input dialog menu svg canvas object audio video map head datalist".split()
 )
+#: Elements that fall out unless the page's main text is in them: some pages stand in one form as a whole.
+WRAPPERS = {"form", "fieldset", "aside"}
 CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
     "main menu nav ol p pre section summary table ul".split()
@@ -57,14 +59,15 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
+_CLASS = re.compile(r"""\bclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "unlikely", "points", "held", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "children", "out", "unlikely", "attrs", "points", "held", "chars", "link_chars")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool, unlikely: bool = False):
-        self.tag, self.parent, self.children, self.out, self.unlikely = tag, parent, [], out, unlikely
+    def __init__(self, tag: str, parent: Node | None, out: bool, unlikely: bool = False, attrs: str = ""):
+        self.tag, self.parent, self.children, self.out, self.unlikely, self.attrs = tag, parent, [], out, unlikely, attrs
         self.points, self.held, self.chars, self.link_chars = 0.0, 0.0, 0, 0
 
 
@@ -73,12 +76,12 @@ def judged(tag: str, attrs: str, within_main: bool) -> tuple[bool, bool]:
     if tag in LEFT_OUT or tag == "header" and not within_main:
         return True, False
     if not attrs or tag in NEVER_UNLIKELY:
-        return False, False
+        return False, tag in WRAPPERS
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     if a.get("role", "").lower() in UNLIKELY_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or _HIDDEN.search(a.get("style", "")):
         return True, False
     names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()
-    return False, not UNLIKELY.isdisjoint(_WORDS.findall(names))
+    return False, tag in WRAPPERS or not UNLIKELY.isdisjoint(_WORDS.findall(names))
 
 
 def tag_end(html: str, at: int, last: dict[str, int]) -> int:
@@ -175,7 +178,7 @@ def parsed(html: str) -> Node:
             if opened[old] and (node := within(at, {old}, BOUNDS)) is not None:
                 at = left(node)
         out, unlikely = judged(tag, attrs, opened["article"] > 0 or opened["main"] > 0)
-        node = Node(tag, at, at.out or out, unlikely)
+        node = Node(tag, at, at.out or out, unlikely, attrs)
         at.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, pos)
@@ -226,27 +229,57 @@ def measured(root: Node) -> list[Node]:
     return order
 
 
+def inside(node: Node, outer: Node) -> bool:
+    while node is not None and node is not outer:
+        node = node.parent
+    return node is outer
+
+
 def without_unlikely(root: Node) -> None:
-    """Drops elements whose class sounds like no main text, but for one that holds most of the page's paragraph points, or of its
-    characters on a page without paragraphs."""
+    """Drops elements whose class sounds like no main text, and forms and the like, but for one that holds most of the page's paragraph points, or of
+    its characters on a page without paragraphs. A form or the like beside an article goes in any case, and on a page without paragraphs."""
     order = measured(root)
+    articles = [n for n in order if n.tag in ("article", "main") and n.held]
     for node in order:
         if node.parent is not None and node.parent.out:
             node.out = True
         elif node.unlikely:
-            node.out = node.held < MOST * root.held if root.held else node.chars < MOST * root.chars
+            node.out = node.held < MOST * root.held if root.held else node.tag in WRAPPERS or node.chars < MOST * root.chars
+            if node.tag in WRAPPERS and not node.out:
+                node.out = not all(inside(a, node) or inside(node, a) for a in articles)
 
 
-def scored(root: Node) -> Node:
-    """Deals out the points; the best container."""
+def scored(root: Node) -> tuple[Node, list[Node]]:
+    """Deals out the points; the best container, and all elements."""
     without_unlikely(root)
-    best = None
-    for node in measured(root):
+    best, order = None, measured(root)
+    for node in order:
         if node.chars and node.tag not in INLINE and node.tag not in ("p", "#root", "html") and not is_heading(node.tag):
             node.points = (node.points + TAG_POINTS.get(node.tag, 0.0)) * (1 - node.link_chars / node.chars)
             if best is None or node.points > best.points:
                 best = node
-    return best or root
+    return best or root, order
+
+
+def same_kind(a: Node, b: Node) -> bool:
+    return a.tag == b.tag and _CLASS.findall(a.attrs) == _CLASS.findall(b.attrs)
+
+
+def cousins(best: Node, order: list[Node]) -> list[Node]:
+    """Containers like the best one in other branches, which an article that is cut in parts has: as strong as a sibling must be, and of the same tag and
+    classes, as are all elements around them up to one that holds both. The strongest under each parent."""
+    found: dict[int, Node] = {}
+    for node in order:
+        if node is best or node.out or node.points < max(10.0, 0.2 * best.points) or node.link_chars >= 0.5 * node.chars:
+            continue
+        x, y = node, best
+        while x.parent is not None and y.parent is not None and x.parent is not y.parent and same_kind(x, y):
+            x, y = x.parent, y.parent
+        if x is not node and x is not y and x.parent is y.parent and same_kind(x, y):
+            old = found.get(id(node.parent))
+            if old is None or node.points > old.points:
+                found[id(node.parent)] = node
+    return list(found.values())
 
 
 def stands_alone(chars: int, links: float, best: Node) -> bool:
@@ -307,7 +340,20 @@ def text_of(nodes: list[Node | str]) -> str:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    return text_of(around(scored(parsed(html))))
+    root = parsed(html)
+    best, order = scored(root)
+    parts = {id(n) for n in [best, *cousins(best, order)]}
+    if len(parts) == 1:
+        return text_of(around(best))
+    out: list[Node | str] = []
+    stack: list[Node] = [root]
+    while stack:  # in the order of the page
+        node = stack.pop()
+        if id(node) in parts:
+            out += around(node)
+        else:
+            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return text_of(out)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

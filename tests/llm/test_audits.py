@@ -235,3 +235,43 @@ def test_words_in_pieces(size):
         want = WORD.findall(text.translate(LOWER))
         assert [w.decode() for p in tokens.pieces(text.encode(), size) for w in p.split()] == want
         assert np.concatenate([np.zeros(0, int), *tokens.numbered(memoryview(text.encode()), {b"one": 1, b"c": 2}, size)]).tolist() == [{"one": 1, "c": 2}.get(w, 0) for w in want]
+
+
+PARAGRAPHS = "".join(f"<p>Paragraph {i}, with a good many words in it, so that it counts, as it should, for main text.</p>" for i in range(5))
+PLAIN = " ".join(re.findall(r"<p>(.*?)</p>", PARAGRAPHS))
+WHOLE = [
+    f"<body><form><div>{PARAGRAPHS}</div></body>",
+    f"<body><form id=aspnet><nav><a href=u>menu</a></nav><div>{PARAGRAPHS}<fieldset><input><p>A short field, to be filled in, by all.</p></fieldset></div></form></body>",
+    f"<body><nav>x</nav><fieldset><div>{PARAGRAPHS}</div></fieldset><form><p>Say what you think about it, if you like to.</p></form></body>",
+    f"<body><article>{PARAGRAPHS}</article><form><div>{PARAGRAPHS * 40}</div></form></body>",
+    f"<body><main>{PARAGRAPHS}</main><aside><div>{PARAGRAPHS * 9}</div></aside></body>",
+]
+
+
+@pytest.mark.parametrize("page", WHOLE)
+def test_forms_around_and_beside_main_text(page):
+    """A form that is around the main text stays, one beside it goes, however long."""
+    from lexweave.llm import html
+
+    assert html.main_text(page) == PLAIN
+
+
+def test_articles_in_parts():
+    """Parts in other branches are kept if all around them is alike; comments, menus and lists of links are not."""
+    from lexweave.llm import html
+
+    page = f"<body><div class=page><div><h1>T</h1>{PARAGRAPHS}</div></div><div class=ad><div>{PARAGRAPHS}</div></div><div class=page><div>{PARAGRAPHS}</div></div><div class=thread><div>{PARAGRAPHS}</div></div></body>"
+    assert html.main_text(page) == f"T {PLAIN} {PLAIN}"
+    links = PARAGRAPHS.replace("<p>", "<p><a href=u>").replace("</p>", "</a></p>")
+    assert html.main_text(f"<body><div class=page><div>{PARAGRAPHS}</div></div><div class=page><div>{links}</div></div></body>") == PLAIN
+    deep = f"<section class='a b'><div><div id=x1>{PARAGRAPHS}</div></div></section>"
+    assert html.main_text(f"<body>{deep}<section><div><div>{PARAGRAPHS}</div></div></section>{deep.replace('x1', 'x2')}</body>") == f"{PLAIN} {PLAIN}"
+
+
+def test_pages_without_article(spark):
+    """Scoring alone finds what the element says: pages whose article is made a plain block."""
+    from lexweave.llm import html
+    from oracle import SF
+
+    for (page,) in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect():
+        assert html.main_text(re.sub(r"<(/?)article\b", r"<\1div", page)) == html.main_text(page)
