@@ -355,11 +355,16 @@ _CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
 _WINDOWS = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
 
 
+def from_windows(raw: Column) -> Column:
+    """Bytes as Windows-1252."""
+    return F.translate(F.decode(raw, "ISO-8859-1"), _CONTROLS, _WINDOWS)
+
+
 def decoded(content: Column | str) -> Column:
     """Bytes as UTF-8, without its mark, else as Windows-1252. Null stays null."""
     raw = F.col(content) if isinstance(content, str) else content
     text = raw.cast("string")
-    return F.when(F.is_valid_utf8(text), F.regexp_replace(text, "^\ufeff", "")).otherwise(F.translate(F.decode(raw, "ISO-8859-1"), _CONTROLS, _WINDOWS))
+    return F.when(F.is_valid_utf8(text), F.regexp_replace(text, "^\ufeff", "")).otherwise(from_windows(raw))
 
 
 def base_name(path: Column) -> Column:

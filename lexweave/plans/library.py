@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexweave.functions import names, text
 from lexweave.operators import annotate, concordance, library, places, search
 from lexweave.plans.base import query, table, values
+from lexweave.sources import manifest
 
 LIBRARY = """sources AS (SELECT r_regionkey::BIGINT AS id, r_name AS title, CASE WHEN r_regionkey % 2 = 1 THEN 'bible' ELSE 'reference' END AS type FROM region),
 books AS (SELECT n_nationkey::BIGINT AS id, n_regionkey::BIGINT AS source_id, n_name AS name, n_nationkey AS sort_order FROM nation),
@@ -159,6 +160,21 @@ def not_installed(spark, sf_dir):
     return library.not_installed(manifest.unionByName(values(spark, "title string, requires string", ("EUROPE", None))), of_library(spark, sf_dir)[0]).select("title", "requires")
 
 
+_TEXTS = ", ".join(f"({i}, '{t[0]}', '{t[1]}', NULL)" for i, t in enumerate(manifest.TEXTS)) + ", " + ", ".join(f"(100, '{i}', '{t}', '{r}')" for i, t, r in manifest.ADDONS)
+
+
+@query(
+    f"WITH m AS (SELECT * FROM (VALUES {_TEXTS}) m(i, id, title, requires)), s AS (SELECT DISTINCT m.title FROM orders JOIN m ON m.i = o_custkey % 9) "
+    "SELECT id, title FROM m WHERE title NOT IN (SELECT title FROM s) AND (requires IS NULL OR requires IN (SELECT title FROM s))"
+)
+def catalogue_open(spark, sf_dir):
+    """What of the catalogue is not among the sources: orders name nine of its texts."""
+    rows = manifest.manifest(spark)
+    named = F.element_at(F.array(*[F.lit(t[1]) for t in manifest.TEXTS]), (F.col("o_custkey") % 9 + 1).cast("int"))
+    sources = table(spark, sf_dir, "orders").select(named.alias("title")).distinct()
+    return library.not_installed(rows, sources).select("id", "title")
+
+
 @query("SELECT n_name AS label FROM nation")
 def seeded_once(spark, sf_dir):
     """Rows that a flag lets in the first time, and none the second."""
