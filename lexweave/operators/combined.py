@@ -2,7 +2,7 @@
 
 An entry gives the keys under which a query could find it: its tokens, the first characters of its tagged words, and their numbers. A query is looked for
 under one key of each kind: its longest token, the start of its term, or its number. What meets under a key is then matched in full. All that is found
-goes through one aggregation. Hits are gathered by pages, fixed ranges of places, so that what a source holds of a query is never one row and
+goes through one aggregation. Queries that look for the same are looked for once. Hits are gathered by pages, fixed ranges of places, so that what a source holds of a query is never one row and
 a source's first hits are found by counting pages.
 """
 
@@ -22,8 +22,8 @@ def _padded(tokens_: Column) -> Column:
 
 
 def asked(queries: DataFrame) -> DataFrame:
-    """A row for each of the keys under which a query (query_id, query) looks for entries, with its phrases, term and number. Queries without a token
-    have no key for texts, blank ones none at all."""
+    """A row for each of the keys under which a query (query_id, query) looks for entries, with its phrases, term and number, and with ``ask``: what it
+    looks for under the key, the same for queries that look for the same. Queries without a token have no key for texts, blank ones none at all."""
     query = trimmed(F.coalesce("query", F.lit("")))
     rows = queries.select("query_id", query.alias("q"), tokens(query).alias("all"), number_query(query).alias("number"))
     phrases = F.filter(F.transform(F.split("q", r"(?U)\s+"), lambda t: _padded(tokens(t))), lambda p: trimmed(p) != "")
@@ -35,7 +35,11 @@ def asked(queries: DataFrame) -> DataFrame:
     )
     term = ascii_lower(F.col("q"))
     pattern = F.when(F.col("q").rlike(r"[%_]"), F.replace(term, F.lit("\\"), F.lit("\\\\")))
-    return rows.select("query_id", phrases.alias("phrases"), term.alias("term"), pattern.alias("pattern"), "number", F.explode(F.array_compact(keys)).alias("key"))
+    rows = rows.select("query_id", F.array_sort(phrases).alias("phrases"), F.when(F.col("number").isNull(), term).alias("term"), pattern.alias("pattern"), "number", F.explode(F.array_compact(keys)).alias("key"))
+    in_text = F.col("key").startswith("t")
+    ask = F.when(in_text, F.concat(F.lit("t"), F.array_join("phrases", ""))).otherwise(F.concat(F.lit("w"), F.coalesce("number", "term")))
+    only = lambda c, there: F.when(there, F.col(c)).alias(c)
+    return rows.select("query_id", ask.alias("ask"), "key", only("phrases", in_text), only("term", ~in_text), only("pattern", ~in_text), only("number", ~in_text))
 
 
 def _starts(low: Column) -> Column:
@@ -67,7 +71,8 @@ def combined(entries: DataFrame, queries: DataFrame, cap: int = 200) -> DataFram
     of_word = F.array_distinct(F.concat(_starts(F.col("low")), F.transform("numbers", lambda x: F.concat(F.lit("n"), x))))
     each = each.select("id", "source", "place", "padded", "low", "numbers", F.explode_outer(F.when(F.col("token").isNotNull(), F.array("token")).otherwise(of_word)).alias("key"))
     in_text = F.col("key").startswith("t")
-    met = each.join(asked(queries), "key")
+    wanted = asked(queries)
+    met = each.join(wanted.drop("query_id").distinct(), "key")
 
     held = F.forall("phrases", lambda p: F.contains("padded", p))
     # A pattern that is not the same for all rows is compiled for each: only terms with wildcards are matched as patterns.
@@ -80,18 +85,19 @@ def combined(entries: DataFrame, queries: DataFrame, cap: int = 200) -> DataFram
     facts = F.when(in_text, F.when(held, F.array(fact("hit", F.col("source"), none)))).when(
         tagged, F.concat(F.array(fact("slots", none, none)), F.transform(numbers, lambda x: fact("number", F.col("source"), x)))
     )
-    rows = met.select("query_id", F.struct("place", "id").alias("at"), F.explode_outer(facts).alias("f")).select("query_id", "at", "f.*").where("part IS NOT NULL")
+    rows = met.select("ask", F.struct("place", "id").alias("at"), F.explode_outer(facts).alias("f")).select("ask", "at", "f.*").where("part IS NOT NULL")
 
     is_hit = F.col("part") == "hit"
     page = F.when(is_hit, F.floor(F.col("at.place") / PAGE))
     # First all is counted by plain keys; lists, which Spark gathers by sorting, are then made of what that leaves.
-    counted = rows.groupBy("query_id", "part", "source", "item", page.alias("page"), F.when(is_hit, F.col("at")).alias("at")).agg(F.sum("n").alias("n"))
-    pages = counted.groupBy("query_id", "part", "source", "item", "page").agg(F.sum("n").alias("n"), F.collect_list("at").alias("at"))
-    group = Window.partitionBy("query_id", "part", "source", "item")
+    counted = rows.groupBy("ask", "part", "source", "item", page.alias("page"), F.when(is_hit, F.col("at")).alias("at")).agg(F.sum("n").alias("n"))
+    pages = counted.groupBy("ask", "part", "source", "item", "page").agg(F.sum("n").alias("n"), F.collect_list("at").alias("at"))
+    group = Window.partitionBy("ask", "part", "source", "item")
     former = F.coalesce(F.sum("n").over(group.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = lambda part, item, n: F.struct(F.lit(part).alias("part") if isinstance(part, str) else part.alias("part"), item.alias("item"), n.cast("long").alias("n"))
     hits = F.transform(F.slice(F.array_sort("at"), F.lit(1), F.greatest(F.lit(cap) - F.col("former"), F.lit(0)).cast("int")), lambda x, i: out("hit", x["id"].cast("string"), F.col("former") + i + 1))
     total = F.when(F.col("former") == 0, F.array(out("total", none, F.col("total")))).otherwise(F.slice(F.array(out("total", none, F.lit(0))), 1, 0))
     answer = F.when(is_hit, F.concat(hits, total)).otherwise(F.array(out(F.col("part"), F.col("item"), F.col("n"))))
     placed = pages.withColumns({"former": former, "total": F.sum("n").over(group)})
-    return placed.select("query_id", "source", F.explode(answer).alias("a")).select("query_id", "a.part", "source", "a.item", "a.n")
+    answers = placed.select("ask", "source", F.explode(answer).alias("a"))
+    return answers.join(wanted.select("ask", "query_id"), "ask").select("query_id", "a.part", "source", "a.item", "a.n")

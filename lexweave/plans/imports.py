@@ -161,6 +161,44 @@ def parse_dispatched(spark, sf_dir):
     return texts.parsed(found).join(found.select("path", "kind"), "path")
 
 
+_KINDS = ("text", "json", "csv", "xml", "markdown", "tsv")
+_SIXTH = "o_custkey % 6"
+
+
+@query(
+    _parsed_sql(f"CASE WHEN {_SIXTH} = 0 THEN (o_orderkey % 7)::INT ELSE nullif((o_orderkey % 7)::INT, 0) END", f"CASE WHEN {_SIXTH} = 0 THEN (o_custkey % 6)::INT ELSE nullif((o_custkey % 6)::INT, 0) END", "o_orderpriority", f"{_SIXTH} < 4")
+    + f" UNION ALL SELECT 'f' || o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 'F' || o_custkey, NULL, NULL, CASE WHEN {_SIXTH} = 4 THEN 'H' || o_orderkey ELSE 'Row ' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END, CASE WHEN {_SIXTH} = 4 THEN o_orderpriority ELSE 'r' || o_orderkey || ' — ' || o_orderpriority END FROM orders WHERE {_SIXTH} > 3"
+)
+def parse_every_kind(spark, sf_dir):
+    """Files of six kinds through one parser, a kind for each sixth of the customers."""
+    name, ch, v, said = F.col("name"), F.col("ch"), F.col("v"), F.col("said")
+    code = F.when(name == "gen", "Gen").when(name == "II Kings", "2Kgs").when(name == "Psalm", "Ps").when(name == "1 cor", "1Cor").otherwise("Nope")
+    line = {
+        "text": F.concat(name, F.lit(" "), ch, F.lit(":"), v, F.lit(" "), said), "json": F.to_json(F.struct(name.alias("book"), ch.alias("chapter"), v.alias("verse"), said.alias("text"))),
+        "csv": F.concat_ws(",", name, ch, v, said), "xml": F.concat(F.lit('<verse osisID="'), code, F.lit("."), ch, F.lit("."), v, F.lit('">'), said, F.lit("</verse>")),
+        "markdown": F.concat(F.lit("# H"), F.col("i").cast("string"), F.lit("\n\n"), said), "tsv": F.concat(F.lit("r"), F.col("i").cast("string"), F.lit("\t"), said),
+    }
+    around = {"text": ("", "\n", ""), "json": ("[", ",", "]"), "csv": ("book,chapter,verse,text\n", "\n", ""), "xml": ("<osis>", "", "</osis>"), "markdown": ("", "\n", ""), "tsv": ("", "\n", "")}
+    rows, sixth = _orders(spark, sf_dir), F.col("path").substr(2, 9).cast("int") % 6
+    pick = lambda of: F.element_at(F.array(*[of(k) for k in _KINDS]), sixth + 1)
+    body = F.transform(F.sort_array(F.collect_list(F.struct("i", pick(line.get).alias("line")))), lambda x: x["line"])
+    files = rows.groupBy("path").agg(body.alias("lines")).select("path", F.upper("path").alias("title"), pick(F.lit).alias("kind"), F.lit(None).cast("binary").alias("content"), "lines")
+    text_ = F.concat(pick(lambda k: F.lit(around[k][0])), F.array_join("lines", "\u0001"), pick(lambda k: F.lit(around[k][2])))
+    return texts.parsed(files.withColumn("text", F.replace(text_, F.lit("\u0001"), pick(lambda k: F.lit(around[k][1])))).drop("lines"))
+
+
+@query(
+    f"WITH k AS (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 4 IN (0, 2)) SELECT 'f' || o_custkey AS path, CASE o_custkey % 4 WHEN 0 THEN '{texts.NO_JSON}' ELSE '{texts.FAILED}' END AS warning FROM k"
+)
+def import_unparsed(spark, sf_dir):
+    """Files that are no JSON, JSON of no known shape, markup that breaks off, and good ones: what an import says of each."""
+    fourth = F.col("path").substr(2, 9).cast("int") % 4
+    body = F.when(fourth == 0, "{x").when(fourth == 1, F.concat(F.lit('{"a": '), F.col("n").cast("string"), F.lit("}"))).when(fourth == 2, "<t>").otherwise('[{"book": "gen", "chapter": 1, "verse": 2, "text": "t"}]')
+    rows = _orders(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n"))
+    found = rows.select("path", F.upper("path").alias("title"), F.when(fourth == 2, "xml").otherwise("json").alias("kind"), F.lit(None).cast("binary").alias("content"), body.alias("text"))
+    return texts.unparsed(found, texts.parsed(found))
+
+
 @query(
     "SELECT 'f' || o_custkey AS name, sum(c)::BIGINT AS n, count(*) AS books, min(least_order)::BIGINT AS first FROM (SELECT o_custkey, " + _BOOKS + " AS book, count(*) AS c, 0 AS least_order FROM orders GROUP BY ALL) GROUP BY o_custkey"
 )

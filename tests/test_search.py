@@ -71,7 +71,7 @@ ENTRIES = [
     (1, "A", 0, "God so LOVED the world", ["Love", "beloved", "true love"]), (2, "A", 1, "well then known", ["love_it"]), (3, "A", 5000, "a well-known fact", []), (4, "B", 0, "Café world", ["love"]), (5, "B", 1, None, None), (6, None, 1, "the world", ["in  the", "Lo"]),
     *[(10 + i, "C", 3 * i, "world of one", []) for i in range(3000)],
 ]
-ASKED = [(0, "loved world"), (1, "known well"), (2, "well-known"), (3, "cafe"), (4, "..."), (5, "love"), (6, "h02"), (7, " "), (8, None), (9, "world"), (10, "LO"), (11, "lo%e"), (12, "the"), (13, "l_ve")]
+ASKED = [(0, "loved world"), (1, "known well"), (2, "well-known"), (3, "cafe"), (4, "..."), (5, "love"), (6, "h02"), (7, " "), (8, None), (9, "world"), (10, "LO"), (11, "lo%e"), (12, "the"), (13, "l_ve"), (14, "world  LOVED"), (15, "lo"), (16, "H2")]
 
 
 def test_many_queries_at_once(spark):
@@ -91,7 +91,7 @@ def test_many_queries_at_once(spark):
             if phrases and all(f" {' '.join(p)} " in padded for p in phrases):
                 hits.setdefault(source, []).append(str(i))
             term = (query or "").strip().lower()
-            number = "H2" if term == "h02" else None
+            number = "H2" if term in ("h02", "h2") else None
             like = re.compile("".join("." if c == "_" else ".*" if c == "%" else re.escape(c) for c in term))
             for k, x, numbers in tags(w or []):
                 if term and (number in numbers if number else any(like.match(x.lower()[at:]) for at in [0, *[m.end() for m in re.finditer(" ", x)]])):
@@ -105,7 +105,7 @@ def test_many_queries_at_once(spark):
     flat = {k: sorted(((s, i, n if isinstance(n, int) else len(n)) for (s, i), n in v.items()), key=str) for k, v in want.items()}
     assert {k: sorted(v, key=str) for k, v in got.items()} == flat
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("ExistingRDD") + plan.count("LogicalRDD") == 2  # the entries and the queries, once each
+    assert plan.count("ExistingRDD") + plan.count("LogicalRDD") == 3  # the entries once, the queries before and after
 
 
 def test_tokens_table(spark, tmp_path):
