@@ -103,10 +103,11 @@ def _pairs(groups: DataFrame, vocabulary: DataFrame, kept: DataFrame) -> DataFra
     dense = zeros.union(counted).repartition("term_id").groupBy("term_id", "group_id", "total", "n_terms").agg(F.sum("n").alias("n"))
     one = dense.select("term_id", "group_id", share(F.col("n"), F.col("total"), F.col("n_terms")).alias("p"))
     other = one.select("term_id", F.col("group_id").alias("other_id"), F.col("p").alias("q"))
-    far = (
-        one.join(other, "term_id").where("group_id <> other_id")
-        .groupBy("group_id", "other_id").agg(F.sum(departure(F.col("p"), F.col("q"))).alias("value"))
-    )
+    # Each two sources meet once a term, and both sums are taken there.
+    p, q = F.col("p"), F.col("q")
+    both = one.join(other, "term_id").where("group_id < other_id").groupBy("group_id", "other_id").agg(F.sum(departure(p, q)).alias("there"), F.sum(departure(q, p)).alias("back"))
+    way = lambda a, b, value: F.struct(F.col(a).alias("group_id"), F.col(b).alias("other_id"), F.col(value).alias("value"))
+    far = both.select(F.explode(F.array(way("group_id", "other_id", "there"), way("other_id", "group_id", "back"))).alias("x")).select("x.*")
     item = groups.select(F.col("group_id").alias("other_id"), F.col("source").alias("item"))
     named = far.join(groups.select("group_id", "lang", "source"), "group_id").join(item, "other_id").select("lang", "source", "item", "value")
     bare = groups.where("n_terms = 0").select("lang", "source")

@@ -63,7 +63,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "", k
 
     Null text has size 0, a null source is a source of its own, rows of size 0 take nothing. Repeated rows are sampled
     each. No document is taken more than twice. An empty table gives an empty table. ``key``: a column that tells rows apart; it
-    comes along. Without it, rows of one source, size and doc_id (null too) are counted by one task.
+    comes along and orders rows of one doc_id. Rows of one source, size and doc_id (null too) are counted by one task. Very long texts are only
+    counted; other columns are not read, whatever their names.
     """
     keys = [key] if key else []
     src = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
@@ -75,7 +76,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "", k
 
     limit = max(CHUNK, (sizes.agg(F.sum("c")).first()[0] or 0) // MOST_CUT)
     cut = sizes.where(F.col("c") > limit).select("src", "size", F.ceil(F.col("c") / limit).cast("long").alias("n_chunks"))
-    drawn = F.conv(F.substring(F.md5(F.concat_ws(" ", *[F.col(k).cast("string") for k in ("doc_id", *keys)])), 1, 8), 16, 10).cast("long")
+    drawn = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
     chunk = F.shiftright(F.col("drawn") * F.coalesce("n_chunks", F.lit(1)), 32)
     placed = base.withColumn("drawn", drawn).join(F.broadcast(cut), ["src", "size"], "left").withColumn("chunk", chunk)  # at most MOST_CUT rows
 

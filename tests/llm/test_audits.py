@@ -183,7 +183,7 @@ def ranked(rows, items, k=10):
 ITEMS = [(0, "w1x1 w2x2 tail ONE"), (1, None), (2, "absent words"), (3, "one one TWO"), (3, "Été3"), (None, "école x"), (4, LONG), (5, "")]
 
 
-@pytest.mark.parametrize("terms", [1 << 16, 5])
+@pytest.mark.parametrize("terms", [1 << 16, 60])
 def test_search(spark, docs, monkeypatch, terms):
     """Also with items in several blocks."""
     monkeypatch.setattr(lexical, "TERMS", terms)
