@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-
 def _fold_table() -> tuple[str, str]:
     """Characters of the Basic Multilingual Plane that are a letter with marks, or one form of a letter, and the bare letters for them; then the
     marks, which have none and so go. By rule from Unicode's own decompositions."""
@@ -167,18 +166,22 @@ def _first_line(content: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.split(content, "\n"), lambda x: trimmed(x) != ""), 0), F.lit(""))
 
 
+# What stands where a note has no text, title or anchor.
+EMPTY_NOTE, UNTITLED, FREE = "(empty note)", "Untitled note", "Freeform"
+
+
 def preview(title: Column, content: Column) -> Column:
     """The title, else the first line with anything in it, without its Markdown marks, 60 characters of it; else ``(empty note)``."""
     line = F.regexp_replace(F.regexp_replace(_first_line(content), r"[#>*_`~]", ""), r"^\s*[-+]\s+", "")
     shown = F.substring(trimmed(line), 1, 60)
-    return F.when(F.coalesce(title, F.lit("")) != "", title).when(shown != "", shown).otherwise("(empty note)")
+    return F.when(F.coalesce(title, F.lit("")) != "", title).when(shown != "", shown).otherwise(EMPTY_NOTE)
 
 
 def menu_label(title: Column, content: Column, book: Column, chapter: Column, verse: Column) -> Column:
     """The title, else the place, else the start of the first line."""
     line = F.substring(trimmed(F.regexp_replace(_first_line(content), r"[#>*_`]", "")), 1, 40)
     place = F.when(book.isNotNull(), place_of(book, chapter, verse))
-    return F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(F.coalesce(place, F.when(line != "", line), F.lit("Untitled note")))
+    return F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(F.coalesce(place, F.when(line != "", line), F.lit(UNTITLED)))
 
 
 def place_of(book: Column, chapter: Column, verse: Column) -> Column:
@@ -213,7 +216,7 @@ def anchor_label(book: Column, chapter: Column, verse: Column) -> Column:
     """What a note is anchored to; says so where it is a whole chapter or book, or nothing."""
     place = place_of(book, chapter, verse)
     whole = F.when(verse.isNotNull(), "").when(chapter.isNotNull(), " (chapter)").otherwise(" (book)")
-    return F.when(book.isNull(), F.lit("Freeform")).otherwise(F.concat(place, whole))
+    return F.when(book.isNull(), F.lit(FREE)).otherwise(F.concat(place, whole))
 
 
 def aligned(text: Column, surfaces: Column) -> Column:

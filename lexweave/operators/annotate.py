@@ -198,11 +198,15 @@ def verses_markdown(verses: DataFrame, by: list[str]) -> DataFrame:
     return grouped.join(label, [*by, "book", "chapter"]).select(*by, F.concat(head, F.lit("\n>\n"), body).alias("markdown"))
 
 
+# Fixed value: what stands between two linked verses.
+LINKED = "\n\n🔗 *linked with*\n\n"
+
+
 def link_markdown(ends: DataFrame, by: list[str], side: str = "side") -> DataFrame:
     """Two verses (side 0 and 1) as quotations with ``linked with`` between them."""
     shown = verses_markdown(ends, [*by, side]).groupBy(*by)
     pick = lambda n: F.max(F.when(F.col(side) == n, F.col("markdown")))
-    return shown.agg(F.concat(pick(0), F.lit("\n\n🔗 *linked with*\n\n"), pick(1)).alias("markdown"))
+    return shown.agg(F.concat(pick(0), F.lit(LINKED), pick(1)).alias("markdown"))
 
 
 def imported_notes(files: DataFrame) -> DataFrame:

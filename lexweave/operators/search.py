@@ -78,12 +78,16 @@ def recent(rows: DataFrame, newest: str, key: str, n: int = 100) -> DataFrame:
     return rows.orderBy(F.desc(newest), key).limit(n)
 
 
+# Fixed value: the title under which hits in notes are listed.
+NOTES = "My Notes"
+
+
 def notes(rows: DataFrame, query: str, mode: str = "tokens", n: int = 100) -> DataFrame:
     """The latest notes with every term in title or content, each term in either; the snippet is the content's, without marks if only the title matches."""
     title, content = F.col("title"), F.col("content")
     found = rows.where(matches(query, title, content) if mode == "tokens" else F.coalesce(contains(query, content), F.lit(False)) | F.coalesce(contains(query, title), F.lit(False)))
     return recent(found, "updated_at", "id", n).select(
-        F.lit("note").alias("kind"), "id", F.lit(None).cast("long").alias("source_id"), F.lit("My Notes").alias("source_title"), F.col("anchor_book").alias("book"), F.col("anchor_chapter").cast("int").alias("chapter"),
+        F.lit("note").alias("kind"), "id", F.lit(None).cast("long").alias("source_id"), F.lit(NOTES).alias("source_title"), F.col("anchor_book").alias("book"), F.col("anchor_chapter").cast("int").alias("chapter"),
         F.col("anchor_verse").cast("int").alias("verse"), F.lit(None).cast("string").alias("position_ref"), (snippet(content, query_phrases(query)) if mode == "tokens" else content).alias("snippet"), "updated_at",
     )
 

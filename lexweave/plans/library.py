@@ -249,7 +249,7 @@ def lexicon_cards(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), card.alias("card"), definition.alias("definition"))
 
 
-@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey BETWEEN 1 AND 66 THEN ['Genesis', 'Exodus', 'Leviticus', 'Numbers', 'Deuteronomy', 'Joshua', 'Judges', 'Ruth', '1 Samuel', '2 Samuel', '1 Kings', '2 Kings', '1 Chronicles', '2 Chronicles', 'Ezra', 'Nehemiah', 'Esther', 'Job', 'Psalms', 'Proverbs', 'Ecclesiastes', 'Song of Solomon', 'Isaiah', 'Jeremiah'][n_nationkey] END AS book FROM nation")
+@query(f"SELECT n_nationkey AS id, CASE WHEN n_nationkey BETWEEN 1 AND 66 THEN {names.CANON}[n_nationkey] END AS book FROM nation")
 def book_of_number(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), names.book_of_number(F.col("n_nationkey")).alias("book"))
 

@@ -40,17 +40,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The path of a new table in the shared folder. It goes when the session's file system is closed."""
+    """The path of a new table in the shared folder, to be overwritten. It goes when the session's file system is closed."""
     at = f"{_shared(spark)}/staged-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
     return at
 
 
 def staged(df: DataFrame, *by: str) -> DataFrame:
     """``df`` as a table in the shared folder, in parts ``by`` columns, so that a filter on these reads its own part alone."""
     at = scratch(df.sparkSession)
-    (df.write.partitionBy(*by) if by else df.write).parquet(at)
+    save(df, at, [*by])
     return df.sparkSession.read.schema(df.schema).parquet(at).select(*df.columns)
 
 

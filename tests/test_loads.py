@@ -46,6 +46,17 @@ def test_counts_come_with_the_write(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/c").count() == 1000
 
 
+def test_a_staged_table_is_owned(spark):
+    """It is in parts by its columns, holds an empty table too, and is marked to go with the session."""
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "x int, k string")
+    out = tables.staged(df, "k")
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.collect())) and out.columns == df.columns
+    assert "PartitionFilters: [isnotnull(k" in out.where("k = 'a'")._jdf.queryExecution().executedPlan().toString()
+    assert tables.staged(df.limit(0), "k").collect() == [] and tables.staged(df).count() == 3
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables.scratch(spark))
+    assert path.getFileSystem(spark._jsc.hadoopConfiguration()).cancelDeleteOnExit(path)
+
+
 def test_places(spark):
     """Of all rows, with nulls, ties that the last key tells apart, and a key that has most of them."""
     rows = [(None if i % 5 == 0 else "hot" if i % 3 else f"k{i % 11}", i % 4, i) for i in range(2000)]
