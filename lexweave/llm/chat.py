@@ -110,7 +110,7 @@ def neighbours(turns: DataFrame) -> DataFrame:
 
 def preference_digest(turns: DataFrame) -> DataFrame:
     """Per conversation: its prompt, and its last answer whole and broken off. Rows with a null conv_id fall out; null roles and texts
-    count as empty; equal turns are ordered by role and text, repeated ones stay."""
+    count as empty; equal turns are ordered by role and text, repeated ones stay. Texts are not escaped: one that holds a role's line looks like a turn."""
     return preference_pairs(cut_answers(turns)).select(
         "pair_id", "n_prompt_turns", "prompt", "chosen_completion", "rejected_completion",
         F.to_json("chosen_masks").alias("chosen_masks"), F.to_json("rejected_masks").alias("rejected_masks"),

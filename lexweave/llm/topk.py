@@ -94,8 +94,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """The k rows of ``vectors`` (vec_id, embedding) with the highest inner product for each query row, but for itself.
 
     Vectors that are null, or hold null or non-finite components, take no part; nor do rows with a null vec_id. Vectors
-    of unlike lengths meet in their common dimensions. A vec_id that occurs twice counts as two rows with that id. With
-    fewer than k other rows there are fewer results.
+    of unlike lengths meet in their common dimensions. A vec_id that occurs twice counts as two candidates with that id; as
+    a query its rows are asked each, none finds the other, and what they find is pooled. With fewer than k other rows there are fewer results.
+    Scores are 64 bits wide: components must be below some 10^9 over the root of their number.
     """
     clean = vectors.select("vec_id", quantised(F.col("embedding")).alias("v"), is_query.alias("q")).where(
         F.col("v").isNotNull() & F.col("vec_id").isNotNull()
