@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.operators.search import word_start
+from lexweave.sources.tables import by_repeats
 
 
 def counts(tags: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -45,6 +46,23 @@ def grouped_slots(tags: DataFrame) -> DataFrame:
     return rows.select("entry_id", "word_index", F.col("r")[0]["surface_text"].alias("surface_text"), F.array_join(F.col("r.number"), " ").alias("numbers"))
 
 
+def _slot_list(words: Column) -> Column:
+    """The slots of an entry whose words are array<struct<word_index, surface_text, numbers: array<string>>>."""
+    return F.transform(words, lambda w: F.struct(w["word_index"].cast("long").alias("word_index"), w["surface_text"].alias("surface_text"), F.array_join(w["numbers"], " ").alias("numbers")))
+
+
+def _listed(entries: DataFrame) -> DataFrame:
+    # Outer and a filter after it: below an inner one, Spark would work out the words once more to filter rows.
+    return entries.select("entry_id", F.explode_outer(_slot_list(F.col("words"))).alias("w")).where("w IS NOT NULL").select("entry_id", "w.*")
+
+
+def slots_of_entries(entries: DataFrame) -> DataFrame:
+    """:func:`grouped_slots` of entries (entry_id, words: array<struct<word_index, surface_text, numbers>>) whose tags already stand under their words: an
+    entry gives its slots where it is read. Of entries that share an id, null too, equal slots are one; only slots of such entries are shuffled."""
+    once, more = by_repeats(entries, "entry_id")
+    return _listed(once).unionByName(_listed(more).distinct())
+
+
 def same_tag_slots(tags: DataFrame, clicked: DataFrame) -> DataFrame:
     """Slots of an entry that share a number with its clicked slot; the clicked slot alone if it has none."""
     numbers = tags.join(clicked, ["entry_id", "word_index"], "left_semi").select("entry_id", "number").distinct()

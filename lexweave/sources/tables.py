@@ -56,6 +56,14 @@ def staged(df: DataFrame, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at).select(*df.columns)
 
 
+def by_repeats(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``key`` no other row has, all others); null is a key. Only keys are shuffled. Those that repeat become a table of their own, so that Spark
+    knows its size: few are sent to the rows, many are joined with them."""
+    again = staged(rows.groupBy(F.col(key).alias("_again")).count().where("count > 1").select("_again"))
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    return rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
+
+
 def save(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Replaces a table. A job that fails leaves no half-written one: Spark commits output when all tasks are done."""
     writer = df.write.mode("overwrite")
