@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.operators.places import PAGE, cut, pages
 from lexweave.operators.search import word_start
 from lexweave.sources.tables import by_repeats
 
@@ -63,6 +64,16 @@ def slots_of_entries(entries: DataFrame) -> DataFrame:
     return _listed(once).unionByName(_listed(more).distinct())
 
 
+def pages_of_entries(entries: DataFrame, size: int = PAGE) -> DataFrame:
+    """entry_id, page, items: :func:`slots_of_entries` in pages, each item a word and its numbers (``word|H1 H2``). Places of words count from 0 without
+    gaps in an entry of its own; where entries share an id, their unlike slots at one place stand beside each other, in the order of items."""
+    once, more = by_repeats(entries, "entry_id")
+    said = lambda w: F.concat(w["surface_text"], F.lit("|"), w["numbers"])
+    own = cut(once.select("entry_id", F.transform(F.array_sort(_slot_list(F.col("words"))), said).alias("items")), "items", size)
+    item = F.concat("surface_text", F.lit("|"), "numbers")
+    return own.unionByName(pages(_listed(more).distinct(), ["entry_id"], "word_index", item, size))
+
+
 def same_tag_slots(tags: DataFrame, clicked: DataFrame) -> DataFrame:
     """Slots of an entry that share a number with its clicked slot; the clicked slot alone if it has none."""
     numbers = tags.join(clicked, ["entry_id", "word_index"], "left_semi").select("entry_id", "number").distinct()

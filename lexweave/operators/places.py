@@ -43,3 +43,15 @@ def pages(rows: DataFrame, group: list[str], nth: str, item: Column, size: int =
     without rows has no page; none, however large, is one row."""
     listed = F.sort_array(F.collect_list(F.struct(F.col(nth).alias("n"), item.alias("x"))))
     return rows.groupBy(*group, F.floor(F.col(nth) / size).alias("page")).agg(listed.alias("l")).select(*group, "page", F.transform("l", lambda x: x["x"]).alias("items"))
+
+
+def cut(rows: DataFrame, items: str, size: int = PAGE) -> DataFrame:
+    """:func:`pages` of rows that hold all their ``items`` in order: each list is cut where it is, without a shuffle. Other columns stay; a row without items
+    has no page."""
+    n = lambda x: F.ceil(F.size(x) / size).cast("int")
+    parts = lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), n(x) - 1), lambda p: F.slice(x, p * size + 1, F.lit(size))))
+    # In an array of one array, so that the items are worked out once for all pages.
+    of_row = F.get(F.transform(F.array(items), parts), 0)
+    rest = [c for c in rows.columns if c != items]
+    out = rows.select(*rest, F.posexplode_outer(of_row).alias("page", items)).where(F.col(items).isNotNull())
+    return out.select(*rest, F.col("page").cast("long").alias("page"), F.col(items).alias("items"))

@@ -33,9 +33,19 @@ def test_tags_of_a_flat_table_give_the_same(spark):
     assert sorted(map(tuple, concordance.grouped_slots(tags).collect())) == sorted(map(tuple, concordance.slots_of_entries(own).collect()))
 
 
+def test_pages_of_entries(spark):
+    long = [(9, " ".join(f"w{i}" for i in range(10))), (8, " ".join(f"w{i}" for i in range(8)))]
+    got = {(k, p): x for k, p, x in concordance.pages_of_entries(entries(spark, [*TEXTS, *long]), 4).collect()}
+    slots = sorted({(k or 0, i, f"{w}|H{len(w)} G1") for k, t in [*TEXTS, *long] if t for i, w in enumerate(t.split())})
+    want = {}
+    for k, i, x in slots:
+        want.setdefault((k or None, i // 4), []).append(x)
+    assert got == want
+
+
 def test_words_of_unlike_ids_are_not_shuffled(spark):
     """A shuffle of all tags was some 50 times the documents."""
-    for name in ("slot_group",):
+    for name in ("slot_group", "words_nested"):
         kinds = shuffled(catalog.queries()[name](spark, SF))
         assert len(kinds) <= 1, kinds  # that of repeated ids
 
