@@ -1,8 +1,8 @@
 """Many queries over many entries at once: hits, totals and concordance counts out of one scan.
 
 An entry gives the keys under which a query could find it: its tokens, the first characters of its tagged words, and their numbers. A query is looked for
-under one key of each kind: its longest token, the start of its term, or its number. What meets under a key is then matched in full. All that is found
-goes through one aggregation. Queries that look for the same are looked for once. Hits are gathered by pages, fixed ranges of places, so that what a source holds of a query is never one row and
+under one key of each kind: its longest token, the start of its term, or its number. What meets under a key is then matched in full. Tokens meet queries where
+texts are read; equal words of a source are counted first, and only unlike ones are looked for. All that is found goes through one aggregation. Queries that look for the same are looked for once. Hits are gathered by pages, fixed ranges of places, so that what a source holds of a query is never one row and
 a source's first hits are found by counting pages.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import ascii_lower, number_query, tokens, trimmed
+from lexweave.sources.tables import staged
 
 #: Places of a page; characters of a word by which a term is looked for.
 PAGE, PREFIX = 1 << 10, 3
@@ -59,33 +60,42 @@ def combined(entries: DataFrame, queries: DataFrame, cap: int = 200) -> DataFram
     """
     words_type = entries.schema["words"].dataType
     words = F.coalesce("words", F.array().cast(words_type))
-    e = entries.select("id", "source", F.col("place").cast("long").alias("place"), words.alias("words"), tokens(F.coalesce("text", F.lit(""))).alias("found"))
-    e = e.withColumn("padded", _padded(F.col("found")))
-    # Outer explodes and filters after them: below an inner one, Spark would work out the same once more to filter rows. What is worked out for an entry
-    # goes into its items: beside them, Spark would work it out for each of them.
-    no_word = F.lit(None).cast(words_type.elementType)
-    by_token = F.transform(F.array_distinct("found"), lambda t: F.struct(F.concat(F.lit("t"), t).alias("token"), F.col("padded"), no_word.alias("word")))
-    by_word = F.transform("words", lambda w: F.struct(F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("padded"), w.alias("word")))
-    each = e.select("id", "source", "place", F.explode_outer(F.concat(by_token, by_word)).alias("x"))
-    each = each.select("id", "source", "place", "x.token", "x.padded", ascii_lower(F.col("x.word.surface_text")).alias("low"), F.col("x.word.numbers").alias("numbers"))
-    of_word = F.array_distinct(F.concat(_starts(F.col("low")), F.transform("numbers", lambda x: F.concat(F.lit("n"), x))))
-    each = each.select("id", "source", "place", "padded", "low", "numbers", F.explode_outer(F.when(F.col("token").isNotNull(), F.array("token")).otherwise(of_word)).alias("key"))
-    in_text = F.col("key").startswith("t")
+    e = entries.select("id", "source", F.col("place").cast("long").alias("place"), words.alias("words"), tokens(F.coalesce("text", F.lit(""))).alias("found"), F.monotonically_increasing_id().alias("row"))
+    e = e.withColumn("unlike", F.array_distinct("found"))
+    # Tokens, then words, by their places alone, and without a lambda up to the first aggregation: so all this is one generated loop, in which lists are referred to. A
+    # text or list beside each token would be copied for each, the square of a text. Outer, as below an inner one Spark would work out the lists once more.
+    each = e.select("*", F.posexplode_outer(F.concat("unlike", "words.surface_text")).alias("nth", "x")).where("nth IS NOT NULL")
+    n_unlike = F.size("unlike")
+    is_word = F.col("nth") >= n_unlike
+    each = each.select("id", "source", "place", "row", "found", F.when(~is_word, F.col("x")).alias("token"), ascii_lower(F.when(is_word, F.col("x"))).alias("low"), F.when(is_word, F.get("words", F.col("nth") - n_unlike)["numbers"]).alias("numbers"))
     wanted = asked(queries)
-    met = each.join(wanted.drop("query_id").distinct(), "key")
+    asks = wanted.drop("query_id").distinct()
+    in_text = F.col("key").startswith("t")
+    # A row for each phrase. A table of its own, so that Spark knows how small it is and sends it to the texts.
+    phrases = F.array_distinct("phrases")
+    in_texts = staged(asks.where(in_text).select(F.substring("key", 2, 1 << 30).alias("key"), "ask", F.size(phrases).cast("long").alias("size"), F.explode(phrases).alias("phrase")))
+    # What no query can be under has a key of its own all the same, so that rows that only pass a join are not one task's.
+    unmet = lambda c: F.concat(F.lit("\u0001"), c.cast("string"))
+    met = each.withColumn("key", F.coalesce("token", unmet(F.col("low")))).join(in_texts, "key", "left")
+    is_hit = F.col("ask").isNotNull()
+    held = F.when(is_hit, F.contains(_padded(F.col("found")), F.col("phrase"))).otherwise(F.col("token").isNull())
+    found = met.where(held).groupBy("ask", "size", "source", *[F.when(is_hit, F.col(c)).alias(c) for c in ("id", "place", "row")], "low", "numbers").agg(F.count("*").alias("n"))
+    at = F.when(is_hit, F.struct("place", "id")).alias("at")
+    found = found.where(~is_hit | (F.col("n") == F.col("size"))).select("ask", "source", at, "low", "numbers", F.when(is_hit, F.lit(1)).otherwise(F.col("n")).cast("long").alias("n"))
 
-    held = F.forall("phrases", lambda p: F.contains("padded", p))
+    of_word = F.array_distinct(F.concat(_starts(F.col("low")), F.transform("numbers", lambda x: F.concat(F.lit("n"), x))))
+    found = found.select("*", F.explode_outer(F.when(~is_hit, of_word)).alias("of_word")).withColumn("key", F.coalesce("of_word", unmet(F.col("at.id")), unmet(F.col("low")))).drop("of_word")
+    in_words = asks.where(~in_text).select("key", F.col("ask").alias("word_ask"), "term", "pattern", "number")
+    met = found.join(in_words, "key", "left").where(is_hit | F.col("word_ask").isNotNull())
     # A pattern that is not the same for all rows is compiled for each: only terms with wildcards are matched as patterns.
     wild = F.like("low", F.concat("pattern", F.lit("%"))) | F.like("low", F.concat(F.lit("% "), "pattern", F.lit("%")))
     plain = F.startswith("low", "term") | F.contains("low", F.concat(F.lit(" "), "term"))
     tagged = F.col("number").isNotNull() | F.when(F.col("pattern").isNotNull(), wild).otherwise(plain)  # a number's key is the number
-    none, one = F.lit(None).cast("string"), F.lit(1).cast("long")
-    fact = lambda part, source, item: F.struct(F.lit(part).alias("part"), source.alias("source"), item.alias("item"), one.alias("n"))
+    none = F.lit(None).cast("string")
+    fact = lambda part, source, item: F.struct(F.lit(part).alias("part"), source.alias("source"), item.alias("item"))
     numbers = F.filter("numbers", lambda x: F.coalesce(x == F.col("number"), F.lit(True)))
-    facts = F.when(in_text, F.when(held, F.array(fact("hit", F.col("source"), none)))).when(
-        tagged, F.concat(F.array(fact("slots", none, none)), F.transform(numbers, lambda x: fact("number", F.col("source"), x)))
-    )
-    rows = met.select("ask", F.struct("place", "id").alias("at"), F.explode_outer(facts).alias("f")).select("ask", "at", "f.*").where("part IS NOT NULL")
+    facts = F.when(is_hit, F.array(fact("hit", F.col("source"), none))).when(tagged, F.concat(F.array(fact("slots", none, none)), F.transform(numbers, lambda x: fact("number", F.col("source"), x))))
+    rows = met.select(F.coalesce("ask", "word_ask").alias("ask"), "at", "n", F.explode_outer(facts).alias("f")).select("ask", "at", "n", "f.*").where("part IS NOT NULL")
 
     is_hit = F.col("part") == "hit"
     page = F.when(is_hit, F.floor(F.col("at.place") / PAGE))

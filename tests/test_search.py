@@ -126,3 +126,15 @@ def test_tokens_table(spark, tmp_path):
 
 def test_no_prefix_is_lost():
     assert all(len(set(p)) == len(p) for p in itertools.chain([text.FOLD_FROM]))
+
+
+def test_a_text_is_not_copied_for_each_of_its_tokens(spark):
+    """Beside each of so many tokens the whole text would be some 6 GB. Entries of one id and place answer for themselves."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, "A", 1, long, None), (2, "A", 2, "w7 w8", None), (2, "A", 2, "w29999", None), (3, "A", 3, "w29999 w7", [(0, "w7", ["H1"]), (1, "W7", ["H1"]), (2, "w7", None)])]
+    entries = spark.createDataFrame(rows, "id long, source string, place long, text string, words array<struct<word_index:int,surface_text:string,numbers:array<string>>>")
+    out = combined.combined(entries, spark.createDataFrame([(1, "w29999 w7"), (2, "w7-w8"), (3, "w7 w7")], "query_id int, query string"))
+    got = {(r["query_id"], r["part"], r["item"], r["n"]) for r in out.collect()}
+    want = {(1, "hit", "1", 1), (1, "hit", "3", 2), (1, "total", None, 2), (2, "hit", "1", 1), (2, "hit", "2", 2), (2, "total", None, 2)}
+    want |= {(3, "hit", "1", 1), (3, "hit", "2", 2), (3, "hit", "3", 3), (3, "total", None, 3)}
+    assert got == want
