@@ -17,10 +17,12 @@ _PLACE = "CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 12 WHEN 2 THEN 19 WHEN 3
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     name = F.when(k % 5 == 0, "gen").when(k % 5 == 1, "II Kings").when(k % 5 == 2, "Psalm").when(k % 5 == 3, "Nope").otherwise("1 cor")
-    return table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.select(
         F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("path"), k.alias("i"), name.alias("name"), (k % 7).cast("string").alias("ch"), (F.col("o_custkey") % 6).cast("string").alias("v"),
         F.col("o_orderpriority").alias("said"), (F.col("o_custkey") % 2 == 0).alias("even"),
     )
+    return tables.dealt(rows, "path", orders.count())  # Parquet's own counts
 
 
 def _file(rows: DataFrame, line: Column, head: str = "", between: str = "\n", tail: str = "") -> DataFrame:

@@ -22,6 +22,24 @@ def stored(parsed: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     return books, entries.select(F.xxhash64(F.col(source), "book", "sort_order").alias("id"), key.alias("book_id"), "chapter", "verse", "position_ref", "text", "sort_order")
 
 
+#: Rows of a partition that are sorted together, and bytes of text whose tokens are, about.
+ROWS, BYTES = 50_000, 1 << 24
+
+
+def n_parts(spark: SparkSession, size: int, each: int) -> int | None:
+    """Into how many partitions ``size`` is dealt so that none has more than about ``each``; None where those the session shuffles into are enough. So what
+    a task sorts does not grow with the input."""
+    n = -(-size // each)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``rows``, of which there are ``size``, dealt by ``key`` into partitions of about ``ROWS``: what is grouped and numbered by the key later meets there and is
+    not dealt again."""
+    n = n_parts(rows.sparkSession, size, ROWS)
+    return rows.repartition(n, key) if n else rows
+
+
 def _shared(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where none is set, a session on this machine alone gets a folder of its own; on a cluster that is an
     error, as executors would write where nobody reads."""
@@ -101,10 +119,14 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWr
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: append(df, path, f"{n:012d}"))
 
 
-def save_tokens(tokens: DataFrame, path: str) -> None:
+def save_tokens(tokens: DataFrame, path: str, size: int | None = None) -> None:
     """A token table (entry_id, place, token) in the order of tokens, in ranges, with Parquet's Bloom filters on them: a reader that asks for some
-    tokens passes over the row groups without them."""
-    in_order = tokens.repartitionByRange("token", "entry_id").sortWithinPartitions("token", "entry_id", "place")
+    tokens passes over the row groups without them. There are as many ranges as ``size``, the bytes of the texts, asks for; without it the tokens' own bytes
+    are added up first."""
+    if size is None:
+        size = tokens.agg(F.sum(F.octet_length("token").cast("long") + 1)).first()[0] or 0
+    n = n_parts(tokens.sparkSession, size, BYTES)
+    in_order = tokens.repartitionByRange(*[n] if n else [], "token", "entry_id").sortWithinPartitions("token", "entry_id", "place")
     in_order.write.mode("overwrite").option("parquet.bloom.filter.enabled#token", "true").parquet(path)
 
 
