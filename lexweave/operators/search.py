@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import ascii_lower, folded_text, snippet, tokens
+from lexweave.sources.tables import n_parts
+
+#: Places of a query's tokens that one task puts together, about.
+PLACES = 250_000
 
 
 def query_phrases(query: str) -> list[list[str]]:
@@ -63,14 +67,18 @@ def search(entries: DataFrame, query: str, text: str, group: list[str], order: l
 
 def by_tokens(tokens: DataFrame, query: str) -> DataFrame:
     """entry_id of the entries with every phrase of the query, out of a token table (entry_id, place, token). Only the query's tokens are read; a
-    phrase is found where its tokens' places less their numbers in it agree."""
+    phrase is found where its tokens' places less their numbers in it agree. Places are dealt by entry into as many partitions as there are of them."""
     phrases = query_phrases(query)
     if not phrases:
         return tokens.select("entry_id").limit(0)
     wanted = sorted({t for p in phrases for t in p})
     parts = [F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(len(p)).alias("size"), F.lit(t).alias("t")) for k, p in enumerate(phrases) for i, t in enumerate(p)]
-    rows = tokens.where(F.col("token").isin(wanted)).select("entry_id", "place", F.explode(F.filter(F.array(*parts), lambda x: x["t"] == F.col("token"))).alias("x"))
-    whole = rows.groupBy("entry_id", "x.k", "x.size", (F.col("place") - F.col("x.i")).alias("start")).agg(F.countDistinct("x.i").alias("n")).where("n = size")
+    held = tokens.where(F.col("token").isin(wanted))
+    rows = held.select("entry_id", "place", F.explode(F.filter(F.array(*parts), lambda x: x["t"] == F.col("token"))).alias("x"))
+    rows = rows.select("entry_id", "x.k", "x.size", (F.col("place") - F.col("x.i")).alias("start"), "x.i")
+    n = n_parts(tokens.sparkSession, held.count(), PLACES)
+    rows = rows.repartition(n, "entry_id") if n else rows
+    whole = rows.groupBy("entry_id", "k", "size", "start").agg(F.countDistinct("i").alias("n")).where("n = size")
     return whole.groupBy("entry_id").agg(F.countDistinct("k").alias("n")).where(F.col("n") == len(phrases)).select("entry_id")
 
 
