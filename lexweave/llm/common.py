@@ -38,12 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Spark's setting by which the shuffles of a query go when it ends; else they stay until the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: later stages read it instead of computing it again, also after
-    an executor is lost."""
+    an executor is lost. The shuffles that it took are of no use then and go at once."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/lexweave-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(at)
 
 
